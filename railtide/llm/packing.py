@@ -2,7 +2,8 @@
 
 A container is a training sequence of ``capacity`` tokens. An item of n tokens costs ``n + n^2 / span``: linear work plus
 attention within the item. Items are assigned in descending order to the sequence of lowest cost that still has room,
-over as many sequences as the tokens need; what fits in none of them is packed into further sequences in the same way.
+over as many sequences as the tokens need. Balance to the last item would leave a hole of the same size, smaller than
+any item, in every sequence; so the smallest items, a stated share of the tokens, go where they leave the least room.
 A text larger than a container is cut at container boundaries: its full parts fill containers of their own, its rest is
 an item like others.
 
@@ -13,6 +14,7 @@ repeat, and a shard's only loss against packing all at once is part of its last
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -27,6 +29,8 @@ from railtide.session import cut
 CAPACITY = 8192
 SPAN = 4096
 SHARD_ITEMS = 16_384
+#: Share of the tokens, in the smallest items, that fills holes instead of balancing costs.
+TAIL = 0.3
 
 
 def tokenizer_file() -> str:
@@ -62,34 +66,42 @@ def token_counts(documents: DataFrame, doc_id: str, text: str, tokenizer: str |
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
-def pack(sizes: np.ndarray, capacity: int, span: int = SPAN) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int, span: int = SPAN, tail: float = TAIL) -> np.ndarray:
     """Container number of each item; sizes at most capacity. Ties go by position, so the result is determined."""
     out = np.full(len(sizes), -1, np.int64)
-    todo = np.argsort(-sizes, kind="stable")
-    opened = 0
-    while len(todo):
-        k = max(1, -(-int(sizes[todo].sum()) // capacity))
-        room = [capacity] * k
-        open_by_cost = [(0.0, c) for c in range(k)]
-        full_by_room: list[tuple[int, float, int]] = []
-        left = []
-        for i in todo:
-            n = int(sizes[i])
-            while full_by_room and -full_by_room[0][0] >= n:  # smaller items may fit again
-                _, cost, c = heapq.heappop(full_by_room)
-                heapq.heappush(open_by_cost, (cost, c))
-            while open_by_cost and room[open_by_cost[0][1]] < n:
-                cost, c = heapq.heappop(open_by_cost)
-                heapq.heappush(full_by_room, (-room[c], cost, c))
-            if not open_by_cost:
-                left.append(i)
-                continue
-            cost, c = open_by_cost[0]
-            room[c] -= n
-            out[i] = opened + c
-            heapq.heapreplace(open_by_cost, (cost + n + n * n / span, c))
-        opened += k
-        todo = np.array(left, np.int64)
+    total = int(sizes.sum())
+    k = max(1, -(-total // capacity))
+    room = [capacity] * k
+    by_cost = [(0.0, c) for c in range(k)]
+    aside: list[tuple[int, float, int]] = []  # without room for the item at hand, most room first
+    placed, order = 0, np.argsort(-sizes, kind="stable")
+    at = 0
+    while at < len(order) and placed + int(sizes[order[at]]) <= total * (1 - tail):
+        n = int(sizes[order[at]])
+        while aside and -aside[0][0] >= n:  # smaller items may fit again
+            _, cost, c = heapq.heappop(aside)
+            heapq.heappush(by_cost, (cost, c))
+        while by_cost and room[by_cost[0][1]] < n:
+            cost, c = heapq.heappop(by_cost)
+            heapq.heappush(aside, (-room[c], cost, c))
+        if not by_cost:
+            break
+        cost, c = by_cost[0]
+        room[c] -= n
+        out[order[at]] = c
+        heapq.heapreplace(by_cost, (cost + n + n * n / span, c))
+        placed += n
+        at += 1
+    holes = sorted((r, c) for c, r in enumerate(room))
+    for i in order[at:]:
+        n = int(sizes[i])
+        x = bisect.bisect_left(holes, (n, -1))
+        if x == len(holes):
+            holes.append((capacity, len(room)))
+            room.append(capacity)
+        r, c = holes.pop(x)
+        out[i] = c
+        bisect.insort(holes, (r - n, c))
     return out
 
 
