@@ -1,8 +1,8 @@
 """Implausible readings per source: Haar wavelet details, zero-detail runs and hard bounds.
 
 A reading is judged against the source it comes from. The series of a source is cut into time chunks, so a source
-holding a third of all rows is still spread over many tasks, and each chunk is decomposed with a Haar wavelet:
-``x = d1 + d2 + ... + dJ + aJ``. With the source's median m and interquartile range as robust scale, the components
+holding a third of all rows is still spread over many tasks, and each chunk is decomposed with a stationary Haar
+wavelet, whose level j averages the last 2^j readings: ``x = d1 + d2 + ... + dJ + aJ`` with d_j = a_(j-1) - a_j. With the source's median m and interquartile range as robust scale, the components
 ``d1 .. dJ, aJ - m`` have white-noise standard deviations in the ratio 2^(-j/2); dividing each by its share gives one
 robust threshold for all levels. Those thresholds add up to ``fence`` interquartile ranges, so a reading with no
 component beyond its threshold lies within that distance of the median and can't be outside the fence: the wavelet
@@ -92,15 +92,11 @@ def wavelet_spikes(
     quart = broadcast_if_small(exact_quantiles(base, "src", "x", {"q1": 0.25, "med": 0.5, "q3": 0.75}))
     iqr = F.col("q3") - F.col("q1")
     w = F.greatest(F.least(F.col("x"), F.col("q3") + (fence + 1) * iqr + 1), F.col("q1") - (fence + 1) * iqr - 1)
-    chunk = [F.col("src"), F.col("chunk")]
-    s = (
-        base.withColumn("chunk", F.floor(F.col("at") / chunk_seconds))
-        .join(quart.select("src", "q1", "med", "q3"), "src")
-        .withColumn("a0", w)
-        .withColumn("pos", F.row_number().over(Window.partitionBy(*chunk).orderBy("at", "row_id")) - 1)
-    )
-    for j in range(levels, 0, -1):  # the widest blocks first: each sort then refines the one before
-        s = s.withColumn(f"a{j}", F.avg("a0").over(Window.partitionBy(*chunk, F.shiftright("pos", j))))
+    # four narrow columns are shuffled; the quartiles join behind the shuffle and keep its partitioning
+    s = base.withColumn("chunk", F.floor(F.col("at") / chunk_seconds)).repartition("src", "chunk")
+    s = s.join(quart.select("src", "q1", "med", "q3"), "src").withColumn("a0", w)
+    order = Window.partitionBy("src", "chunk").orderBy("at", "row_id")
+    s = s.select("*", *(F.avg("a0").over(order.rowsBetween(1 - 2**j, 0)).alias(f"a{j}") for j in range(1, levels + 1)))
     share = [2 ** (-j / 2) for j in range(1, levels + 1)] + [2 ** (-levels / 2)]
     sigma = iqr / 1.349
     parts = [F.abs(F.col(f"a{j - 1}") - F.col(f"a{j}")) for j in range(1, levels + 1)] + [F.abs(F.col(f"a{levels}") - F.col("med"))]
@@ -131,18 +127,17 @@ def frozen_runs(
         .agg(F.count("*").alias("n"), F.first("x").alias("x"), F.min("at").alias("from_at"), F.max("at").alias("to_at"))
         .withColumn("runs", F.max("run").over(Window.partitionBy("src", "chunk")))
     )
-    inner = runs.where((F.col("run") > 1) & (F.col("run") < F.col("runs")) & (F.col("n") >= min_run) & (F.col("x") != 0))
-    border = runs.where((F.col("run") == 1) | (F.col("run") == F.col("runs")))
+    # long inner runs stand for themselves; border runs may go on in the next chunk
+    kept = runs.where((F.col("run") == 1) | (F.col("run") == F.col("runs")) | (F.col("n") >= min_run))
     order = Window.partitionBy("src").orderBy("chunk", "run")
     opens = (F.col("run") > 1) | F.lag("x").over(order).isNull() | (F.lag("x").over(order) != F.col("x"))
-    long_border = (
-        border.withColumn("opens", opens.cast("int"))
+    return (
+        kept.withColumn("opens", opens.cast("int"))
         .withColumn("island", F.sum("opens").over(order))
         .withColumn("total", F.sum("n").over(Window.partitionBy("src", "island")))
         .where((F.col("total") >= min_run) & (F.col("x") != 0))
+        .select("src", "chunk", "from_at", "to_at", F.col("x").alias("value"))
     )
-    out = ["src", "chunk", "from_at", "to_at", F.col("x").alias("value")]
-    return inner.select(*out).unionByName(long_border.select(*out))
 
 
 def stuck_deliveries(
