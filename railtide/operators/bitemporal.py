@@ -82,14 +82,14 @@ def locate(events: DataFrame, rects: DataFrame, entity: str, known_at: str, attr
     else:
         grid = grid.withColumn("vc", F.lit(0).cast("long"))
     grid = grid.withColumn("kc", F.explode(cells(F.col("k0"), F.col("k1"), known_cell, span["a"], span["b"])))
-    grid = grid.select(F.col("entity").alias("__e"), "vc", "kc", "v0", "v1", "k0", "k1", F.struct(*attributes).alias("__a"))
+    grid = grid.select(*(F.col(c).alias(f"__{c}") for c in ("entity", "vc", "kc", "v0", "v1", "k0", "k1")), F.struct(*attributes).alias("__a"))
     grid = broadcast_if_small(grid)
-    e = events.withColumn("__vc", F.floor(F.col(valid_day) / valid_cell) if valid_day else F.lit(0).cast("long"))
-    e = e.withColumn("__kc", F.floor(F.col(known_at) / known_cell))
-    on = (F.col(entity) == F.col("__e")) & (F.col("__vc") == F.col("vc")) & (F.col("__kc") == F.col("kc"))
-    on &= (F.col(known_at) >= F.col("k0")) & (F.col(known_at) < F.col("k1"))
+    e = events.withColumn("__vcell", F.floor(F.col(valid_day) / valid_cell) if valid_day else F.lit(0).cast("long"))
+    e = e.withColumn("__kcell", F.floor(F.col(known_at) / known_cell))
+    on = (F.col(entity) == F.col("__entity")) & (F.col("__vcell") == F.col("__vc")) & (F.col("__kcell") == F.col("__kc"))
+    on &= (F.col(known_at) >= F.col("__k0")) & (F.col(known_at) < F.col("__k1"))
     if valid_day:
-        on &= (F.col(valid_day) >= F.col("v0")) & (F.col(valid_day) < F.col("v1"))
+        on &= (F.col(valid_day) >= F.col("__v0")) & (F.col(valid_day) < F.col("__v1"))
     out = e.join(grid, on, "left")
     return out.select(*(F.col(c) for c in events.columns), *(F.col(f"__a.{a}").alias(a) for a in attributes))
 
