@@ -200,7 +200,8 @@ def rejects(parsed: DataFrame) -> DataFrame:
 
 def _seconds(c) -> object:
     p = F.split(F.trim(c, F.lit(BLANKS)), ":")
-    return (p[0].try_cast("int") * 3600 + p[1].try_cast("int") * 60 + p[2].try_cast("int")).cast("int")
+    part = [F.get(p, F.lit(i)).try_cast("int") for i in range(3)]
+    return (part[0] * 3600 + part[1] * 60 + part[2]).cast("int")
 
 
 def stop_times_of(parsed: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Probes may be billions of rows, the timetable is one service day. Every lookup is therefore an equi-join of the probes
 with an index built from the timetable, never a range join: the next-departure index holds, per station, route and
-hour, the departures of that hour and the first ones after it.
+slot of ten minutes, the departures of that slot and the first ones after it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ OVERNIGHT = 14_400
 DAY = 86_400
 MAX_GAP = 10_800
 MAX_HOUR = 27
+#: Seconds per slot of the next-departure index: a few headways.
+SLOT = 600
+#: Index rows (each an array of some departures) up to which the index is broadcast.
+INDEX_ROWS = 50_000
 
 
 def routes_at_stop(departures: DataFrame) -> DataFrame:
@@ -50,32 +54,36 @@ def scheduled_headway(probes: DataFrame, headways: DataFrame, route: str, direct
     return df.withColumn(out, F.coalesce("__w0", "__w1")).drop("__w0", "__w1")
 
 
-def departure_index(departures: DataFrame, n: int) -> DataFrame:
-    """(station, route_id, hour, deps): departures of the hour and the first n after it, in order of (dep, trip, sequence).
+def departure_index(departures: DataFrame, n: int, slot: int = SLOT) -> DataFrame:
+    """(station, route_id, slot, deps): departures of a slot and the first n after it, in order of (dep, trip, sequence).
 
-    One row per station, route and hour from 0 to the last departure's, so any time of day finds its row by equality.
+    One row per station, route and slot from 0 to the last departure's, so any time of day finds its row by equality.
+    What follows a slot is found by rank: the departures numbered next after those up to the slot.
     """
-    d = departures.select("station", "route_id", F.floor(F.col("departure_secs") / 3600).cast("int").alias("hour"),
-                          F.struct(F.col("departure_secs").alias("dep"), "trip_id", "stop_sequence", "stop_id", "direction_id").alias("x"))
-    own = d.groupBy("station", "route_id", "hour").agg(F.sort_array(F.collect_list("x")).alias("own"))
-    span = own.groupBy("station", "route_id").agg(F.max("hour").alias("last"))
-    grid = span.select("station", "route_id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), "last"))).alias("hour"))
-    w = Window.partitionBy("station", "route_id").orderBy("hour").rowsBetween(1, Window.unboundedFollowing)
-    own = own.withColumn("head", F.slice("own", 1, n))
-    grid = grid.join(own, ["station", "route_id", "hour"], "left")
-    after = F.slice(F.flatten(F.collect_list(F.coalesce("head", F.expr("slice(own, 1, 0)"))).over(w)), 1, n)
-    none = F.expr("filter(own, x -> false)")
-    return grid.select("station", "route_id", "hour", F.concat(F.coalesce("own", F.array().cast(own.schema["own"].dataType)), F.coalesce(after, none, F.array().cast(own.schema["own"].dataType))).alias("deps"))
-
-
-def next_departures(probes: DataFrame, index: DataFrame, station: str, route: str, after: str | Column, n: int, out: str = "deps") -> DataFrame:
-    """probes with an array of the first n departures at or after a time (any direction); empty where there is none."""
+    key = ["station", "route_id"]
+    x = F.struct(F.col("departure_secs").alias("dep"), "trip_id", "stop_sequence", "stop_id", "direction_id")
+    d = departures.where("departure_secs >= 0").select(*key, F.floor(F.col("departure_secs") / slot).cast("int").alias("slot"), x.alias("x"))
+    d = d.withColumn("rk", F.row_number().over(Window.partitionBy(*key).orderBy("x")))
+    own = d.groupBy(*key, "slot").agg(F.sort_array(F.collect_list("x")).alias("own"), F.count("*").alias("c"))
+    grid = own.groupBy(*key).agg(F.max("slot").alias("last")).select(*key, F.explode(F.sequence(F.lit(0), "last")).alias("slot"))
+    upto = Window.partitionBy(*key).orderBy("slot")
+    grid = grid.join(own, [*key, "slot"], "left").withColumn("upto", F.sum(F.coalesce("c", F.lit(0))).over(upto))
+    wanted = grid.select(*key, "slot", F.explode(F.sequence(F.col("upto") + 1, F.col("upto") + n)).alias("rk"))
+    after = wanted.join(d.select(*key, F.col("rk").cast("long").alias("rk"), "x"), [*key, "rk"]).groupBy(*key, "slot").agg(F.sort_array(F.collect_list("x")).alias("after"))
+    none = F.array().cast(own.schema["own"].dataType)
+    return grid.join(after, [*key, "slot"], "left").select(*key, "slot", F.concat(F.coalesce("own", none), F.coalesce("after", none)).alias("deps"))
+
+
+def next_departures(probes: DataFrame, index: DataFrame, station: str, route: str, after: str | Column, n: int, out: str = "deps", slot: int = SLOT) -> DataFrame:
+    """probes with an array of the first n departures at or after a time (any direction); empty where there is none.
+
+    ``index`` must be made for at least n and with the same slot."""
     t = F.col(after) if isinstance(after, str) else after
-    i = index.select(F.col("station").alias("__s"), F.col("route_id").alias("__r"), F.col("hour").alias("__h"), F.col("deps").alias("__deps"))
-    p = probes.withColumn("__t", t).withColumn("__hour", F.floor(F.greatest(F.col("__t"), F.lit(0)) / 3600).cast("int"))
-    j = p.join(i, (F.col(station) == F.col("__s")) & (F.col(route) == F.col("__r")) & (F.col("__hour") == F.col("__h")), "left")
+    i = index.select(F.col("station").alias("__s"), F.col("route_id").alias("__r"), F.col("slot").alias("__h"), F.col("deps").alias("__deps"))
+    p = probes.withColumn("__t", t).withColumn("__slot", F.floor(F.greatest(F.col("__t"), F.lit(0)) / slot).cast("int"))
+    j = p.join(i, (F.col(station) == F.col("__s")) & (F.col(route) == F.col("__r")) & (F.col("__slot") == F.col("__h")), "left")
     hit = F.slice(F.filter("__deps", lambda x: x["dep"] >= F.col("__t")), 1, n)
-    return j.withColumn(out, F.coalesce(hit, F.array().cast(index.schema["deps"].dataType))).drop("__s", "__r", "__h", "__deps", "__t", "__hour")
+    return j.withColumn(out, F.coalesce(hit, F.array().cast(index.schema["deps"].dataType))).drop("__s", "__r", "__h", "__deps", "__t", "__slot")
 
 
 def next_overnight(probes: DataFrame, index: DataFrame, station: str, route: str, tod: str, n: int, out: str = "deps", eff: str = "effective_tod") -> DataFrame:

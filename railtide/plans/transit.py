@@ -11,6 +11,7 @@ from railtide.config import Propagation
 from railtide.functions.ids import clean, route, route_from_trip
 from railtide.functions.time import confidence_bucket, seconds_of_day, service_seconds, shorten
 from railtide.operators import api, cascade, evaluation, events, schedule, state, transfers
+from railtide.session import cut
 from railtide.sources import gtfs
 from railtide.sources.adapters import AGENCY, Adapter
 from railtide.sources.tables import table
@@ -188,12 +189,15 @@ def route_delays(spark: SparkSession, folder: str) -> DataFrame:
     return api.route_delays(_live_state(a), a["g_stops"])
 
 
-def transfer_impacts(spark: SparkSession, folder: str) -> DataFrame:
-    a = Adapter(spark, folder)
+def _impacts(a: Adapter) -> DataFrame:
     e = a["g_events"].where(F.col("type").isin("ARRIVAL_DELAY", "DEPARTURE_DELAY"))
     return transfers.transfer_impacts(e, a.timetable(), state.changelog(a["g_events"])).drop("from_stop_id")
 
 
+def transfer_impacts(spark: SparkSession, folder: str) -> DataFrame:
+    return _impacts(Adapter(spark, folder))
+
+
 def broken_transfers_by_station(spark: SparkSession, folder: str) -> DataFrame:
     return transfers.broken_by_station(transfer_impacts(spark, folder))
 
@@ -202,68 +206,75 @@ def alerts_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return transfers.alerts(transfer_impacts(spark, folder), ["R1"], ["N3", "N7"])
 
 
-def _broken(spark: SparkSession, folder: str) -> DataFrame:
-    i = transfer_impacts(spark, folder).where("level = 'BROKEN'")
-    return i.withColumn("impact_id", F.concat_ws(":", "seq", "to_route_id", "station_id", "earliest_catch_secs")).dropDuplicates(["impact_id"])
+def _broken(a: Adapter) -> DataFrame:
+    """Broken connections with an id; computed once, as several steps of a query read them."""
+    i = _impacts(a).where("level = 'BROKEN'")
+    return cut(i.withColumn("impact_id", F.concat_ws(":", "seq", "to_route_id", "station_id", "earliest_catch_secs")).dropDuplicates(["impact_id"]))
+
+
+def _estimated(a: Adapter, broken: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+    live = _live(a) if live is None else live
+    return cascade.initial_estimates(_broken(a) if broken is None else broken, a.timetable(), live, _adapted_history(a), CFG)
 
 
-def _estimated(spark: SparkSession, folder: str, a: Adapter) -> DataFrame:
-    live = state.live_max(_live_state(a), a["g_stops"])
-    return cascade.initial_estimates(_broken(spark, folder), a.timetable(), live, _adapted_history(spark, folder), CFG)
+def _live(a: Adapter) -> DataFrame:
+    return cut(state.live_max(_live_state(a), a["g_stops"]))
 
 
-def _adapted_history(spark: SparkSession, folder: str) -> DataFrame:
+def _adapted_history(a: Adapter) -> DataFrame:
     """Averages of the history table on the adapter's routes and stations."""
-    h = table(spark, folder, "history").where("downstream_impact is not null and hour is not null")
+    h = table(a.spark, a.folder, "history").where("downstream_impact is not null and hour is not null")
     r = lambda c: F.concat(F.lit("R"), (F.ascii(F.substring(c, 2, 1)) % 5 + 1).cast("string"))
     h = h.select(r("from_route").alias("from_route"), r("to_route").alias("to_route"), F.concat(F.lit("N"), (F.ascii("station") % 25).cast("string")).alias("station"), "hour", "downstream_impact", "at")
     return cascade.average_impacts(h)
 
 
 def initial_delay_estimate(spark: SparkSession, folder: str) -> DataFrame:
-    return _estimated(spark, folder, Adapter(spark, folder)).select("impact_id", "direction_id", "hour", "initial_delay")
+    return _estimated(Adapter(spark, folder)).select("impact_id", "direction_id", "hour", "initial_delay")
 
 
 def dwell_seed(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    return cascade.dwell_seeds(_estimated(spark, folder, a), a.timetable(), None, CFG)
+    return cascade.dwell_seeds(_estimated(a), a.timetable(), None, CFG)
 
 
 def first_hop_cascade(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    t, live = a.timetable(), state.live_max(_live_state(a), a["g_stops"])
-    hops = cascade.transfer_hops(cascade.dwell_seeds(_estimated(spark, folder, a), t, None, CFG), t, live, CFG)
+    t, live = a.timetable(), _live(a)
+    hops = cascade.transfer_hops(cascade.dwell_seeds(_estimated(a, None, live), t, None, CFG), t, live, CFG)
     return hops.select("impact_id", "position", "to_station", "to_route_id", "new_delay", "new_confidence")
 
 
-def _walked(spark: SparkSession, folder: str, a: Adapter) -> DataFrame:
-    return cascade.cascade(_estimated(spark, folder, a), a.timetable(), state.live_max(_live_state(a), a["g_stops"]), None, CFG)
+def _walked(a: Adapter, broken: DataFrame | None = None) -> DataFrame:
+    live = _live(a)
+    return cascade.cascade(_estimated(a, broken, live), a.timetable(), live, None, CFG)
 
 
 def cascade_walk(spark: SparkSession, folder: str) -> DataFrame:
-    return _walked(spark, folder, Adapter(spark, folder))
+    return _walked(Adapter(spark, folder))
 
 
 def predict_impact(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    s = _live_state(a)
+    s = cut(_live_state(a))
     one = s.orderBy(F.desc("delay_seconds"), "trip_id").select("trip_id", "stop_id").first()
     return api.predict_impact(s, a.timetable(), table(spark, folder, "history"), *(one or ("", "")))
 
 
 def blast_radius(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    return api.blast_radius(_live_state(a), a.timetable(), table(spark, folder, "history"))
+    return api.blast_radius(cut(_live_state(a)), a.timetable(), table(spark, folder, "history"))
 
 
 def track_predictions(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    return evaluation.track(_broken(spark, folder), _walked(spark, folder, a), _live_state(a), a.timetable(), AGENCY)
+    broken = _broken(a)
+    return evaluation.track(broken, cut(_walked(a, broken)), _live_state(a), a.timetable(), AGENCY)
 
 
 def baseline_delays(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    seeds = cascade.dwell_seeds(_estimated(spark, folder, a), a.timetable(), None, CFG)
+    seeds = cascade.dwell_seeds(_estimated(a), a.timetable(), None, CFG)
     results = seeds.select("impact_id", "position", "route_id", F.col("station").alias("stop_id"))
     return evaluation.baseline_delays(results, _live_state(a), a["g_stops"])
 
@@ -276,7 +287,7 @@ def match_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 def realized_wait(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    p = _broken(spark, folder).select(
+    p = _broken(a).select(
         F.col("impact_id").alias("id"), F.lit(AGENCY).alias("agency_id"), F.col("to_route_id").alias("route_id"), F.col("station_id").alias("source_station"),
         (F.col("seq") % 3 - 1).cast("int").alias("direction"), F.col("sched_connection_departure_secs").alias("sched_conn_dep_secs"), "earliest_catch_secs", F.lit(True).alias("is_primary"))
     return evaluation.realized_wait(p, a.timetable(), _live_state(a))
@@ -322,7 +333,7 @@ def per_stop_blend(spark: SparkSession, folder: str) -> DataFrame:
     h = table(spark, folder, "stop_history").where("observed is not null and hour is not null")
     h = h.select(F.concat(F.lit("R"), (F.ascii(F.substring("route", 2, 1)) % 5 + 1).cast("string")).alias("route"),
                  F.concat(F.lit("N"), (F.ascii("station") % 25).cast("string")).alias("station"), "hour", "observed", "at")
-    return cascade.dwell_seeds(_estimated(spark, folder, a), a.timetable(), cascade.average_stop_impacts(h), CFG)
+    return cascade.dwell_seeds(_estimated(a), a.timetable(), cascade.average_stop_impacts(h), CFG)
 
 
 QUERIES = {f.__name__: f for f in (

@@ -51,7 +51,7 @@ class Adapter:
     """The views as DataFrames over one data folder, each planned when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._made = spark, folder, {}
+        self.spark, self.folder, self._made, self._timetable = spark, folder, {}, None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -67,4 +67,9 @@ class Adapter:
         return self.spark.createDataFrame([("F",), ("O",)], "service_id string")
 
     def timetable(self) -> Timetable:
+        if self._timetable is None:
+            self._timetable = self._build()
+        return self._timetable
+
+    def _build(self) -> Timetable:
         return build(self["g_stops"], self["g_routes"], self["g_trips"].drop("o_orderkey"), self["g_stop_times"], self["g_transfers"], self.services())

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from railtide import schema
 from railtide.functions.time import service_seconds
+from railtide.session import cut
 
 
 def scan(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -158,9 +159,12 @@ def normalized_transfers(transfers: DataFrame, stops: DataFrame) -> DataFrame:
     return ends.select("from_station", "to_station", "transfer_type", "min_transfer_time")
 
 
-def build(stops: DataFrame, routes: DataFrame, trips: DataFrame, stop_times: DataFrame, transfers: DataFrame, services: DataFrame, tz: str = "UTC") -> Timetable:
+def build(stops: DataFrame, routes: DataFrame, trips: DataFrame, stop_times: DataFrame, transfers: DataFrame, services: DataFrame, tz: str = "UTC",
+          materialize: bool = True) -> Timetable:
+    """The service day's timetable. What lookups use again and again is written to the shared folder once."""
     active = trips.join(services, "service_id", "left_semi")
-    return Timetable(stops, routes, trips, normalized_transfers(transfers, stops), departures(stop_times, active, stops), tz)
+    keep = cut if materialize else (lambda df: df)
+    return Timetable(keep(stops), routes, keep(trips), keep(normalized_transfers(transfers, stops)), keep(departures(stop_times, active, stops)), tz)
 
 
 def load(spark: SparkSession, folder: str, day: dt.date) -> Timetable:
