@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from railtide import schema
@@ -18,25 +19,30 @@ def through_files(spark, rows, kind, folder, pieces):
     return spark.readStream.schema(spark.createDataFrame([], kind).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
-def drained(stream, folder, name):
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(240)
-    assert q.exception() is None
+def drained(stream, folder, name, rows=None):
+    """What a query gives for all its input; ``rows`` where it has timeouts and so never runs out of batches."""
+    w = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/cp")
+    if rows is None:
+        w.trigger(availableNow=True).start().awaitTermination(60)
+    else:
+        q, end = w.trigger(processingTime="500 milliseconds").start(), time.monotonic() + 60
+        while sum(p["numInputRows"] for p in q.recentProgress) < rows and time.monotonic() < end and q.exception() is None:
+            time.sleep(0.2)
+        assert q.exception() is None
+        q.stop()
     return stream.sparkSession.sql(f"SELECT * FROM {name}").collect()
 
 
 def test_differ_stream_equals_batch(spark, tmp_path):
-    stateful.use_state_store(spark)
     r = random.Random(14)
     rows = [("f", 15 * (i // 6), "t", f"s{i % 6}", r.randrange(60), 1000 + r.randrange(40), A) for i in range(240)]
     kind = "feed_id string, polled_at long, trip_id string, stop_id string, delay_seconds long, predicted_arrival long, type string"
-    got = drained(stateful.diff_stream(through_files(spark, rows, kind, tmp_path, 3)), tmp_path, "diffed")
+    got = drained(stateful.diff_stream(through_files(spark, rows, kind, tmp_path, 3)), tmp_path, "diffed", len(rows))
     want = events.diff(spark.createDataFrame(rows, kind)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
 def test_reconciler_stream_equals_batch(spark, tmp_path):
-    stateful.use_state_store(spark)
     r = random.Random(15)
     kinds = [A] * 20 + ["SKIP_STOP", "TRIP_CANCELLED"]
     rows = []
@@ -44,7 +50,7 @@ def test_reconciler_stream_equals_batch(spark, tmp_path):
         k = r.choice(kinds)
         rows.append((i, "a", f"t{r.randrange(4)}", "" if k == "TRIP_CANCELLED" else f"s{r.randrange(3)}", "R", r.randrange(-300, 300), 100 + i - r.choice([0, 0, 9]), k))
     kind = "seq long, agency_id string, trip_id string, stop_id string, route_id string, delay_seconds int, observed_at long, type string"
-    got = drained(stateful.reconcile_stream(through_files(spark, rows, kind, tmp_path, 4)), tmp_path, "reconciled")
+    got = drained(stateful.reconcile_stream(through_files(spark, rows, kind, tmp_path, 4)), tmp_path, "reconciled", len(rows))
     want = state.changelog(spark.createDataFrame(rows, kind)).where("op <> 'delete'").select("seq", "op", "delay_seconds", "observed_at", "confidence", "update_count").collect()
     assert sorted((x["seq"], x["op"], x["delay_seconds"], x["observed_at"], x["confidence"], x["update_count"]) for x in got) == sorted(map(tuple, want))
 
@@ -129,7 +135,7 @@ def test_feed_source(spark, tmp_path):
     for _ in range(100):
         if (spark.sql("SELECT count(*) c FROM polled").first()["c"] or 0) >= 8:
             break
-        q.processAllAvailable() if False else __import__("time").sleep(0.3)
+        time.sleep(0.3)
     q.stop()
     assert spark.sql("SELECT count(DISTINCT poll_no) FROM polled").first()[0] >= 2
 
