@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railtide.llm.texts import whole_words
 from railtide.session import cut
 
 LEVELS = 4
@@ -55,7 +56,7 @@ def prose(text: str | None) -> str:
     ends with the text."""
     if not text:
         return ""
-    t = text.replace("\r\n", "\n").replace("\r", "\n")
+    t = whole_words(text)
     if "\\" in t or "%" in t or "$" in t:
         t = _COMMENT.sub("", t)
         macros = {}

@@ -38,6 +38,7 @@ Last without stop
 \bibitem{a} Book words.
 """
     assert R.prose(text).split("\n") == ["the cat sat on the mat see fig", "it was warm today", "new part goes on", "after it", "last without stop"]
+    assert R.prose("A coef-\n\ufb01cient of\u00a0this.") == "a coefficient of this"
     assert R.prose("Plain text. Two sentences.\r\nThird one") == "plain text\ntwo sentences\nthird one"
     assert R.prose(None) == R.prose("") == R.prose("% only a comment") == ""
 
