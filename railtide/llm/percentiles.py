@@ -177,33 +177,67 @@ def merge_levels(parts: DataFrame, keys: list[str], size: int, depth: int) -> Da
 
 def _merger(keys: list[str], size: int):
     by = [*keys, "part"]
+    names = [*by, "n", "v", "lo", "hi"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, out = None, [], []
-
-        def close() -> None:
-            out.append((*now, *_row(compress(merge(held), size))))
+    def closed(rows: list[tuple]) -> tuple:
+        """One summary of a group's rows, folded FAN_IN at a time where a task flushed several times."""
+        held: list[Summary] = []
+        for row in rows:
+            held.append(_summary(*row[len(by) :]))
+            if len(held) == FAN_IN:
+                held = [compress(merge(held), 4 * size)]
+        return (*rows[0][: len(by)], *_row(compress(merge(held), size)))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail: list[pd.DataFrame] = []  # rows of the group that the last batch ended with
         for b in batches:
-            for row in b[[*by, "n", "v", "lo", "hi"]].itertuples(index=False, name=None):
-                key = tuple(None if x is None or x is pd.NA or x != x else x for x in row[: len(by)])
-                if key != now:
-                    if held:
-                        close()
-                    now, held = key, []
-                held.append(_summary(*row[len(by) :]))
-                if len(held) == FAN_IN:  # a task that flushed several times: bounded all the same
-                    held = [compress(merge(held), 4 * size)]
-            if len(out) >= 2000:
-                yield pd.DataFrame(out, columns=[*by, "n", "v", "lo", "hi"])
-                out.clear()
-        if held:
-            close()
-        yield pd.DataFrame(out, columns=[*by, "n", "v", "lo", "hi"])
+            b = pd.concat([*tail, b[names]], ignore_index=True) if tail else b[names]
+            code = _runs(b, by)
+            last = int(np.searchsorted(code, code[-1])) if len(b) else 0
+            tail = [b.iloc[last:]] if len(b) else []
+            if last:
+                yield from _close(b.iloc[:last], code[:last], by, names, size, closed)
+        if tail:
+            yield from _close(tail[0], np.zeros(len(tail[0]), np.int64), by, names, size, closed)
 
     return run
 
 
+def _runs(b: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """A number per run of equal keys of sorted rows; nulls are equal to each other."""
+    if not len(b):
+        return np.empty(0, np.int64)
+    change = np.zeros(len(b), bool)
+    for k in by:
+        c, was = b[k], b[k].shift()
+        change |= ~((c == was) | (c.isna() & was.isna())).fillna(False).to_numpy(bool)
+    change[0] = False
+    return change.cumsum()
+
+
+def _close(b: pd.DataFrame, code: np.ndarray, by: list[str], names: list[str], size: int, closed) -> Iterator[pd.DataFrame]:
+    code = code - code[0]
+    n = b["n"].to_numpy(np.int64)
+    edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
+    total = np.add.reduceat(n, edge[:-1])
+    plain = (total <= size) & ~np.logical_or.reduceat(b["lo"].notna().to_numpy(), edge[:-1])
+    # groups that stay complete are merged all at once: their values sorted side by side
+    if plain.any():
+        rows = plain[code]
+        flat = np.concatenate([np.asarray(v, float) for v in b["v"].to_numpy()[rows]])
+        owner = np.repeat(code[rows], n[rows])
+        flat = flat[np.lexsort((flat, owner))]
+        out = b.iloc[edge[:-1][plain]][by].reset_index(drop=True)
+        out["n"] = total[plain]
+        out["v"] = pd.Series(np.split(flat, total[plain].cumsum()[:-1]), dtype=object)
+        out["lo"] = out["hi"] = None
+        yield out[names]
+    rest = np.flatnonzero(~plain)
+    for k in range(0, len(rest), 500):
+        rows = [list(b.iloc[edge[g] : edge[g + 1]].itertuples(index=False, name=None)) for g in rest[k : k + 500]]
+        yield pd.DataFrame([closed(r) for r in rows], columns=names)
+
+
 def merge_summaries(stored: list[DataFrame], keys: list[str], eps: float = EPS, levels: int = 2) -> DataFrame:
     """One summary per group from summaries made apart (days, files), each made with the same ``levels`` and eps."""
     parts = None
@@ -225,15 +259,26 @@ def percentiles(summary: DataFrame, keys: list[str], qs: dict[str, float]) -> Da
     schema = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), T.StructField("n", T.LongType()), T.StructField("rank_error", T.LongType()),
                            *(T.StructField(x, T.DoubleType()) for x in qs)])
 
+    share = np.array(list(qs.values()))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for row in b[[*keys, "n", "v", "lo", "hi"]].itertuples(index=False, name=None):
-                s = _summary(*row[len(keys) :])
-                ranks = np.maximum(1, np.ceil(np.array(list(qs.values())) * s[3] - 1e-9)).astype(np.int64)
-                at, far = pick(s, ranks)
-                out.append((*(None if x is pd.NA or x != x else x for x in row[: len(keys)]), s[3], int(far.max()), *s[0][at]))
-            yield pd.DataFrame(out, columns=schema.names)
+            n = b["n"].to_numpy(np.int64)
+            ranks = np.maximum(1, np.ceil(share[None, :] * n[:, None] - 1e-9)).astype(np.int64)
+            value, error = np.zeros(ranks.shape), np.zeros(len(b), np.int64)
+            plain = b["lo"].isna().to_numpy()
+            if plain.any():  # complete lists: the value of a rank stands at its place
+                flat = np.concatenate([np.asarray(v, float) for v in b["v"].to_numpy()[plain]])
+                value[plain] = flat[(np.r_[0, n[plain].cumsum()[:-1]])[:, None] + ranks[plain] - 1]
+            for i in np.flatnonzero(~plain):
+                s = _summary(n[i], b["v"].iat[i], b["lo"].iat[i], b["hi"].iat[i])
+                at, far = pick(s, ranks[i])
+                value[i], error[i] = s[0][at], far.max()
+            out = b[keys].reset_index(drop=True)
+            out["n"], out["rank_error"] = n, error
+            for k, name in enumerate(qs):
+                out[name] = value[:, k]
+            yield out
 
     return summary.mapInPandas(run, schema)
 
