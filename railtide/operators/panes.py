@@ -41,8 +41,9 @@ def pane_points(records: DataFrame, windows: DataFrame) -> DataFrame:
     ``windows`` has agency_id, route, stop_id, from_at, to_at (inclusive). Records with a null time have no pane.
     """
     key = ["agency_id", "route", "stop_id", "hour"]
+    # an unset stop reads as '', so that no condition on it reaches below the records, whose shuffle others may share
     ev = records.where("measured and not late and observed_at is not null").select(
-        "agency_id", "route", "stop_id", F.floor(F.col("observed_at") / HOUR).alias("hour"), F.col("observed_at").alias("t"),
+        "agency_id", "route", F.coalesce("stop_id", F.lit("")).alias("stop_id"), F.coalesce(F.floor(F.col("observed_at") / HOUR), F.lit(0)).alias("hour"), F.col("observed_at").alias("t"),
         F.lit(1).alias("kind"), "delay_seconds", "received_at", "delivery_id")
     bounds = windows.select("agency_id", "route", "stop_id", F.explode(F.array(F.col("from_at"), F.col("to_at") + 1)).alias("t")).distinct()
     bounds = bounds.select("agency_id", "route", "stop_id", F.floor(F.col("t") / HOUR).alias("hour"), "t", F.lit(0).alias("kind"))
@@ -113,7 +114,8 @@ def route_hours(events: DataFrame) -> DataFrame:
 
 def corrected_cases(events: DataFrame, predictions: DataFrame) -> DataFrame:
     """(case_kind, case_id): records that came too late, and predictions whose maximum was corrected."""
-    records = first_records(events)
+    # the same condition on both uses lets them share one shuffle; without a time a record is neither late nor in a pane
+    records = first_records(events).where("observed_at is not null")
     late = records.where("late").select(F.lit("event").alias("case_kind"), F.col("delivery_id").cast("string").alias("case_id"))
     moved = observed_maxima(records, predictions).where("observed_final > observed_first")
     return late.unionByName(moved.select(F.lit("prediction").alias("case_kind"), F.col("id").alias("case_id")))
