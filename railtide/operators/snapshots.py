@@ -16,7 +16,7 @@ from railtide.session import cut
 
 LEVELS = 3
 LEAF_ROWS = 256
-MAX_BITS = 15
+MAX_BITS = 24
 SUMS = ("h1", "h2", "h3")
 
 
