@@ -37,6 +37,21 @@ chg AS (
     FROM chg k JOIN ev2 e ON e.a = k.a AND e.t = k.t AND e.s = k.s AND e.cn = k.cn AND e.sn = k.sn AND e.n = k.n + 1))"""
 
 
+_TTL = f"""WITH RECURSIVE ev0 AS (@EV), ev1 AS (SELECT *, count(*) FILTER (type = 'TRIP_CANCELLED') OVER (PARTITION BY a, t ORDER BY seq) AS cn, count(*) FILTER (type = 'SKIP_STOP') OVER (PARTITION BY a, t, s ORDER BY seq) AS sn
+  FROM ev0 WHERE delay_seconds IS NOT NULL AND observed_at IS NOT NULL),
+ev2 AS (SELECT *, row_number() OVER (PARTITION BY a, t, s, cn, sn ORDER BY seq) AS n FROM ev1 WHERE type NOT IN ('TRIP_CANCELLED', 'SKIP_STOP')),
+chg AS (
+  SELECT a, t, s, cn, sn, n, seq, 'upsert' AS op, delay_seconds AS d, observed_at AS o, 0.5::DOUBLE AS conf, 1 AS c, received_at AS w FROM ev2 WHERE n = 1
+  UNION ALL
+  SELECT a, t, s, cn, sn, n, seq, CASE WHEN late THEN 'drop' ELSE 'upsert' END, CASE WHEN lost THEN x WHEN late THEN d ELSE {_STEP} END, CASE WHEN late THEN o ELSE xo END,
+    CASE WHEN lost THEN 0.5::DOUBLE WHEN late THEN conf WHEN abs(x::BIGINT - d::BIGINT) <= 30 THEN least(1.0::DOUBLE, conf + 0.1::DOUBLE) ELSE 0.5::DOUBLE END,
+    CASE WHEN lost THEN 1 WHEN late THEN c ELSE c + 1 END, CASE WHEN late THEN w ELSE arrived END
+  FROM (SELECT e.a, e.t, e.s, e.cn, e.sn, e.n, e.seq, e.delay_seconds AS x, e.observed_at AS xo, e.received_at AS arrived, k.d, k.o, k.conf, k.c, k.w,
+    e.received_at - k.w > 7200 AS lost, e.received_at - k.w <= 7200 AND e.observed_at < k.o AS late
+    FROM chg k JOIN ev2 e ON e.a = k.a AND e.t = k.t AND e.s = k.s AND e.cn = k.cn AND e.sn = k.sn AND e.n = k.n + 1))
+SELECT seq, op, CASE WHEN op = 'upsert' THEN d END AS delay_seconds, CASE WHEN op = 'upsert' THEN o END AS observed_at,
+  CASE WHEN op = 'upsert' THEN conf END AS confidence, CASE WHEN op = 'upsert' THEN c END::INT AS update_count FROM chg"""
+
 _CUR = """cur AS (SELECT a, t, s, d, o, conf, c FROM (SELECT *, row_number() OVER (PARTITION BY a, t, s ORDER BY n_all DESC) AS rn FROM (
   SELECT chg.*, seq AS n_all FROM chg WHERE op = 'upsert')) x
   WHERE rn = 1 AND cn = coalesce((SELECT max(cn) FROM ev1 y WHERE y.a = x.a AND y.t = x.t), 0) AND sn = coalesce((SELECT max(sn) FROM ev1 z WHERE z.a = x.a AND z.t = x.t AND z.s = x.s), 0))"""
@@ -170,6 +185,7 @@ ORACLE = {
     "state_changelog": f"""WITH RECURSIVE {_changelog(_EV)} SELECT seq, op, CASE WHEN op = 'upsert' THEN d END AS delay_seconds, CASE WHEN op = 'upsert' THEN o END AS observed_at,
   CASE WHEN op = 'upsert' THEN conf END AS confidence, CASE WHEN op = 'upsert' THEN c END::INT AS update_count FROM chg""",
     "delay_state_current": f"WITH RECURSIVE {_changelog(_EV)}, {_CUR} SELECT a AS agency_id, t AS trip_id, s AS stop_id, d AS delay_seconds, o AS observed_at, conf AS confidence, c::INT AS update_count FROM cur",
+    "state_with_ttl": _TTL.replace("@EV", _EV),
     "active_delays": f"SELECT state_id, r AS route_id, delay_seconds FROM ({_STATE}) WHERE abs(delay_seconds::BIGINT) > 60",
     "delay_stats": "SELECT count(*) AS active, avg(abs(delay_seconds::BIGINT)) AS mean_abs, max(abs(delay_seconds::BIGINT)) AS max_abs FROM delay_state WHERE abs(delay_seconds::BIGINT) > 60",
     "top5_per_route": f"""SELECT r AS route_id, n::INT AS position, t AS trip_id, stop_id, delay_seconds, greatest(0, k - 5) AS more FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY delay_seconds DESC, t, stop_id) AS n,
