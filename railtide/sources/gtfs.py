@@ -161,10 +161,10 @@ def normalized_transfers(transfers: DataFrame, stops: DataFrame) -> DataFrame:
 
 def build(stops: DataFrame, routes: DataFrame, trips: DataFrame, stop_times: DataFrame, transfers: DataFrame, services: DataFrame, tz: str = "UTC",
           materialize: bool = True) -> Timetable:
-    """The service day's timetable. What lookups use again and again is written to the shared folder once."""
+    """The service day's timetable. The departures, which lookups use again and again, are written to the shared folder once."""
     active = trips.join(services, "service_id", "left_semi")
     keep = cut if materialize else (lambda df: df)
-    return Timetable(keep(stops), routes, keep(trips), keep(normalized_transfers(transfers, stops)), keep(departures(stop_times, active, stops)), tz)
+    return Timetable(stops, routes, trips, normalized_transfers(transfers, stops), keep(departures(stop_times, active, stops)), tz)
 
 
 def load(spark: SparkSession, folder: str, day: dt.date) -> Timetable:
