@@ -198,7 +198,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_i
     English is a null language or one that begins with ``en``. Null and empty texts, and texts with fewer than
     min_words words of prose, have no row; a repeated document row gives its row again. ``unfamiliar`` is the share of
     words outside the list of the plainest grade. Null levels and raters' rows for unknown documents are ignored; of
-    disagreeing raters the lower median counts. Other columns are ignored; empty documents give no rows, and without
+    disagreeing raters the lower median counts, and levels other than 1 to 4 are no ratings. Other columns are ignored; empty documents give no rows, and without
     labels every document gets level 1.
     """
     done = cut(prose_and_frequencies(documents, doc_id, text, lang))
@@ -207,9 +207,16 @@ def reading_levels(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_i
     # bounded whatever the corpus: at most (mean distinct words of a document) / min_share words are this frequent
     frequent = {r["word"] for r in done.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
                 .where(F.col("n") >= max(2, min_share * total)).toLocalIterator()}
-    rated = labels.where("reading_level is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.element_at(F.sort_array(F.collect_list("reading_level")), F.greatest(F.lit(1), F.ceil(F.count("*") / 2).cast("int"))).alias("level"))
-    rated = rated.where(F.col("level").between(1, LEVELS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
+    # counts per level, not lists: the lower median is the first level that half of the raters don't exceed
+    level, upto, half = F.lit(LEVELS), F.lit(0), F.ceil(F.count("*") / 2)
+    votes = labels.where(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    steps = []
+    for k in range(1, LEVELS):
+        upto = upto + F.count_if(F.col("reading_level") == k)
+        steps.append((upto >= half, k))
+    for reached, k in reversed(steps):
+        level = F.when(reached, k).otherwise(level)
+    rated = votes.agg(level.alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     known = docs.join(F.broadcast(rated), "doc_id").dropDuplicates(["doc_id"])
     model = fit([(r["prose"], r["level"]) for r in known.orderBy("doc_id").toLocalIterator()], frequent)
     return docs.mapInArrow(_scorer(model, min_words), "doc_id long, reading_level int, words int, sentence_length double, unfamiliar double")
