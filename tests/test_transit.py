@@ -80,7 +80,7 @@ def test_route_of_trip(spark):
 
 def test_config(tmp_path):
     p = tmp_path / "c.yaml"
-    p.write_text("agency_id: mta\nfeeds:\n- {name: a, url: u}\n- {name: b, url: v, poll_interval: 500ms, routes: [L]}\npropagation: {max_depth: 0, min_delay: 20}\n")
+    p.write_text("agency_id: ag\nfeeds:\n- {name: a, url: u}\n- {name: b, url: v, poll_interval: 500ms, routes: [L]}\npropagation: {max_depth: 0, min_delay: 20}\n")
     c = config.load(str(p))
     assert (c.kafka_topic, c.polling_default_interval, c.feeds[0].poll_interval, c.feeds[1].poll_interval) == ("delay-events", 15.0, 15.0, 0.5)
     assert (c.propagation.max_depth, c.propagation.min_delay, c.propagation.decay) == (5, 20, 0.7)
