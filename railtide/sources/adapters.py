@@ -1,7 +1,9 @@
 """The star-schema test tables seen as a timetable: one SQL text per view, the same for Spark and DuckDB.
 
 Suppliers are stops and nations their parent stations, orders are trips and line items their stop times; nations of one
-region are linked by transfers, and the events table becomes a stream of delay events. Curly names stand for tables.
+region are linked by transfers, and the events table becomes a stream of delay events: each event stands at stop time
+event_id % count + 1 in order of trip and sequence, so none is lost. The stop times are numbered within blocks of trips
+whose ids begin alike, after the number of stop times in earlier blocks. Curly names stand for tables.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s FROM {lineitem} GROUP
   concat('N', CAST(b.n_nationkey AS STRING)) AS to_stop_id, CAST(CASE WHEN (a.n_nationkey * b.n_nationkey) % 7 = 3 THEN 3 ELSE 2 END AS INT) AS transfer_type,
   CAST(60 * ((a.n_nationkey + b.n_nationkey) % 4) AS INT) AS min_transfer_time
 FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s FROM {supplier} GROUP BY s_nationkey) f ON f.s_nationkey = a.n_nationkey""",
+    "g_stop_rows": """SELECT s.trip_id, s.stop_id, s.departure_secs, b.before + row_number() OVER (PARTITION BY b.block ORDER BY s.trip_id, s.stop_sequence) AS n
+FROM (SELECT block, CAST(sum(stops) OVER (ORDER BY block) - stops AS BIGINT) AS before FROM (SELECT substr(trip_id, 1, 9) AS block, count(*) AS stops FROM {g_stop_times} GROUP BY 1)) b
+JOIN {g_stop_times} s ON substr(s.trip_id, 1, 9) = b.block""",
     "g_events": """SELECT e.event_id AS seq, 'ag' AS agency_id, t.trip_id, t.route_id, s.stop_id, CAST(floor(e.value * 3) - 120 AS INT) AS delay_seconds, e.at AS observed_at,
   e.at - e.at % 86400 + s.departure_secs AS scheduled_arrival, e.at - e.at % 86400 + s.departure_secs + CAST(floor(e.value * 3) - 120 AS BIGINT) AS predicted_arrival,
   CASE e.event_type WHEN 'click' THEN 'DEPARTURE_DELAY' WHEN 'signup' THEN 'SKIP_STOP' WHEN 'error' THEN 'TRIP_CANCELLED' ELSE 'ARRIVAL_DELAY' END AS type
-FROM (SELECT event_id, value, event_type, CAST(floor({epoch}) AS BIGINT) AS at, event_id % (SELECT count(*) FROM {orders}) AS k, CAST(1 + event_id % 7 AS INT) AS n FROM {events}) e
-JOIN {g_trips} t ON t.o_orderkey = e.k JOIN {g_stop_times} s ON s.trip_id = t.trip_id AND s.stop_sequence = e.n""",
+FROM (SELECT event_id, value, event_type, CAST(floor({epoch}) AS BIGINT) AS at, event_id % (SELECT count(*) FROM {g_stop_times}) + 1 AS n FROM {events}) e
+JOIN {g_stop_rows} s ON s.n = e.n JOIN {g_trips} t ON t.trip_id = s.trip_id""",
     "g_predictions": """SELECT seq, 'ag' AS agency_id, CASE WHEN seq % 3 = 0 THEN trip_id WHEN seq % 3 = 1 THEN substr(trip_id, 4) ELSE concat(trip_id, 'X') END AS trip_id,
   CASE WHEN seq % 2 = 0 THEN route_id ELSE '' END AS route_id, CASE WHEN seq % 5 = 0 THEN concat('N', CAST(seq % 25 AS STRING)) ELSE stop_id END AS stop_id,
   CAST(CASE WHEN seq % 4 = 3 THEN delay_seconds ELSE 0 END AS INT) AS delay_seconds, observed_at,

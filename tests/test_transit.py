@@ -476,3 +476,15 @@ def test_api(spark):
     top = state.top_delays(st, 1).collect()
     assert [(r["trip_id"], r["more"]) for r in top] == [("unknown", 1)]
     assert rows(state.delay_stats(st)) == [(2, 410.0, 700)]
+
+
+def test_every_event_has_its_stop_time(spark, folder):
+    from railtide.sources.adapters import Adapter
+    from railtide.sources.tables import table
+
+    a = Adapter(spark, folder)
+    got = {e["seq"]: (e["trip_id"], e["stop_id"]) for e in a["g_events"].collect()}
+    stops = sorted((s["trip_id"], s["stop_sequence"], s["stop_id"]) for s in a["g_stop_times"].collect())
+    ids = [e["event_id"] for e in table(spark, folder, "events").select("event_id").collect()]
+    assert a["g_events"].count() == a["g_predictions"].count() == len(ids)
+    assert got == {i: stops[i % len(stops)][::2] for i in ids}
