@@ -123,14 +123,14 @@ def fields_of(record: str) -> list[str]:
     text = record.removeprefix("\ufeff").removesuffix("\n").removesuffix("\r")
     if "\x00" in text:
         text = text.replace("\x00", "\ufffd")  # the reader refuses NUL; it is an odd character, not a quoting fault
-    rows = list(csv.reader(assemble(iter(text.split("\n"))), strict=True)) if '"' in text or "\n" in text else [text.split(",")]
+    rows = list(csv.reader(assemble(iter(text.split("\n"))) if "\n" in text else [text], strict=True))
     if len(rows) != 1:
         raise csv.Error("a line break outside quotes" if rows else "nothing")
     # The reader takes a quote inside a plain field as a character of it.
     if '"' in text:
         if _plain_quote(text):
             raise csv.Error("a quote inside a plain field")
-    return rows[0]
+    return rows[0] or [""]  # the reader gives an empty line no field
 
 
 def _plain_quote(text: str) -> bool:

@@ -53,3 +53,8 @@ def test_files(spark, tmp_path):
 def test_reader_is_strict():
     with pytest.raises(csv.Error):
         r.fields_of('"a" b,c')
+
+
+def test_plain_records_go_through_the_reader():
+    assert r.parse_one("stop_times.txt", "T1\r,08:05:00,,S1,3")[0] == "quoting" and r.parse_one("stop_times.txt", GOOD + "\r\n")[0] is None
+    assert r.fields_of("") == [""] and r.fields_of("a,,b") == ["a", "", "b"]
