@@ -66,12 +66,13 @@ LAYOUTS = {
 }
 
 
-def assemble(lines: Iterator[str], max_lines: int = 100) -> Iterator[str]:
+def assemble(lines: Iterator[str], max_lines: int | None = None) -> Iterator[str]:
     """Physical lines to records: a line break inside an open quoted field continues the record.
 
     A quote opens a field only at the field's start, so a stray quote within a plain field joins nothing. Where a field
-    isn't closed within ``max_lines`` lines or by the end, its first line stands alone (and will fail to parse) and
-    assembly starts again at the next, so a lost quote costs one line and not the rest of the file.
+    isn't closed by the end (or within ``max_lines`` lines, if given), or the joined lines are no record to the strict
+    reader, the first line stands alone (and will fail to parse) and assembly starts again at the next, so a lost quote
+    costs one line and not the rest of the file.
     """
     waiting: deque[str] = deque()
     source = iter(lines)
@@ -81,28 +82,30 @@ def assemble(lines: Iterator[str], max_lines: int = 100) -> Iterator[str]:
             if line is None:
                 return
             waiting.append(line)
-        record, used = waiting[0], 1
-        while _open(record) and used < max_lines:
-            if used == len(waiting):
-                line = next(source, None)
-                if line is None:
-                    break
-                waiting.append(line)
-            record = f"{record}\n{waiting[used]}"
-            used += 1
-        if _open(record):
-            record, used = waiting[0], 1
-        for _ in range(used):
-            waiting.popleft()
+        if not _open(waiting[0]):
+            yield waiting.popleft()
+            continue
+        parts, inside = [waiting.popleft()], True
+        while inside and (max_lines is None or len(parts) < max_lines):
+            line = waiting.popleft() if waiting else next(source, None)
+            if line is None:
+                break
+            parts.append(line)
+            inside = _open(line, True)
+        record = "\n".join(parts)
+        if inside or not _reads(record):
+            record = parts[0]
+            waiting.extendleft(reversed(parts[1:]))
         yield record
 
 
-def _open(text: str) -> bool:
-    """True if the text ends inside a quoted field."""
+def _open(text: str, inside: bool = False) -> bool:
+    """True if the text, which may begin inside a quoted field, ends inside one."""
     i, n = 0, len(text)
-    while i < n:
-        if text[i] == '"':
-            i += 1
+    while inside or i < n:
+        if inside or text[i] == '"':
+            i += not inside
+            inside = False
             while True:
                 i = text.find('"', i)
                 if i < 0:
@@ -118,6 +121,14 @@ def _open(text: str) -> bool:
     return False
 
 
+def _reads(record: str) -> bool:
+    """True if the strict reader takes joined lines as one record."""
+    try:
+        return len(list(csv.reader([record.replace("\x00", "\ufffd")], strict=True))) == 1
+    except csv.Error:
+        return False
+
+
 def fields_of(record: str) -> list[str]:
     """The fields by Python's strict csv reader; csv.Error where quotes stand other than around whole fields."""
     text = record.removeprefix("\ufeff").removesuffix("\n").removesuffix("\r")

@@ -58,3 +58,14 @@ def test_reader_is_strict():
 def test_plain_records_go_through_the_reader():
     assert r.parse_one("stop_times.txt", "T1\r,08:05:00,,S1,3")[0] == "quoting" and r.parse_one("stop_times.txt", GOOD + "\r\n")[0] is None
     assert r.fields_of("") == [""] and r.fields_of("a,,b") == ["a", "", "b"]
+
+
+def test_long_quoted_fields_are_whole(spark, tmp_path):
+    name = "\n".join(f"line {k}" for k in range(250))
+    assert r.parse_one("stops.txt", f'S1,"{name}",1,2,0,') == (None, ["S1", name, "1", "2", "0", ""])
+    lost = ['S0,"lost,1,2,0,', *(f"S{k},x,1,2,0," for k in range(150))]  # the next quote is far away and closes nothing
+    lines = [*lost, *f'S1,"{name}",1,2,0,'.split("\n"), "S3,x,4,5,1,"]
+    assert list(r.assemble(iter(lines))) == [*lost, f'S1,"{name}",1,2,0,', "S3,x,4,5,1,"]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    got = [x["reason"] for x in r.load_csv(spark, str(tmp_path), r.LAYOUTS["stops.txt"]).orderBy("record_no").collect()]
+    assert got == ["quoting", *[None] * 152]
