@@ -30,6 +30,16 @@ def message_id() -> list[Column]:
     return [clean("trip_id").alias("trip_id"), clean("stop_id").alias("stop_id"), F.col("observed_at")]
 
 
+def complete_runs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the runs of a folder that were written to their end."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName().removeprefix("run=") for s in fs.listStatus(p) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
 class MessageStore:
     """A folder of sorted runs. Identifiers, the order that says which copy is first, and the columns kept are fixed.
 
@@ -50,12 +60,7 @@ class MessageStore:
         first.repartition("bucket").sortWithinPartitions("bucket", *self.ids).write.mode("overwrite").parquet(f"{self.path}/run={name}")
 
     def _names(self) -> list[str]:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        return sorted(s.getPath().getName().removeprefix("run=") for s in fs.listStatus(p) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        return complete_runs(self.spark, self.path)
 
     def upsert(self, batch: DataFrame, token: str) -> None:
         """Write a batch as the sorted run of its token; the same token again replaces it."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railtide.functions.ids import clean, is_measurement, route
-from railtide.operators.messages import MessageStore, first_of
+from railtide.operators.messages import MessageStore, complete_runs, first_of
 from railtide.operators.panes import HOUR, cut_off
 from railtide.session import cut, shared_path
 
@@ -18,13 +18,12 @@ class HourStore:
     """Hours of routes as panes: a micro-batch writes its deltas as one run, and only the hours it touches are recomposed.
 
     Batches must arrive in order of received_at, as a consumer sees them: a message already stored is a repetition. A
-    batch applied again replaces its run. Records after their cut-off are counted apart and change nothing.
+    batch applied again replaces its run. The runs are those of the folder, so a restarted stream goes on where it was. Records after their cut-off are counted apart and change nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_path(spark, "hours")
         self.seen = MessageStore(spark, f"{self.path}/seen", IDS, ["received_at", "delivery_id"])
-        self.batches: list[int] = []
 
     def apply(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Fold a batch in; the hours it changed, with their new values."""
@@ -45,13 +44,14 @@ class HourStore:
             F.count(x).alias("n"), F.sum(x.cast("long")).alias("total"), F.min(x).alias("low"), F.max(x).alias("high"), F.count(F.when(late, 1)).alias("n_late"))
         delta.write.mode("overwrite").parquet(f"{self.path}/panes/run={batch_id:08d}")
         self.seen.upsert(new.select(*IDS, "received_at", "delivery_id"), f"{batch_id:08d}")
-        if batch_id not in self.batches:
-            self.batches.append(batch_id)
         touched = self.spark.read.parquet(f"{self.path}/panes/run={batch_id:08d}").select(*KEY).distinct()
         return self.read().join(touched, KEY, "left_semi")
 
     def read(self) -> DataFrame:
-        runs = self.spark.read.parquet(*(f"{self.path}/panes/run={b:08d}" for b in self.batches))
+        names = complete_runs(self.spark, f"{self.path}/panes")
+        if not names:
+            raise ValueError("the store has no runs yet")
+        runs = self.spark.read.parquet(*(f"{self.path}/panes/run={n}" for n in names))
         return runs.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n_late").alias("n_late"))
 
 

@@ -73,6 +73,17 @@ def test_hours_are_corrected(spark, tmp_path):
     assert {tuple(x) for x in store.read().collect()} == want and again.count() > 0
 
 
+def test_corrected_hours_after_a_restart(spark, tmp_path):
+    kind = "delivery_id long, received_at long, agency_id string, trip_id string, route_id string, stop_id string, delay_seconds int, observed_at long, type string"
+    rows = [(i, 7200 + i, "a", f"t{i}", "R", "s", 10 * i, 7200, "ARRIVAL_DELAY") for i in range(4)]
+    with pytest.raises(ValueError, match="no runs"):
+        spanes.HourStore(spark, f"{tmp_path}/store").read()
+    spanes.HourStore(spark, f"{tmp_path}/store").apply(spark.createDataFrame(rows[:2], kind), 0)
+    again = spanes.HourStore(spark, f"{tmp_path}/store")
+    want = [("a", "R", 2, 4, 60, 0, 30, 0)]
+    assert [tuple(x) for x in again.apply(spark.createDataFrame(rows[1:], kind), 1).collect()] == want == [tuple(x) for x in again.read().collect()]
+
+
 def test_alert_stream(spark, tmp_path):
     rows = [("A", "L", "S1"), ("B", "G", "S2"), ("L", "B", "S3")]
     kind = "from_route_id string, to_route_id string, station_id string"
