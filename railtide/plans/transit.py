@@ -145,6 +145,12 @@ def state_changelog(spark: SparkSession, folder: str) -> DataFrame:
     return log.select("seq", "op", "delay_seconds", "observed_at", "confidence", "update_count")
 
 
+def state_changelog_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The changelog with its retractions: what state_changelog has, and a row for every cancelled trip and skipped stop."""
+    log = state.changelog(_events(spark, folder))
+    return log.select("seq", *state.KEY, "op", "delay_seconds", "observed_at", "confidence", "update_count")
+
+
 def delay_state_current(spark: SparkSession, folder: str) -> DataFrame:
     return state.current(state.changelog(_events(spark, folder))).drop("route_id")
 
@@ -339,7 +345,7 @@ def per_stop_blend(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     active_services, active_trips, stop_parent, routes_at_stop, graph_stats, transfers_normalized, headway_index, headway_lookup, next_departures_n,
     next_departure_overnight, resolve_trip, scheduled_stop_time, downstream_stops, service_time_parse, route_of_trip, confidence_buckets, normalize_events,
-    diff_events, enrich_delay, state_changelog, delay_state_current, state_with_ttl, active_delays, delay_stats, top5_per_route, live_max, network_state,
+    diff_events, enrich_delay, state_changelog, state_changelog_whole, delay_state_current, state_with_ttl, active_delays, delay_stats, top5_per_route, live_max, network_state,
     route_delays, transfer_impacts, broken_transfers_by_station, alerts_filtered, initial_delay_estimate, dwell_seed, per_stop_blend, first_hop_cascade,
     cascade_walk, predict_impact, blast_radius, track_predictions, baseline_delays, match_predictions, realized_wait, sweep_outcomes, eval_metrics,
     learned_history, learned_stop_history, history_average, stop_history_average, transfer_reliability)}

@@ -184,6 +184,9 @@ ORACLE = {
   SELECT seq, coalesce(d, delay_seconds)::INT AS delay_seconds, CASE WHEN d IS NOT NULL THEN predicted_arrival - d ELSE scheduled_arrival END AS scheduled_arrival, CASE WHEN need THEN d IS NOT NULL END AS enriched FROM z""",
     "state_changelog": f"""WITH RECURSIVE {_changelog(_EV)} SELECT seq, op, CASE WHEN op = 'upsert' THEN d END AS delay_seconds, CASE WHEN op = 'upsert' THEN o END AS observed_at,
   CASE WHEN op = 'upsert' THEN conf END AS confidence, CASE WHEN op = 'upsert' THEN c END::INT AS update_count FROM chg""",
+    "state_changelog_whole": f"""WITH RECURSIVE {_changelog(_EV)} SELECT seq, a AS agency_id, t AS trip_id, s AS stop_id, op, CASE WHEN op = 'upsert' THEN d END AS delay_seconds,
+  CASE WHEN op = 'upsert' THEN o END AS observed_at, CASE WHEN op = 'upsert' THEN conf END AS confidence, CASE WHEN op = 'upsert' THEN c END::INT AS update_count FROM chg
+UNION ALL SELECT seq, a, t, s, 'delete', NULL, NULL, NULL, NULL FROM ev1 WHERE type IN ('TRIP_CANCELLED', 'SKIP_STOP')""",
     "delay_state_current": f"WITH RECURSIVE {_changelog(_EV)}, {_CUR} SELECT a AS agency_id, t AS trip_id, s AS stop_id, d AS delay_seconds, o AS observed_at, conf AS confidence, c::INT AS update_count FROM cur",
     "state_with_ttl": _TTL.replace("@EV", _EV),
     "active_delays": f"SELECT state_id, r AS route_id, delay_seconds FROM ({_STATE}) WHERE abs(delay_seconds::BIGINT) > 60",

@@ -488,3 +488,13 @@ def test_every_event_has_its_stop_time(spark, folder):
     ids = [e["event_id"] for e in table(spark, folder, "events").select("event_id").collect()]
     assert a["g_events"].count() == a["g_predictions"].count() == len(ids)
     assert got == {i: stops[i % len(stops)][::2] for i in ids}
+
+
+def test_whole_changelog_has_the_retractions(spark, folder):
+    import __spark_entry__ as entry
+    from railtide.sources.tables import table
+
+    log = entry.queries()["state_changelog_whole"](spark, folder)
+    e = table(spark, folder, "delay_events").where("type in ('TRIP_CANCELLED', 'SKIP_STOP') and delay_seconds is not null and observed_at is not null")
+    want = sorted(rows(e, "delivery_id"))
+    assert want and sorted(rows(log.where("op = 'delete'"), "seq")) == want
