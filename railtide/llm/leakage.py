@@ -28,10 +28,11 @@ Q = 20
 BAND = 96
 #: Fewest hits of a band: a stretch of six plain words without an edit.
 BAND_HITS = 8
-#: Least share of a passage's usable q-grams that its bands must keep: half the words less the q-grams lost to
+#: Least share of a passage's q-grams that its bands must keep: half the words less the q-grams lost to
 #: exchanged words (one in six words, each costing about q + 5 of the 36 q-grams that begin in six words).
 KEEP = 0.12
-#: q-grams found in more passages than this are set phrases; they are left out of the index and of the bound.
+#: q-grams found in more passages than this are set phrases; they are left out of the index for the passages that lose at
+#: most half the bound by it, and what a passage loses is taken off its bound. Other passages keep all theirs.
 MAX_PASSAGES = 12
 SHARE = 0.5
 MIN_STRETCH = 5
@@ -75,6 +76,7 @@ class Index:
     words: list[list[bytes]]
     sizes: np.ndarray
     usable: np.ndarray
+    need: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
     passage: np.ndarray
@@ -105,11 +107,15 @@ def build_index(items: list[tuple[int, str | None]], max_passages: int = MAX_PAS
     new = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])] if len(h) else np.empty(0, bool)
     group = np.r_[True, h[1:] != h[:-1]].cumsum() - 1 if len(h) else np.empty(0, np.int64)
     spread = np.bincount(group, weights=new)[group] if len(h) else np.empty(0)
-    ok = spread <= max_passages
+    total = np.bincount(p, minlength=len(by))
+    often = spread > max_passages
+    lost = np.bincount(p[often], minlength=len(by))
+    ok = ~often | (lost > KEEP * total / 2)[p]
     h, p, a = h[ok], p[ok], a[ok]
     uniq, starts = np.unique(h, return_index=True)
     usable = np.bincount(p, minlength=len(by))
-    return Index(list(by.values()), [t.split() for t in by], np.array([len(t) for t in by], np.int64), usable, uniq,
+    need = np.maximum(1, KEEP * total - (total - usable))
+    return Index(list(by.values()), [t.split() for t in by], np.array([len(t) for t in by], np.int64), usable, need, uniq,
                  np.r_[starts, len(h)].astype(np.int64), p, a)
 
 
@@ -137,9 +143,8 @@ def _bands(index: Index, pos: np.ndarray, slot: np.ndarray) -> dict[int, list[tu
     # distinct q-grams of a passage within its kept bands against the share that the bound asks for
     seen = np.unique(item[hit] * (1 << 32) + at[hit])
     held = np.bincount((seen >> 32).astype(np.int64), minlength=len(index.usable))
-    need = np.maximum(1, KEEP * index.usable)
     for i, rows in kept:
-        if held[i] >= need[i]:
+        if held[i] >= index.need[i]:
             found.setdefault(i, []).append((int(doc[rows].min()), int(doc[rows].max()), int(at[rows].min()), int(at[rows].max())))
     return found
 

@@ -111,3 +111,11 @@ def test_alignment_is_banded():
     p = [w.encode() for w in words(40, 5)]
     assert L.align(p, p, 0)[0][:4] == (0, 39, 0, 39)
     assert L.align(p, [b"x"] * 100 + p, 0) == [] and L.align(p, [b"x"] * 100 + p, 100)[0][4] == 40
+
+
+def test_variants_of_one_text_are_found():
+    base = words(60, 31)
+    items = [(i, " ".join([*base[:50], *words(10, 600 + i)])) for i in range(20)]
+    index = L.build_index(items)
+    got = {i for k in L.search(index, index.bitmap(), doc(base[:50], seed=31)) for i in index.ids[k]}
+    assert got == set(range(20))
