@@ -3,16 +3,23 @@
 Both sides are reduced to lower-case words with single blanks between them; markup commands, punctuation and line
 breaks are set aside and comments stay. The passages, a set far smaller than the corpus, are indexed by the hashes of
 their character q-grams. Each task slides over whole documents: a q-gram of the document that a passage shares is a hit
-on a diagonal (document position - passage position). Hits are counted in overlapping bands of diagonals. By the q-gram
-lemma a stretch of m characters with k edits keeps at least m - q + 1 - k q of its q-grams, so a band with fewer hits
-than the smallest stretch leaves is dropped, and a passage whose bands keep too small a share of its q-grams can't have
-half its words there. What is left is aligned word by word inside the band (local alignment, iterated), alignments are
-chained in passage order, and a passage is reported if at least half of its words are held, a single word exchanged
-between two matches being held too.
+on a diagonal (document position - passage position). Hits are counted in overlapping bands of diagonals.
+
+The bound is the q-gram lemma with whole words as edits, worked out for every passage: of all q-grams those are lost that
+touch an exchanged word, and the bound is the least number left over all placements of the edit budget (``BUDGETS``: half
+of the passage with every fourth word exchanged, all of it with every third). q-grams that other passages share too
+tell little and cost much, so a passage is indexed by its rarest q-grams, as many as its bound needs to stay at ``BOUND``;
+the bound is worked out on just these, so nothing is lost by it, and a passage whose q-grams are all common keeps all.
+
+A passage whose few best bands hold fewer distinct q-grams than ``SLACK`` of its bound is dropped (the slack pays for the
+q-grams that end at the borders of stretches). What is left is aligned word by word inside the bands (local alignment,
+iterated), alignments are chained in passage order over the document's word positions, and a passage is reported if at
+least half of its words are held, a single word exchanged between two matches being held too.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,16 +31,18 @@ from pyspark.sql import functions as F
 
 from railtide.llm.texts import whole_words
 
-Q = 20
+Q = 12
 BAND = 96
-#: Fewest hits of a band: a stretch of six plain words without an edit.
-BAND_HITS = 8
-#: Least share of a passage's q-grams that its bands must keep: half the words less the q-grams lost to
-#: exchanged words (one in six words, each costing about q + 5 of the 36 q-grams that begin in six words).
-KEEP = 0.12
-#: q-grams found in more passages than this are set phrases; they are left out of the index for the passages that lose at
-#: most half the bound by it, and what a passage loses is taken off its bound. Other passages keep all theirs.
-MAX_PASSAGES = 12
+#: Fewest hits of a band, or the passage's bound where that is less.
+BAND_HITS = 4
+#: Edits that must not hide a passage: (every which word is exchanged, share of the passage that is there).
+BUDGETS = ((4, 0.5), (3, 1.0))
+#: A passage gets rarer q-grams left in its index until its bound is at least this.
+BOUND = 12
+#: Share of the bound that bands must hold; the rest may be lost where stretches begin and end.
+SLACK = 0.7
+#: Bands looked at per passage: both shifts of the best four stretches.
+BEST_BANDS = 8
 SHARE = 0.5
 MIN_STRETCH = 5
 WORD_BAND = 28
@@ -42,7 +51,7 @@ BLOCK_CHARS = 16_000_000
 
 _COMMAND = re.compile(r"\\[A-Za-z@]+\*?")
 _KEEP = bytes(c if (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256))
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 def normalize(text: str) -> bytes:
@@ -62,20 +71,41 @@ def gram_hashes(text: bytes) -> np.ndarray:
     v = np.ascontiguousarray(words).view("<u8").ravel()
     h = v[:n] * _M[0]
     h ^= h >> np.uint64(31)
-    h += v[8 : 8 + n] * _M[1]
-    h ^= h >> np.uint64(29)
-    h += v[Q - 8 : Q - 8 + n] * _M[2]
+    h += v[Q - 8 : Q - 8 + n] * _M[1]
+    h ^= h >> np.uint64(32)
+    h *= _M[0]
     return h
 
 
+def bound(words: list[bytes], usable: np.ndarray) -> int:
+    """The least number of usable q-grams that any placement of the edit budgets leaves of a passage."""
+    start = np.cumsum([0, *(len(w) + 1 for w in words)])
+    least = len(usable)
+    for every, share in BUDGETS:
+        held = math.ceil(len(words) * share)
+        first = np.arange(len(words) - held + 1)
+        begin = start[first]
+        end = np.maximum(begin, start[first + held] - Q)
+        for phase in range(every):
+            edited = np.zeros(start[-1], np.int64)
+            for k in range(phase, len(words), every):
+                edited[start[k] : start[k + 1] - 1] = 1
+            upto = np.r_[0, edited.cumsum()]
+            left = usable & (upto[Q : Q + len(usable)] == upto[: len(usable)])
+            upto = np.r_[0, left.cumsum()]
+            least = min(least, int((upto[np.minimum(end, len(usable))] - upto[np.minimum(begin, len(usable))]).min()))
+    return least
+
+
 @dataclass
 class Index:
-    """Postings of the usable q-grams: sorted hashes, their ranges, and (passage, position) of every occurrence."""
+    """Postings of the usable q-grams: sorted hashes, their ranges, and (passage, position) of every occurrence.
+
+    ``need`` is the number of distinct q-grams that a passage's best bands must hold."""
 
     ids: list[list[int]]
     words: list[list[bytes]]
     sizes: np.ndarray
-    usable: np.ndarray
     need: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
@@ -88,64 +118,55 @@ class Index:
         return seen
 
 
-def build_index(items: list[tuple[int, str | None]], max_passages: int = MAX_PASSAGES) -> Index:
+def build_index(items: list[tuple[int, str | None]]) -> Index:
     """Index (item id, passage) pairs; equal passages are indexed once. Empty and null passages match nothing."""
     by: dict[bytes, list[int]] = {}
     for i, text in items:
         if (t := normalize(text or "")):
             by.setdefault(t, []).append(i)
-    hs, ps, at = [], [], []
-    for k, t in enumerate(by):
-        h = gram_hashes(t)
-        hs.append(h)
-        ps.append(np.full(len(h), k, np.int32))
-        at.append(np.arange(len(h), dtype=np.int32))
-    h = np.concatenate([*hs, np.empty(0, np.uint64)])
-    p, a = np.concatenate([*ps, np.empty(0, np.int32)]), np.concatenate([*at, np.empty(0, np.int32)])
+    words, hashes = [t.split() for t in by], [gram_hashes(t) for t in by]
+    known, spread = np.unique(np.concatenate([*(np.unique(h) for h in hashes), np.empty(0, np.uint64)]), return_counts=True)
+    need, kept, owner, at = [], [], [], []
+    for k, (ws, h) in enumerate(zip(words, hashes)):
+        shared = spread[np.searchsorted(known, h)]
+        limit, most = 1, shared.max(initial=1)
+        while (least := bound(ws, shared <= limit)) < BOUND and limit < most:
+            limit *= 2
+        at.append(np.flatnonzero(shared <= limit).astype(np.int32))
+        kept.append(h[at[-1]])
+        owner.append(np.full(len(at[-1]), k, np.int32))
+        need.append(max(1, int(SLACK * least)))
+    h = np.concatenate([*kept, np.empty(0, np.uint64)])
+    p, a = np.concatenate([*owner, np.empty(0, np.int32)]), np.concatenate([*at, np.empty(0, np.int32)])
     order = np.lexsort((a, p, h))
     h, p, a = h[order], p[order], a[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])] if len(h) else np.empty(0, bool)
-    group = np.r_[True, h[1:] != h[:-1]].cumsum() - 1 if len(h) else np.empty(0, np.int64)
-    spread = np.bincount(group, weights=new)[group] if len(h) else np.empty(0)
-    total = np.bincount(p, minlength=len(by))
-    often = spread > max_passages
-    lost = np.bincount(p[often], minlength=len(by))
-    ok = ~often | (lost > KEEP * total / 2)[p]
-    h, p, a = h[ok], p[ok], a[ok]
     uniq, starts = np.unique(h, return_index=True)
-    usable = np.bincount(p, minlength=len(by))
-    need = np.maximum(1, KEEP * total - (total - usable))
-    return Index(list(by.values()), [t.split() for t in by], np.array([len(t) for t in by], np.int64), usable, need, uniq,
+    return Index(list(by.values()), words, np.array([len(t) for t in by], np.int64), np.array(need, np.int64), uniq,
                  np.r_[starts, len(h)].astype(np.int64), p, a)
 
 
-def _bands(index: Index, pos: np.ndarray, slot: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
-    """Passages that may be in the text: per passage the regions (first, last document and passage position)."""
+def _bands(index: Index, pos: np.ndarray, slot: np.ndarray) -> dict[int, list[int]]:
+    """Passages that may be in the text, and the diagonals of their bands."""
     count = index.starts[slot + 1] - index.starts[slot]
     doc = np.repeat(pos, count)
     entry = np.repeat(index.starts[slot] - np.r_[0, count.cumsum()[:-1]], count) + np.arange(count.sum())
     item, at = index.passage[entry].astype(np.int64), index.position[entry].astype(np.int64)
     diagonal = doc - at + (1 << 20)
-    found: dict[int, list[tuple[int, int, int, int]]] = {}
-    hit = np.zeros(len(doc), bool)
-    kept = []
+    bands: dict[int, list[np.ndarray]] = {}
+    fewest = np.minimum(index.need, BAND_HITS)
     for shift in (0, BAND // 2):
         key = item * (1 << 40) + (diagonal + shift) // BAND
         order = np.argsort(key, kind="stable")
         k = key[order]
         edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
-        for x in np.flatnonzero(np.diff(edge) >= BAND_HITS):
+        for x in np.flatnonzero(np.diff(edge) >= fewest[item[order[edge[:-1]]]]):
             rows = order[edge[x] : edge[x + 1]]
-            hit[rows] = True
-            kept.append((int(item[rows[0]]), rows))
-    if not kept:
-        return found
-    # distinct q-grams of a passage within its kept bands against the share that the bound asks for
-    seen = np.unique(item[hit] * (1 << 32) + at[hit])
-    held = np.bincount((seen >> 32).astype(np.int64), minlength=len(index.usable))
-    for i, rows in kept:
-        if held[i] >= index.need[i]:
-            found.setdefault(i, []).append((int(doc[rows].min()), int(doc[rows].max()), int(at[rows].min()), int(at[rows].max())))
+            bands.setdefault(int(item[rows[0]]), []).append(rows)
+    found: dict[int, list[int]] = {}
+    for i, kept in bands.items():
+        best = sorted(kept, key=len, reverse=True)[:BEST_BANDS]
+        if sum(map(len, best)) >= index.need[i] and len(np.unique(at[np.concatenate(best)])) >= index.need[i]:
+            found[i] = [int(np.sort(doc[r] - at[r])[len(r) // 2]) for r in best]
     return found
 
 
@@ -190,29 +211,67 @@ def align(passage: list[bytes], region: list[bytes], offset: int, band: int = WO
             taken[i] = True
 
 
-def matched_words(index: Index, item: int, text: bytes, regions: list[tuple[int, int, int, int]]) -> int:
-    """Words of a passage held in its order, over the regions that its bands left."""
+def _near(words: np.ndarray, region: np.ndarray, offset: int) -> np.ndarray:
+    """Per word of a passage: whether the region has it, or a single other word, where three of five words on one diagonal
+    of the band match."""
+    at = np.arange(len(words))[:, None] + np.arange(offset - WORD_BAND, offset + WORD_BAND + 1)[None, :]
+    same = np.zeros((len(words) + 8, at.shape[1]), np.int8)
+    same[4:-4] = (at >= 0) & (at < len(region)) & (region[np.clip(at, 0, len(region) - 1)] == words[:, None])
+    dense = same[:-4] + same[1:-3] + same[2:-2] + same[3:-1] + same[4:] >= 3
+    dense = dense[:-4] | dense[1:-3] | dense[2:-2] | dense[3:-1] | dense[4:]
+    return (dense & ((same[4:-4] > 0) | (same[3:-5] + same[5:-3] == 2))).any(1)
+
+
+def matched_words(index: Index, item: int, text: bytes, diagonals: list[int]) -> int:
+    """Words of a passage held in its order, over the stretches of text that its bands left.
+
+    Bands next to each other make one region. A word that no region has among other words of the passage is held by no
+    alignment, so a passage with too many of them needs none."""
     words, size = index.words[item], int(index.sizes[item])
     spans: list[list[int]] = []
-    for d0, d1, a0, a1 in sorted(regions):
-        lo, hi = max(0, d0 - a0 - BAND), min(len(text), d1 + size - a1 + BAND)
-        if spans and lo <= spans[-1][1] and d0 - a0 - spans[-1][2] <= BAND:
+    for diagonal in sorted(diagonals):
+        lo, hi = max(0, diagonal - BAND), min(len(text), diagonal + size + BAND)
+        if spans and abs(diagonal - spans[-1][2]) <= BAND // 2:
             spans[-1][1] = max(spans[-1][1], hi)
         else:
-            spans.append([lo, hi, d0 - a0])
+            spans.append([lo, hi, diagonal])
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    ids = np.array([number[w] for w in words])
+    regions = []
+    for lo, hi, diagonal in spans:
+        lo = text.rfind(b" ", 0, lo) + 1  # whole words
+        end = text.find(b" ", hi)
+        region = text[lo : end if end >= 0 else len(text)].split()
+        offset = text.count(b" ", lo, diagonal) if diagonal > lo else -words_before(words, lo - diagonal)
+        held = _near(ids, np.array([number.get(w, -1) for w in region]), offset)
+        if held.sum() >= MIN_STRETCH:
+            regions.append((held, lo, region, offset))
+    regions = sorted(regions, key=lambda r: r[0].sum(), reverse=True)[:BEST_BANDS]
+    if not regions or np.any([r[0] for r in regions], axis=0).sum() < SHARE * len(words):
+        return 0
     parts = []
-    for lo, hi, start in spans:
-        region = text[lo:hi].split()
-        before = len(text[lo : max(lo, start)].split())
-        base = lo * 4  # any measure that grows with the position serves the chain
-        parts += [(base + s, p0, p1, base + e, hits) for p0, p1, s, e, hits in align(words, region, before)]
+    for _, lo, region, offset in regions:
+        base = text.count(b" ", 0, lo)
+        parts += [(base + s, p0, p1, base + e, held) for p0, p1, s, e, held in align(words, region, offset)]
     parts.sort()
     best: list[int] = []
-    for k, (s, p0, p1, _, hits) in enumerate(parts):
-        best.append(hits + max([0, *(best[x] for x in range(k) if parts[x][3] < s and parts[x][2] < p0)]))
+    for k, (s, p0, p1, e, held) in enumerate(parts):
+        # alignments of two regions may share a few words: they count once
+        before = [best[x] - max(0, x_e - s + 1, x_p1 - p0 + 1) for x, (x_s, x_p0, x_p1, x_e, _) in enumerate(parts[:k])
+                  if x_s < s and x_e < e and x_p0 < p0 and x_p1 < p1]
+        best.append(held + max([0, *before]))
     return max(best, default=0)
 
 
+def words_before(words: list[bytes], size: int) -> int:
+    """Words of a passage that begin within its first size characters."""
+    k = 0
+    while k < len(words) and size > 0:
+        size -= len(words[k]) + 1
+        k += 1
+    return k
+
+
 def search(index: Index, bitmap: np.ndarray, text: str | None) -> list[int]:
     """Numbers of the indexed passages of which the text holds at least half."""
     if not text:
@@ -222,16 +281,15 @@ def search(index: Index, bitmap: np.ndarray, text: str | None) -> list[int]:
     if not len(h) or not len(index.hashes):
         return []
     pos = np.flatnonzero(bitmap[(h >> np.uint64(42)).astype(np.int64)])
-    if len(pos) < BAND_HITS:
+    if not len(pos):
         return []
     slot = np.searchsorted(index.hashes, h[pos])
     slot[slot == len(index.hashes)] = 0
     real = index.hashes[slot] == h[pos]
     pos, slot = pos[real], slot[real]
-    if len(pos) < BAND_HITS:
+    if not len(pos):
         return []
-    return [i for i, regions in _bands(index, pos, slot).items()
-            if matched_words(index, i, t, regions) >= SHARE * len(index.words[i])]
+    return [i for i, diagonals in _bands(index, pos, slot).items() if matched_words(index, i, t, diagonals) >= SHARE * len(index.words[i])]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",

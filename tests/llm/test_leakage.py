@@ -100,7 +100,7 @@ def test_set_phrases_are_no_leak():
     items = [(i, " ".join([*words(30, 500 + i), *phrase, *words(10, 900 + i)])) for i in range(30)]
     index = L.build_index(items)
     assert L.search(index, index.bitmap(), " ".join(phrase * 40)) == []
-    assert np.all(index.usable > 0)
+    assert np.all(index.need > 0)
 
 
 def test_odd_characters_and_broken_words():
@@ -119,3 +119,73 @@ def test_variants_of_one_text_are_found():
     index = L.build_index(items)
     got = {i for k in L.search(index, index.bitmap(), doc(base[:50], seed=31)) for i in index.ids[k]}
     assert got == set(range(20))
+
+
+def exchanged(ws, every, r):
+    phase = r.randrange(every)
+    return [r.choice(VOCAB) if k % every == phase else w for k, w in enumerate(ws)]
+
+
+def stretches(ws, count, share, r):
+    """Parts of a passage in its order that hold the share of its words together."""
+    size = int(np.ceil(share * len(ws) / count))
+    starts = sorted(r.randrange(len(ws) - count * size + 1) for _ in range(count))
+    return [ws[a + k * size : a + (k + 1) * size] for k, a in enumerate(starts)]
+
+
+PLANTED = {
+    "every third exchanged": lambda p, r: [exchanged(p, 3, r)],
+    "every fourth exchanged": lambda p, r: [exchanged(p, 4, r)],
+    "60 % with every sixth exchanged": lambda p, r: [exchanged(p[: round(0.6 * len(p)) + 1], 6, r)],
+    "first half": lambda p, r: [p[: len(p) // 2 + 1]],
+    "second half": lambda p, r: [p[-(len(p) // 2 + 1) :]],
+    "middle cut out": lambda p, r: [p[: round(0.32 * len(p))] + p[-round(0.32 * len(p)) :]],
+    "middle replaced": lambda p, r: [p[: round(0.32 * len(p))] + r.choices(VOCAB, k=25) + p[-round(0.32 * len(p)) :]],
+    "two stretches": lambda p, r: stretches(p, 2, 0.54, r),
+    "three stretches": lambda p, r: stretches(p, 3, 0.6, r),
+    "four stretches": lambda p, r: stretches(p, 4, 0.7, r),
+    "four stretches joined": lambda p, r: [sum(stretches(p, 4, 0.6, r), [])],
+}
+NO_CASES = {
+    "forty percent": lambda p, r: [p[: round(0.4 * len(p))]],
+    "two stretches, too few": lambda p, r: stretches(p, 2, 0.42, r),
+    "stretches in the other order": lambda p, r: [p[k : k + 8] for k in range(0, len(p) - 8, 8)][::-1],
+    "same words shuffled": lambda p, r: [r.sample(p, len(p))],
+}
+
+
+def test_planted_recall_and_precision():
+    """Passages of 50 to 89 words, and 20 that differ in ten words: at least 95 % of the cases, and of what is reported."""
+    base = words(60, 71)
+    items = [*ITEMS[:40], *((200 + k, " ".join([*base[:50], *words(10, 700 + k)])) for k in range(20))]
+    index = L.build_index(items)
+    bitmap = index.bitmap()
+    r = random.Random(12)
+    wanted = found = right = 0
+    for kind, make in {**PLANTED, **NO_CASES}.items():
+        for i in r.sample(range(10, 40), 12):
+            got = {x for k in L.search(index, bitmap, doc(*make(passage(i), r), seed=r.randrange(10**6))) for x in index.ids[k]}
+            want = {i} if kind in PLANTED else set()
+            wanted, found, right = wanted + len(want), found + len(got), right + len(got & want)
+    for n in (1, 14, 20):
+        got = {x for k in L.search(index, bitmap, doc(base[:40] + [f"w{n}"] + base[41:50], seed=n)) for x in index.ids[k]}
+        wanted, found, right = wanted + 20, found + len(got), right + len(got & set(range(200, 220)))
+    assert right >= 0.95 * wanted and right >= 0.95 * found, (wanted, found, right)
+
+
+def test_bound_counts_what_edits_leave():
+    ws = [w.encode() for w in words(40, 3)]
+    usable = np.ones(len(L.gram_hashes(b" ".join(ws))), bool)
+    least = L.bound(ws, usable)
+    assert 0 < least < len(usable) / 4
+    # by brute force: every phase of the exchanged words, every window of half the words
+    best = len(usable)
+    for every, share in L.BUDGETS:
+        n = int(np.ceil(share * len(ws)))
+        for phase in range(every):
+            for a in range(len(ws) - n + 1):
+                text = b" ".join(b"#" * len(w) if k % every == phase else w for k, w in enumerate(ws))
+                lo = len(b" ".join(ws[:a])) + (a > 0)
+                part = text[lo : lo + len(b" ".join(ws[a : a + n]))]
+                best = min(best, sum(b"#" not in part[x : x + L.Q] for x in range(len(part) - L.Q + 1)))
+    assert least == best
