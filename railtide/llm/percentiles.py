@@ -1,16 +1,18 @@
 """Percentiles of very large columns: mergeable rank-interval summaries with a certified error.
 
 A summary of a group is a sorted list of values, each with the smallest and largest rank it can have among the group's n
-values. Every partition summarizes its own rows; summaries are merged level by level, at most FAN_IN of a group at a
-time: the rank interval of a value adds up from where it stands in the others. After a merge the list is compressed to
-SIZE values so that for every rank some kept value is within the permitted uncertainty. Each compression adds at most
-n / (2 (size - 1)) to the rank error, so the list size follows from the error wanted and the number of levels. All
-steps are deterministic in the rows of the partitions, a summary can be stored, and summaries of days or files made
-apart are put together by the same merge.
+values. Every partition summarizes its own rows; summaries are merged level by level, those of FAN_IN partitions at a
+time: the rank interval of a value adds up from where it stands in the others, and so do the errors. A summary has error
+E if neighbours keep hi - lo <= 2 E + 1, from which follows that every rank has a value within E. Keeping the values next
+to every (2 e + 1)th rank makes that E + e, with e = floor(share of eps x n), so L levels of a share eps / L stay within
+eps n exactly, roundings included, and a list has at most L / (2 eps) + 2 values. One of the levels is set aside for
+groups with so many lists that a task has to fold some before it has seen all. All steps are deterministic in the rows of
+the partitions, a summary can be stored, and summaries of days or files made apart are put together by the same merge.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,10 @@ EPS = 0.001
 FAN_IN = 64
 #: Rows a task holds before it summarizes them.
 BUFFER_ROWS = 400_000
+#: Lists of one group that a task merges at once; of more it folds WIDTH into one, level by level.
+WIDTH = 1024
+#: Levels of folding that the share set aside is split into: enough for WIDTH ** FOLDS lists.
+FOLDS = 8
 
 Summary = tuple[np.ndarray, np.ndarray, np.ndarray, int]  # values, smallest ranks, largest ranks, n
 
@@ -40,21 +46,20 @@ def merge(parts: list[Summary]) -> Summary:
     n = sum(p[3] for p in parts)
     if all(len(p[0]) == p[3] for p in parts):
         return exact(np.sort(np.concatenate([p[0] for p in parts])))
-    vs, los, his = [], [], []
-    for k, (v, lo, hi, _) in enumerate(parts):
-        lo, hi = lo.copy(), hi.copy()
-        for m, (w, wlo, whi, wn) in enumerate(parts):
-            if m != k:
-                # equal values of earlier parts come first
-                at = np.searchsorted(w, v, side="right" if m < k else "left")
-                lo += np.r_[0, wlo][at]
-                hi += np.r_[whi - 1, wn][at]
-        vs.append(v)
-        los.append(lo)
-        his.append(hi)
-    v, lo, hi = (np.concatenate(x) for x in (vs, los, his))
-    order = np.lexsort((hi, lo, v))
-    return v[order], np.maximum.accumulate(lo[order]), np.minimum.accumulate(hi[order][::-1])[::-1], n
+    sizes = [len(p[0]) for p in parts]
+    v, lo, hi = (np.concatenate([p[x] for p in parts]) for x in (0, 1, 2))
+    ends = np.cumsum(sizes) - 1
+    starts = ends + 1 - sizes
+    # where a list's own ranks have got to before its next value
+    lo_step = np.diff(lo, prepend=0)
+    lo_step[starts] = lo[starts]
+    nxt = np.append(hi[1:] - 1, 0)
+    nxt[ends] = [p[3] for p in parts]
+    hi_step = nxt - hi + 1
+    order = np.lexsort((np.repeat(np.arange(len(parts)), sizes), v))  # of equal values those of earlier parts come first
+    low = lo_step[order].cumsum()
+    high = (hi[starts] - 1).sum() + hi_step[order].cumsum() - nxt[order] + hi[order]
+    return v[order], np.maximum.accumulate(low), np.minimum.accumulate(high[::-1])[::-1], n
 
 
 def pick(s: Summary, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,12 +74,13 @@ def pick(s: Summary, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, far(best)
 
 
-def compress(s: Summary, size: int) -> Summary:
-    """At most size + 1 values, the extremes among them; the rank error grows by n / (2 (size - 1)) at most."""
+def compress(s: Summary, share: float) -> Summary:
+    """The values next to every (2 e + 1)th rank and the extremes, e = floor(share n): the error grows by e at most."""
     v, lo, hi, n = s
-    if len(v) <= size:
+    step = 2 * math.floor(share * n) + 1
+    if step == 1 or len(v) <= 2:
         return s
-    keep, _ = pick(s, np.linspace(1, n, size).round().astype(np.int64))
+    keep, _ = pick(s, np.arange(1, n + step, step).clip(max=n))
     keep = np.unique(np.r_[0, keep, len(v) - 1])
     return v[keep], lo[keep], hi[keep], n
 
@@ -84,13 +90,13 @@ def rank_error(s: Summary) -> int:
     _, lo, hi, n = s
     if len(lo) == n:
         return 0
-    inside = (hi[1:] - lo[:-1] + 1) // 2
-    return int(max([0, *inside, hi[0] - 1, n - lo[-1], *(hi - lo)]))
+    inside = (hi[1:] - lo[:-1]) // 2
+    return int(max([0, *inside, hi[0] - 1, n - lo[-1], *((hi - lo + 1) // 2)]))
 
 
-def list_size(eps: float, levels: int) -> int:
-    """Values to keep so that ``levels`` compressions stay within eps n."""
-    return int(np.ceil(levels / (2 * eps))) + 2
+def level_share(eps: float, levels: int) -> float:
+    """Share of the rows that each of ``levels`` compressions, and the folds together, may add to the error."""
+    return eps / (levels + 1)
 
 
 def _schema(df: DataFrame, keys: list[str]) -> T.StructType:
@@ -129,27 +135,27 @@ def summaries(df: DataFrame, keys: list[str], value: str, eps: float = EPS, leve
         raise ValueError("keys can't be named part, n, v, lo or hi: rename them first")
     x = df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
     _, depth = _depth(x)
-    size = list_size(eps, levels or depth + 1)
+    share = level_share(eps, levels or depth + 1)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         held: list[pd.DataFrame] = []
-        rows, flushed = 0, {}
+        rows = 0
         for b in batches:
             held.append(b)
             rows += len(b)
             if rows >= BUFFER_ROWS:
-                yield from _flush(held, keys, size, part, flushed)
+                yield from _flush(held, keys, share, part)
                 held, rows = [], 0
-        yield from _flush(held, keys, size, part, flushed)
+        yield from _flush(held, keys, share, part)
 
     first = x.mapInPandas(local, _schema(x, keys))
-    return merge_levels(first, keys, size, depth)
+    return merge_levels(first, keys, share, depth)
 
 
-def _flush(held: list[pd.DataFrame], keys: list[str], size: int, part: int, flushed: dict) -> Iterator[pd.DataFrame]:
+def _flush(held: list[pd.DataFrame], keys: list[str], share: float, part: int) -> Iterator[pd.DataFrame]:
     if not sum(map(len, held)):
         return
     b = pd.concat(held, ignore_index=True)
@@ -159,46 +165,63 @@ def _flush(held: list[pd.DataFrame], keys: list[str], size: int, part: int, flus
     code, v = code[order], v[order]
     edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
     lead = b.iloc[order[edge[:-1]]][keys].reset_index(drop=True)
-    rows = [_row(compress(exact(v[i:j]), size)) for i, j in zip(edge[:-1], edge[1:])]
+    rows = [_row(compress(exact(v[i:j]), share)) for i, j in zip(edge[:-1], edge[1:])]
     for name, values in zip(("n", "v", "lo", "hi"), zip(*rows)):
         lead[name] = pd.Series(list(values), dtype="int64" if name == "n" else object)
     lead.insert(len(keys), "part", part)
     yield lead
 
 
-def merge_levels(parts: DataFrame, keys: list[str], size: int, depth: int) -> DataFrame:
-    """Merge the summaries of each group, at most FAN_IN of different parts at a time, until one is left."""
+def merge_levels(parts: DataFrame, keys: list[str], share: float, depth: int) -> DataFrame:
+    """Merge the summaries of each group, those of FAN_IN parts at a time, until one is left."""
     for level in range(depth - 1, -1, -1):
         parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN) if level else F.lit(0).cast("long"))
         placed = parts.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "n", "v")
-        parts = placed.mapInPandas(_merger(keys, size), _schema(parts, keys))
+        parts = placed.mapInPandas(_merger(keys, share), _schema(parts, keys))
     return parts
 
 
-def _merger(keys: list[str], size: int):
+class Fold:
+    """The lists of one group: every WIDTH of a level become one of the next, at a small part of the share set aside."""
+
+    def __init__(self, share: float) -> None:
+        self.share = share
+        self.levels: list[list[Summary]] = [[]]
+
+    def add(self, s: Summary, level: int = 0) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(s)
+        if len(self.levels[level]) == WIDTH:
+            full, self.levels[level] = self.levels[level], []
+            self.add(compress(merge(full), self.share / FOLDS), level + 1)
+
+    def close(self) -> Summary:
+        return compress(merge([s for level in self.levels for s in level]), self.share)
+
+
+def _merger(keys: list[str], share: float):
     by = [*keys, "part"]
     names = [*by, "n", "v", "lo", "hi"]
 
-    def closed(rows: list[tuple]) -> tuple:
-        """One summary of a group's rows, folded FAN_IN at a time where a task flushed several times."""
-        held: list[Summary] = []
-        for row in rows:
-            held.append(_summary(*row[len(by) :]))
-            if len(held) == FAN_IN:
-                held = [compress(merge(held), 4 * size)]
-        return (*rows[0][: len(by)], *_row(compress(merge(held), size)))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail: list[pd.DataFrame] = []  # rows of the group that the last batch ended with
+        fold = Fold(share)  # and what was folded of it before
         for b in batches:
             b = pd.concat([*tail, b[names]], ignore_index=True) if tail else b[names]
             code = _runs(b, by)
             last = int(np.searchsorted(code, code[-1])) if len(b) else 0
-            tail = [b.iloc[last:]] if len(b) else []
             if last:
-                yield from _close(b.iloc[:last], code[:last], by, names, size, closed)
+                yield from _close(b.iloc[:last], code[:last], by, names, fold)
+                fold = Fold(share)
+            rest = b.iloc[last:]
+            if len(rest) > WIDTH:  # one of the rows stays to hold the key
+                for row in rest.iloc[1:][["n", "v", "lo", "hi"]].itertuples(index=False, name=None):
+                    fold.add(_summary(*row))
+                rest = rest.iloc[:1]
+            tail = [rest] if len(rest) else []
         if tail:
-            yield from _close(tail[0], np.zeros(len(tail[0]), np.int64), by, names, size, closed)
+            yield from _close(tail[0], np.zeros(len(tail[0]), np.int64), by, names, fold)
 
     return run
 
@@ -215,12 +238,14 @@ def _runs(b: pd.DataFrame, by: list[str]) -> np.ndarray:
     return change.cumsum()
 
 
-def _close(b: pd.DataFrame, code: np.ndarray, by: list[str], names: list[str], size: int, closed) -> Iterator[pd.DataFrame]:
+def _close(b: pd.DataFrame, code: np.ndarray, by: list[str], names: list[str], first: Fold) -> Iterator[pd.DataFrame]:
+    """One row per group; ``first`` has the lists of the first group that were folded before."""
     code = code - code[0]
     n = b["n"].to_numpy(np.int64)
     edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
     total = np.add.reduceat(n, edge[:-1])
-    plain = (total <= size) & ~np.logical_or.reduceat(b["lo"].notna().to_numpy(), edge[:-1])
+    plain = (total * first.share < 1) & ~np.logical_or.reduceat(b["lo"].notna().to_numpy(), edge[:-1])
+    plain[0] &= len(first.levels) == 1 and not first.levels[0]
     # groups that stay complete are merged all at once: their values sorted side by side
     if plain.any():
         rows = plain[code]
@@ -234,8 +259,14 @@ def _close(b: pd.DataFrame, code: np.ndarray, by: list[str], names: list[str], s
         yield out[names]
     rest = np.flatnonzero(~plain)
     for k in range(0, len(rest), 500):
-        rows = [list(b.iloc[edge[g] : edge[g + 1]].itertuples(index=False, name=None)) for g in rest[k : k + 500]]
-        yield pd.DataFrame([closed(r) for r in rows], columns=names)
+        done = []
+        for g in rest[k : k + 500]:
+            rows = b.iloc[edge[g] : edge[g + 1]]
+            fold = first if g == 0 else Fold(first.share)
+            for row in rows[["n", "v", "lo", "hi"]].itertuples(index=False, name=None):
+                fold.add(_summary(*row))
+            done.append((*rows.iloc[0][by], *_row(fold.close())))
+        yield pd.DataFrame(done, columns=names)
 
 
 def merge_summaries(stored: list[DataFrame], keys: list[str], eps: float = EPS, levels: int = 2) -> DataFrame:
@@ -247,7 +278,7 @@ def merge_summaries(stored: list[DataFrame], keys: list[str], eps: float = EPS,
     depth = 1
     while FAN_IN**depth < len(stored):
         depth += 1
-    return merge_levels(parts, keys, list_size(eps, levels), depth)
+    return merge_levels(parts, keys, level_share(eps, levels), depth)
 
 
 def percentiles(summary: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
