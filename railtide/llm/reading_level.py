@@ -1,12 +1,13 @@
-"""Reading level of each document: graded familiar-word lists and average sentence length.
-
-The plain formula takes one list of frequent words. Here corpus document frequencies alone don't tell plain words from
-hard ones (research terms are in as many documents as everyday words), so the list is graded: the frequent words of the
-corpus, those in at least a stated share of its English documents, get a grade 1 to 4 from the document frequencies
-among rated documents, refined sentence by sentence. A document's sentences are grouped by the grade whose list they
-keep to; each group has a level by its grade and its average sentence length; and the document has the level that holds
-most of its words. Grades and length bounds are fitted on a bounded sample of rated documents; everything else, the
-frequencies included, covers all documents and whole texts.
+"""Reading level of each document: familiar-word lists and average sentence length.
+
+The plain formula takes one list of frequent words, the share of words outside it, and the average sentence length. Here
+plain words aren't the most frequent ones (research terms stand in almost as many documents), so there is a list for
+every step of ``STEP`` in document frequency, taken from all English documents, and the share of a sentence's words in
+each list has a weight per grade 1 to 4. Weights come from rated documents: the shares of the lists in the sentences of a
+grade, refined by sentence, since a document may hold prose of several grades. A document's sentences are grouped by
+grade; each group has a level by its grade and its average sentence length; and the document has the level that holds
+most of its words. Weights and length bounds are fitted on a bounded sample of rated documents; everything else, the
+lists included, covers all documents and whole texts. No word counts by itself, only its document frequency does.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ LEVELS = 4
 MIN_WORDS = 60
 #: A word is frequent if it stands in at least this share of the English documents.
 MIN_SHARE = 0.002
+#: Width of a list in 2 asin(sqrt(document frequency)), a scale on which counts of all frequencies scatter alike.
+STEP = 0.05
 #: Most rated documents that the grades are fitted on, in the order of a hash of their ids.
 MAX_RATED = 2000
 ROUNDS = 6
@@ -89,7 +92,7 @@ def prose(text: str | None) -> str:
 
 @dataclass
 class Grades:
-    """The fitted formula: a log-probability of each frequent word under each grade, and length bounds per grade."""
+    """The fitted formula: the list that each frequent word is in, a weight of each list per grade, and length bounds."""
 
     words: dict[str, int]
     logp: np.ndarray
@@ -97,6 +100,13 @@ class Grades:
     bounds: list[tuple[float, int, int]]
 
 
+def familiar_lists(counts: dict[str, int], total: int) -> dict[str, int]:
+    """The list of each word, numbered from the rarest words up, from the documents that have it of ``total``."""
+    step = {w: int(2 * np.arcsin(np.sqrt(min(1.0, n / total))) / STEP) for w, n in counts.items()}
+    number = {x: k for k, x in enumerate(sorted(set(step.values())))}
+    return {w: number[x] for w, x in step.items()}
+
+
 def _groups(lines: list[list[str]], words: dict[str, int], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words per grade, and average sentence length per grade, of one document's sentences."""
     lengths = np.array([len(s) for s in lines])
@@ -121,11 +131,10 @@ def _split(text: str) -> list[list[str]]:
     return [s.split() for s in text.split("\n") if s]
 
 
-def fit(rated: list[tuple[str, int]], frequent: set[str], rounds: int = ROUNDS) -> Grades:
-    """Grades and bounds from (prose, level) pairs; without any, every document is at level 1 by short sentences."""
+def fit(rated: list[tuple[str, int]], words: dict[str, int], rounds: int = ROUNDS) -> Grades:
+    """Weights and bounds from (prose, level) pairs and the lists; without any pair, every document is at level 1."""
     docs = [(lines, y) for text, y in rated if (lines := _split(text))]
-    words = {w: k for k, w in enumerate(sorted(frequent))}
-    size = len(words)
+    size = max(words.values(), default=-1) + 1
     if not docs or not size:
         return Grades({}, np.zeros((LEVELS, 1)), [(0.0, 1, 1)] * LEVELS)
     lines, owner = [], []
@@ -145,7 +154,7 @@ def fit(rated: list[tuple[str, int]], frequent: set[str], rounds: int = ROUNDS)
         score = np.stack([np.bincount(row, weights=logp[g, flat], minlength=len(lines)) for g in range(LEVELS)], 1) + np.log(prior[owner])
         at = np.exp(score - score.max(1, keepdims=True))
         at /= at.sum(1, keepdims=True)
-    logp = np.c_[logp, np.zeros(LEVELS)]  # column -1 is for words outside the lists
+    logp = np.c_[logp, np.zeros(LEVELS)]  # column -1 is for words in no list
     seen = [(*_groups(ls, words, logp), y) for ls, y in docs]
     bounds = []
     for g in range(LEVELS):
@@ -197,7 +206,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_i
 
     English is a null language or one that begins with ``en``. Null and empty texts, and texts with fewer than
     min_words words of prose, have no row; a repeated document row gives its row again. ``unfamiliar`` is the share of
-    words outside the list of the plainest grade. Null levels and raters' rows for unknown documents are ignored; of
+    words outside the lists that weigh most for the plainest grade. Null levels and raters' rows for unknown documents are ignored; of
     disagreeing raters the lower median counts, and levels other than 1 to 4 are no ratings. Other columns are ignored; empty documents give no rows, and without
     labels every document gets level 1.
     """
@@ -205,7 +214,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_i
     docs = done.where("word is null").select("doc_id", "prose")
     total = docs.count()
     # bounded whatever the corpus: at most (mean distinct words of a document) / min_share words are this frequent
-    frequent = {r["word"] for r in done.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    frequent = {r["word"]: r["n"] for r in done.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
                 .where(F.col("n") >= max(2, min_share * total)).toLocalIterator()}
     # counts per level, not lists: the lower median is the first level that half of the raters don't exceed
     level, upto, half = F.lit(LEVELS), F.lit(0), F.ceil(F.count("*") / 2)
@@ -217,8 +226,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_i
     for reached, k in reversed(steps):
         level = F.when(reached, k).otherwise(level)
     rated = votes.agg(level.alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
-    known = docs.join(F.broadcast(rated), "doc_id").dropDuplicates(["doc_id"])
-    model = fit([(r["prose"], r["level"]) for r in known.orderBy("doc_id").toLocalIterator()], frequent)
+    known = docs.join(F.broadcast(rated), "doc_id").groupBy("doc_id", "level").agg(F.min("prose").alias("prose"))
+    model = fit([(r["prose"], r["level"]) for r in known.orderBy("doc_id").toLocalIterator()], familiar_lists(frequent, total))
     return docs.mapInArrow(_scorer(model, min_words), "doc_id long, reading_level int, words int, sentence_length double, unfamiliar double")
 
 
