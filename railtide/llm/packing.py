@@ -140,3 +140,14 @@ def containers(packed: DataFrame, span: int = SPAN) -> DataFrame:
     """(container_id, pieces, used, cost) of every container."""
     n = F.col("n_tokens")
     return packed.groupBy("container_id").agg(F.count("*").alias("pieces"), F.sum(n).alias("used"), F.sum(n + n * n / span).alias("cost"))
+
+
+def checked(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, contiguous, unsplit, fits) of packed texts with unique ids: whether the pieces follow each other from token
+    0 without a gap, whether a text that a container can hold is one piece, and whether its containers hold no more than
+    the capacity."""
+    full = containers(packed).select("container_id", (F.col("used") <= capacity).alias("ok"))
+    end = F.col("token_from") + F.col("n_tokens")
+    return packed.join(full, "container_id").groupBy("doc_id").agg(
+        ((F.min("token_from") == 0) & (F.sum("n_tokens") == F.max(end)) & (F.max("piece_no") + 1 == F.count_distinct("token_from"))).alias("contiguous"),
+        ((F.count("*") == 1) | (F.max(end) > capacity)).alias("unsplit"), F.bool_and("ok").alias("fits"))

@@ -48,6 +48,10 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(packing.pack_documents(table(spark, folder, "documents")))
 
 
+def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.checked(packing.pack_documents(table(spark, folder, "documents")))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -61,7 +65,7 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_downstream_impact, p2_observed, p2_predicted, p2_bounds, p8_packed, p8_containers, p9_found, p10_found, p10_profile)}
+    p2_downstream_impact, p2_observed, p2_predicted, p2_bounds, p8_packed, p8_containers, p8_checked, p9_found, p10_found, p10_profile)}
 
 
 def _ranked(keys: str, value: str, source: str) -> str:
@@ -75,6 +79,7 @@ FROM (SELECT {keys}, v, row_number() OVER (PARTITION BY {keys} ORDER BY v) AS rk
 ORACLE = {
     "p2_downstream_impact": _ranked("from_route, to_route, station, hour", "downstream_impact", "SELECT * FROM history"),
     "p2_observed": _ranked("route, station, hour", "observed", "SELECT * FROM stop_history"),
+    "p8_checked": "SELECT doc_id, TRUE AS contiguous, TRUE AS unsplit, TRUE AS fits FROM documents",
     "p2_bounds": f"""SELECT hour, name, count(observed) AS n, TRUE AS held FROM stop_history, (VALUES {', '.join(f"('{x}')" for x in QS)}) AS q(name)
 WHERE observed IS NOT NULL GROUP BY hour, name""",
     "p2_predicted": _ranked("agency_id, route_id", "predicted_secs",

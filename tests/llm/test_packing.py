@@ -68,6 +68,15 @@ def test_round_trip(spark, docs):
     assert sorted(c.values()) == sorted(used.values())
 
 
+def test_checked_sees_faults(spark):
+    good = [(1, 0, 0, 5, "a"), (2, 0, 0, 8, "b"), (2, 1, 8, 2, "a")]
+    bad = [(3, 0, 0, 8, "c"), (3, 1, 9, 1, "d"), (4, 0, 0, 2, "e"), (4, 1, 2, 2, "f"), (5, 0, 0, 3, "g"), (6, 0, 0, 7, "g")]
+    df = spark.createDataFrame(good + bad, "doc_id long, piece_no int, token_from long, n_tokens long, container_id string")
+    got = {r[0]: tuple(r)[1:] for r in p.checked(df, 8).collect()}
+    ok = (True, True, True)
+    assert got == {1: ok, 2: ok, 3: (False, True, True), 4: (True, False, True), 5: (True, True, False), 6: (True, True, False)}
+
+
 def test_empty(spark, docs):
     assert p.pack_documents(docs[1].limit(0)).count() == 0
     with pytest.raises(ValueError):
