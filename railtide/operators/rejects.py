@@ -11,6 +11,8 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -237,28 +239,30 @@ def stops_of(parsed: DataFrame) -> DataFrame:
     )
 
 
-def load_csv(spark, path: str, layout: Layout, encoding: str = "utf-8") -> DataFrame:
-    """(file, record_no, reason, fields) of whole text files, whose records are assembled quote-aware.
+def load_csv(spark, path: str, layout: Layout) -> DataFrame:
+    """(file, record_no, reason, fields) of UTF-8 text files, whose records are assembled quote-aware.
 
-    A file is one task, read as a stream: a quoted field may hold line breaks, so where a record begins is known only
-    from the file's start. Use many files for large loads.
+    Lines are read in splits and brought together by file in order, so a file streams through one task whatever its size;
+    which line a record begins at depends on all lines before it, since a lost quote starts assembly again. A record that
+    begins with a quote is held while its closing quote is looked for. Use many files for large loads; a lenient scan that
+    needs no such order is sources.csvscan.
     """
-    import io
+    from railtide.sources import csvscan
 
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b["path"], b["content"]):
-                lines = (x.rstrip("\n").removesuffix("\r") for x in io.TextIOWrapper(io.BytesIO(content), encoding, newline="\n"))
-                out = []
-                for no, record in enumerate(assemble(lines)):
-                    if no == 0 and [x.strip() for x in record.removeprefix("\ufeff").split(",")] == list(layout.columns):
-                        continue
-                    reason, got = parse_one("file", record, {"file": layout})
-                    out.append((name, no, reason, got))
-                    if len(out) == 10_000:
-                        yield pd.DataFrame(out, columns=["file", "record_no", "reason", "fields"])
-                        out = []
-                yield pd.DataFrame(out, columns=["file", "record_no", "reason", "fields"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, record_no long, reason string, fields array<string>")
+    names = ["file", "record_no", "reason", "fields"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines = (x for b in batches for x in zip(b["file"], b["value"]))
+        for name, own in groupby(lines, key=itemgetter(0)):
+            out = []
+            for no, record in enumerate(assemble(x for _, x in own)):
+                if no == 0 and [x.strip() for x in record.split(",")] == list(layout.columns):
+                    continue
+                out.append((name, no, *parse_one("file", record, {"file": layout})))
+                if len(out) == 10_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    placed = csvscan.lines(spark, path).repartition("file").sortWithinPartitions("file", "split", "line_no")
+    return placed.select("file", "value").mapInPandas(run, "file string, record_no long, reason string, fields array<string>")

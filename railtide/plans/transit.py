@@ -11,7 +11,7 @@ from railtide.config import Propagation
 from railtide.functions.ids import clean, route, route_from_trip
 from railtide.functions.time import confidence_bucket, seconds_of_day, service_seconds, shorten
 from railtide.operators import api, cascade, evaluation, events, schedule, state, transfers
-from railtide.session import cut
+from railtide.session import cut, shared_path
 from railtide.sources import gtfs
 from railtide.sources.adapters import AGENCY, Adapter
 from railtide.sources.tables import table
@@ -24,6 +24,43 @@ def active_services(spark: SparkSession, folder: str) -> DataFrame:
     return gtfs.active_services(table(spark, folder, "calendar"), SERVICE_DAY)
 
 
+def _written(spark: SparkSession, name: str, rows: DataFrame) -> str:
+    """A folder of CSV files of a table, quoted only where needed, as a timetable file comes."""
+    path = shared_path(spark, "csv")
+    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{path}/{name}")
+    return path
+
+
+#: Stop names as they come in some files: with commas, doubled quotes and line breaks.
+ODD_NAME = "concat(stop_name, CASE WHEN length(stop_id) % 2 = 0 THEN concat(', \"', stop_id, '\"') WHEN stop_id LIKE '%1' THEN concat({newline}, 'platform', {newline}, ',\"\"') ELSE '' END)"
+
+
+def gtfs_stops(spark: SparkSession, folder: str) -> DataFrame:
+    """Stops written to CSV files and read back."""
+    s = Adapter(spark, folder)["g_stops"].withColumn("stop_name", F.expr(ODD_NAME.format(newline="'\n'")))
+    return gtfs.read_stops(spark, _written(spark, "stops.txt", s))
+
+
+def gtfs_stop_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Stop times written to CSV files as H:MM:SS and read back; a few can't be read and are left out."""
+    s = Adapter(spark, folder)["g_stop_times"]
+    text = lambda c: F.concat_ws(":", F.floor(F.col(c) / 3600), *(F.lpad(x.cast("string"), 2, "0") for x in (F.floor(F.col(c) / 60) % 60, F.col(c) % 60)))
+    odd = F.col("arrival_secs") % 53
+    s = s.select("trip_id", F.when(odd == 0, "soon").otherwise(text("arrival_secs")).alias("arrival_time"), F.when(odd == 1, "").otherwise(text("departure_secs")).alias("departure_time"),
+                 "stop_id", "stop_sequence")
+    return gtfs.read_stop_times(spark, _written(spark, "stop_times.txt", s))
+
+
+def calendar_exceptions(spark: SparkSession, folder: str) -> DataFrame:
+    """Services of a day with exceptions, read from CSV files: of several for one service the last in the file stands."""
+    c = table(spark, folder, "calendar")
+    days = c.select("service_id", "start_date", "end_date", "published_at").distinct().orderBy("published_at", "service_id", "end_date", "start_date")
+    date = F.when(F.ascii(F.substring("service_id", -1, 1)) % 3 > 0, SERVICE_DAY.strftime("%Y%m%d")).otherwise(F.col("start_date"))
+    kind = (F.substring("start_date", -2, 2).cast("int") % 4).cast("string")
+    read = gtfs.read_calendar_dates(spark, _written(spark, "calendar_dates.txt", days.select("service_id", date.alias("date"), kind.alias("exception_type"))))
+    return gtfs.active_services(c, SERVICE_DAY, read)
+
+
 def active_trips(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "trips").join(active_services(spark, folder), "service_id", "left_semi").select("trip_id").distinct()
 
@@ -343,7 +380,7 @@ def per_stop_blend(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    active_services, active_trips, stop_parent, routes_at_stop, graph_stats, transfers_normalized, headway_index, headway_lookup, next_departures_n,
+    active_services, gtfs_stops, gtfs_stop_times, calendar_exceptions, active_trips, stop_parent, routes_at_stop, graph_stats, transfers_normalized, headway_index, headway_lookup, next_departures_n,
     next_departure_overnight, resolve_trip, scheduled_stop_time, downstream_stops, service_time_parse, route_of_trip, confidence_buckets, normalize_events,
     diff_events, enrich_delay, state_changelog, state_changelog_whole, delay_state_current, state_with_ttl, active_delays, delay_stats, top5_per_route, live_max, network_state,
     route_delays, transfer_impacts, broken_transfers_by_station, alerts_filtered, initial_delay_estimate, dwell_seed, per_stop_blend, first_hop_cascade,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from railtide.functions import sqltext as q
-from railtide.plans.transit import NOW_NS
+from railtide.plans.transit import NOW_NS, ODD_NAME
 from railtide.sources.adapters import duckdb_with
 
 _STATION = "coalesce(nullif(p.parent_station, ''), {0})"
@@ -151,6 +151,13 @@ _SERVICES = "SELECT DISTINCT service_id FROM calendar WHERE start_date <= '20240
 
 ORACLE = {
     "active_services": _SERVICES,
+    "gtfs_stops": f"{_VIEWS} SELECT * REPLACE ({ODD_NAME.format(newline='chr(10)')} AS stop_name) FROM g_stops",
+    "gtfs_stop_times": f"""{_VIEWS} SELECT trip_id, stop_id, arrival_secs, CASE WHEN arrival_secs % 53 = 1 THEN arrival_secs ELSE departure_secs END AS departure_secs, stop_sequence
+  FROM g_stop_times WHERE arrival_secs % 53 <> 0""",
+    "calendar_exceptions": f"""WITH x AS (SELECT DISTINCT service_id, start_date, end_date, published_at FROM calendar),
+d AS (SELECT *, CASE WHEN ascii(right(service_id, 1)) % 3 > 0 THEN '20240110' ELSE start_date END AS date, right(start_date, 2)::INT % 4 AS kind FROM x),
+l AS (SELECT service_id, kind FROM d WHERE date = '20240110' AND kind IN (1, 2) QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY published_at DESC, end_date DESC, start_date DESC) = 1)
+SELECT service_id FROM ({_SERVICES} UNION SELECT service_id FROM l WHERE kind = 1) WHERE service_id NOT IN (SELECT service_id FROM l WHERE kind = 2)""",
     "active_trips": f"SELECT DISTINCT trip_id FROM trips WHERE service_id IN ({_SERVICES})",
     "stop_parent": f"{_VIEWS} SELECT stop_id, station FROM st",
     "routes_at_stop": f"{_VIEWS} SELECT DISTINCT station, route_id FROM dep",

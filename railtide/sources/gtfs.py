@@ -12,19 +12,25 @@ from pyspark.sql.window import Window
 from railtide import schema
 from railtide.functions.time import service_seconds
 from railtide.session import cut
+from railtide.sources import csvscan
 
 
 def scan(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The named columns of a CSV file as strings, found by trimmed header name.
+    """The named columns of a CSV file (or a folder of files with the same header) as strings, found by trimmed header name.
 
-    Quotes are taken leniently, short rows are padded with '', a byte-order mark is dropped, a column that the file
-    doesn't have reads as ''. A missing file is an error. ``_row`` numbers the rows in file order.
+    Quotes are taken leniently (see csvscan), short rows are padded with '', a byte-order mark is dropped, a column that
+    the file doesn't have reads as ''. Repeated header rows are left out. A missing file is an error. ``_row`` orders the
+    rows as they stand in their file.
     """
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).option("multiLine", False)
-           .option("enforceSchema", True).option("nullValue", None).csv(path))
-    names = {c.strip().lstrip("﻿"): c for c in raw.columns}
-    picked = [F.coalesce(F.col(f"`{names[c]}`"), F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in columns]
-    return raw.select(*picked, F.monotonically_increasing_id().alias("_row"))
+    rows = csvscan.records(spark, path)
+    head = rows.where("split = 0").orderBy("file", "line_no").select(csvscan.fields("value").alias("f"), "value").first()
+    names = [] if head is None else [c.strip() for c in head["f"]]
+    at = {c: k for k, c in reversed(list(enumerate(names)))}
+    if head is not None:
+        rows = rows.where(F.col("value") != head["value"])
+    rows = rows.withColumn("__f", csvscan.fields("value"))
+    picked = [F.coalesce(F.get("__f", F.lit(at[c])), F.lit("")).alias(c) if c in at else F.lit("").alias(c) for c in columns]
+    return rows.select(*picked, F.struct("file", "split", "line_no").alias("_row"))
 
 
 def whole(c: str) -> Column:
@@ -87,7 +93,7 @@ def read_calendar_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Exceptions in file order; none where there is no such file."""
     path = f"{folder}/calendar_dates.txt"
     if not exists(spark, path):
-        return spark.createDataFrame([], f"{schema.CALENDAR_DATES}, _row long")
+        return spark.createDataFrame([], f"{schema.CALENDAR_DATES}, _row struct<file: string, split: long, line_no: long>")
     return scan(spark, path, ["service_id", "date", "exception_type"])
 
 
