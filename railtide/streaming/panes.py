@@ -30,9 +30,9 @@ class HourStore:
         rows = batch.select(clean("trip_id").alias("trip_id"), clean("stop_id").alias("stop_id"), "observed_at", "received_at", "delivery_id",
                             clean("agency_id").alias("agency_id"), route().alias("route"), "delay_seconds", is_measurement().alias("measured"))
         first = first_of(rows, IDS, ["received_at", "delivery_id"], ["agency_id", "route", "delay_seconds", "measured"])
-        known = [n for n in self.seen._names() if n != f"b-{batch_id:08d}"]
-        if known:
-            old = self.seen._merged(known).select(*(F.col(c).alias(f"__{c}") for c in IDS))
+        known = self.seen._names()
+        if any(not n.startswith(f"b-{batch_id:08d}-") for n in known):
+            old = self.seen.read(f"{batch_id:08d}").select(*(F.col(c).alias(f"__{c}") for c in IDS))
             same = F.lit(True)
             for c in IDS:
                 same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
