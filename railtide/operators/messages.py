@@ -61,7 +61,7 @@ def bucket_count(spark: SparkSession, rows: int) -> int:
     return min(MAX_BUCKETS, max(1, -(-wanted // parts)) * parts)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -109,8 +109,10 @@ class MessageStore:
             (df.write.bucketBy(self.buckets, *self.ids).sortBy("__hash", *self.ids).option("path", f"{self.path}/run={name}").format("parquet").saveAsTable(table))
         finally:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if not any(f.startswith("part-") for f in self._folders(f"{self.path}/run={name}")):
+            delete(self.spark, f"{self.path}/run={name}")  # no rows: no run
 
-    def _names(self) -> list[str]:
+    def names(self) -> list[str]:
         return complete_runs(self.spark, self.path)
 
     def upsert(self, batch: DataFrame, token: str) -> None:
@@ -118,16 +120,16 @@ class MessageStore:
         name = f"b-{token}-{uuid.uuid4().hex[:8]}"
         first = first_of(batch.select(*self.columns), self.ids, self.order, self.keep)
         self._write(first.withColumn("__hash", F.xxhash64(*self.ids)), name)
-        for old in self._names():
+        for old in self.names():
             if old.startswith(f"b-{token}-") and old != name:
-                _delete(self.spark, f"{self.path}/run={old}")
+                delete(self.spark, f"{self.path}/run={old}")
 
     def _runs(self, names: list[str]) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.path}/run={n}" for n in names))
 
     def read(self, but: str | None = None) -> DataFrame:
         """One row per identifier over all runs, or all but a token's. A compacted store is read as it is, others are aggregated."""
-        names = [n for n in self._names() if but is None or not n.startswith(f"b-{but}-")]
+        names = [n for n in self.names() if but is None or not n.startswith(f"b-{but}-")]
         if not names:
             raise ValueError("the store has no runs yet")
         if len(names) == 1:  # a run holds each identifier once
@@ -146,22 +148,23 @@ class MessageStore:
         runs = self.spark.table(view).drop("run")
         return runs.mapInArrow(merger(self.ids, self.order, [c for c in self.keep if c not in self.order]), T.StructType(schema.fields))
 
-    def compact(self) -> int:
-        """Merge all runs into one; the number of runs merged. The new run is complete before the old ones go."""
-        names = self._names()
-        if len(names) > 1:
+    def compact(self, but: str | None = None, only: Column | None = None) -> int:
+        """Merge all runs (but a token's) into one, keeping of it only what a condition says; the number of runs merged.
+        The new run is complete before the old ones go."""
+        names = [n for n in self.names() if but is None or not n.startswith(f"b-{but}-")]
+        if len(names) > 1 or (names and only is not None):
             view = f"railtide_runs_{uuid.uuid4().hex}"
-            merged = f"m-{hashlib.sha256('/'.join(names).encode()).hexdigest()[:16]}"
+            merged = f"m-{hashlib.sha256('/'.join(names).encode()).hexdigest()[:16]}"  # never one of the names it is made of
             try:
                 with _settings(self.spark, **{"enabled": "true", "autoBucketedScan.enabled": "false", "maxBuckets": str(MAX_BUCKETS)}):
                     rows = self._merged(names, view)
                     if rows.rdd.getNumPartitions() != self.buckets:
                         raise RuntimeError("the runs aren't read by bucket")
-                    self._write(rows, merged)
+                    self._write(rows if only is None else rows.where(only), merged)
             finally:
                 self.spark.sql(f"DROP TABLE IF EXISTS {view}")
             for n in names:
-                _delete(self.spark, f"{self.path}/run={n}")
+                delete(self.spark, f"{self.path}/run={n}")
         return len(names)
 
 

@@ -38,12 +38,12 @@ def test_upserts_are_idempotent_and_compaction_keeps_all(spark, tmp_path):
     store.upsert(b, "2")
     before = {tuple(x) for x in store.read().collect()}
     store.upsert(a, "1")  # the batch delivered again
-    assert {tuple(x) for x in store.read().collect()} == before and [n[:4] for n in store._names()] == ["b-1-", "b-2-"]
+    assert {tuple(x) for x in store.read().collect()} == before and [n[:4] for n in store.names()] == ["b-1-", "b-2-"]
     assert store.compact() == 2 and store.compact() == 1
     assert {tuple(x) for x in store.read().collect()} == before
     store.upsert(b, "2")  # and again after compaction
     assert {tuple(x) for x in store.read().collect()} == before
-    got = store._runs([n for n in store._names() if n.startswith("m-")])
+    got = store._runs([n for n in store.names() if n.startswith("m-")])
     assert got.groupBy("trip_id", "stop_id", "observed_at").count().where("count > 1").count() == 0
 
 
@@ -55,7 +55,7 @@ def test_compaction_reads_buckets_without_a_shuffle(spark, tmp_path):
     for k in range(3):
         store.upsert(df.where(f"delivery_id % 3 = {k}"), str(k))
     with m._settings(spark, **{"autoBucketedScan.enabled": "false"}):
-        merged = store._merged(store._names(), "railtide_test_runs")
+        merged = store._merged(store.names(), "railtide_test_runs")
         plan = merged._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Sort " not in plan and f"SelectedBucketsCount: {store.buckets} out of {store.buckets}" in plan
         assert merged.rdd.getNumPartitions() == store.buckets and store.buckets % 4 == 0 and store.buckets >= 20
