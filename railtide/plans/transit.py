@@ -140,8 +140,7 @@ def route_of_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def confidence_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    s = table(spark, folder, "delay_state").where("confidence is not null and not isnan(confidence)")
-    return s.groupBy(confidence_bucket("confidence").alias("bucket")).agg(F.count("*").alias("n"))
+    return table(spark, folder, "delay_state").groupBy(confidence_bucket("confidence").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def feed(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,7 +188,7 @@ def state_changelog_whole(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def delay_state_current(spark: SparkSession, folder: str) -> DataFrame:
-    return state.current(state.changelog(_events(spark, folder))).drop("route_id")
+    return state.current(state.changelog(_events(spark, folder)))
 
 
 def state_with_ttl(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,13 +216,18 @@ def live_max(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _live_state(a: Adapter) -> DataFrame:
-    return state.current(state.changelog(a["g_events"]))
+    return a.once("state", lambda: state.current(_log(a)))
+
+
+def _log(a: Adapter) -> DataFrame:
+    return a.once("log", lambda: state.changelog(a.once("events", lambda: a["g_events"])))
 
 
 def network_state(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
     n = api.network_state(_live_state(a), a["g_stops"])
-    text = F.transform("delays", lambda d: F.concat_ws("|", d["trip_id"], d["stop_id"], d["stop_name"], d["delay_seconds"].cast("string")))
+    text = F.transform("delays", lambda d: F.concat_ws("|", d["trip_id"], d["stop_id"], d["stop_name"], d["delay_seconds"].cast("string"),
+                                                     F.round(d["confidence"] * 1_000_000).cast("long").cast("string"), d["observed_at"].cast("string")))
     return n.select("route_id", F.size("delays").cast("long").alias("stops"), F.array_join(text, ";").alias("delays"))
 
 
@@ -233,8 +237,9 @@ def route_delays(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _impacts(a: Adapter) -> DataFrame:
-    e = a["g_events"].where(F.col("type").isin("ARRIVAL_DELAY", "DEPARTURE_DELAY"))
-    return transfers.transfer_impacts(e, a.timetable(), state.changelog(a["g_events"])).drop("from_stop_id")
+    log = _log(a)
+    e = a.once("events", lambda: a["g_events"]).where(F.col("type").isin("ARRIVAL_DELAY", "DEPARTURE_DELAY"))
+    return transfers.transfer_impacts(e, a.timetable(), log)
 
 
 def transfer_impacts(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,7 +257,8 @@ def alerts_filtered(spark: SparkSession, folder: str) -> DataFrame:
 def _broken(a: Adapter) -> DataFrame:
     """Broken connections with an id; computed once, as several steps of a query read them."""
     i = _impacts(a).where("level = 'BROKEN'")
-    return cut(i.withColumn("impact_id", F.concat_ws(":", "seq", "to_route_id", "station_id", "earliest_catch_secs")).dropDuplicates(["impact_id"]))
+    ids = F.concat_ws(":", "seq", "to_route_id", "station_id", "earliest_catch_secs")
+    return a.once("broken", lambda: i.withColumn("impact_id", ids).dropDuplicates(["impact_id"]))
 
 
 def _estimated(a: Adapter, broken: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
@@ -261,7 +267,7 @@ def _estimated(a: Adapter, broken: DataFrame | None = None, live: DataFrame | No
 
 
 def _live(a: Adapter) -> DataFrame:
-    return cut(state.live_max(_live_state(a), a["g_stops"]))
+    return a.once("live", lambda: state.live_max(_live_state(a), a["g_stops"]))
 
 
 def _adapted_history(a: Adapter) -> DataFrame:
@@ -297,16 +303,23 @@ def cascade_walk(spark: SparkSession, folder: str) -> DataFrame:
     return _walked(Adapter(spark, folder))
 
 
+def cascade_walk_averages(spark: SparkSession, folder: str) -> DataFrame:
+    """The walk with later stops blended with the averages of their past outcomes."""
+    a = Adapter(spark, folder)
+    live = _live(a)
+    return cascade.cascade(_estimated(a, None, live), a.timetable(), live, _adapted_stop_averages(spark, folder), CFG)
+
+
 def predict_impact(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    s = cut(_live_state(a))
-    one = s.orderBy(F.desc("delay_seconds"), "trip_id").select("trip_id", "stop_id").first()
+    s = _live_state(a)
+    one = s.orderBy(F.desc("delay_seconds"), "trip_id", "stop_id").select("trip_id", "stop_id").first()
     return api.predict_impact(s, a.timetable(), table(spark, folder, "history"), *(one or ("", "")))
 
 
 def blast_radius(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    return api.blast_radius(cut(_live_state(a)), a.timetable(), table(spark, folder, "history"))
+    return api.blast_radius(_live_state(a), a.timetable(), table(spark, folder, "history"))
 
 
 def track_predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -328,12 +341,24 @@ def match_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.match(table(spark, folder, "pending_predictions"), e, d)
 
 
+def _primaries(a: Adapter) -> DataFrame:
+    """Broken connections as primary predictions of their extra wait."""
+    return _broken(a).select(
+        F.col("impact_id").alias("id"), F.lit(AGENCY).alias("agency_id"), F.col("to_route_id").alias("route_id"), F.col("station_id").alias("source_station"),
+        (F.col("seq") % 3 - 1).cast("int").alias("direction"), F.col("sched_connection_departure_secs").alias("sched_conn_dep_secs"), "earliest_catch_secs", F.lit(True).alias("is_primary"),
+        F.col("additional_wait_seconds").alias("predicted_secs"), F.lit(0).alias("observed_max"))
+
+
 def realized_wait(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    p = _broken(a).select(
-        F.col("impact_id").alias("id"), F.lit(AGENCY).alias("agency_id"), F.col("to_route_id").alias("route_id"), F.col("station_id").alias("source_station"),
-        (F.col("seq") % 3 - 1).cast("int").alias("direction"), F.col("sched_connection_departure_secs").alias("sched_conn_dep_secs"), "earliest_catch_secs", F.lit(True).alias("is_primary"))
-    return evaluation.realized_wait(p, a.timetable(), _live_state(a))
+    return evaluation.realized_wait(_primaries(a), a.timetable(), _live_state(a))
+
+
+def sweep_waits(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of primaries whose connection is known: the realized wait decides."""
+    a = Adapter(spark, folder)
+    p = _primaries(a)
+    return evaluation.sweep(p, evaluation.realized_wait(p, a.timetable(), _live_state(a))).select("id", "outcome", "abs_error", "observed_max")
 
 
 def _swept(spark: SparkSession, folder: str) -> DataFrame:
@@ -371,12 +396,17 @@ def transfer_reliability(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.transfer_reliability(table(spark, folder, "history"))
 
 
+def _adapted_stop_averages(spark: SparkSession, folder: str) -> DataFrame:
+    """Averages of the stop history on the adapter's routes and stations."""
+    h = table(spark, folder, "stop_history").where("observed is not null and hour is not null")
+    return cascade.average_stop_impacts(h.select(
+        F.concat(F.lit("R"), (F.ascii(F.substring("route", 2, 1)) % 5 + 1).cast("string")).alias("route"),
+        F.concat(F.lit("N"), (F.ascii("station") % 25).cast("string")).alias("station"), "hour", "observed", "at"))
+
+
 def per_stop_blend(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    h = table(spark, folder, "stop_history").where("observed is not null and hour is not null")
-    h = h.select(F.concat(F.lit("R"), (F.ascii(F.substring("route", 2, 1)) % 5 + 1).cast("string")).alias("route"),
-                 F.concat(F.lit("N"), (F.ascii("station") % 25).cast("string")).alias("station"), "hour", "observed", "at")
-    return cascade.dwell_seeds(_estimated(a), a.timetable(), cascade.average_stop_impacts(h), CFG)
+    return cascade.dwell_seeds(_estimated(a), a.timetable(), _adapted_stop_averages(spark, folder), CFG)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -384,5 +414,5 @@ QUERIES = {f.__name__: f for f in (
     next_departure_overnight, resolve_trip, scheduled_stop_time, downstream_stops, service_time_parse, route_of_trip, confidence_buckets, normalize_events,
     diff_events, enrich_delay, state_changelog, state_changelog_whole, delay_state_current, state_with_ttl, active_delays, delay_stats, top5_per_route, live_max, network_state,
     route_delays, transfer_impacts, broken_transfers_by_station, alerts_filtered, initial_delay_estimate, dwell_seed, per_stop_blend, first_hop_cascade,
-    cascade_walk, predict_impact, blast_radius, track_predictions, baseline_delays, match_predictions, realized_wait, sweep_outcomes, eval_metrics,
+    cascade_walk, cascade_walk_averages, predict_impact, blast_radius, track_predictions, baseline_delays, match_predictions, realized_wait, sweep_waits, sweep_outcomes, eval_metrics,
     learned_history, learned_stop_history, history_average, stop_history_average, transfer_reliability)}

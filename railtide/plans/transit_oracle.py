@@ -52,7 +52,7 @@ chg AS (
 SELECT seq, op, CASE WHEN op = 'upsert' THEN d END AS delay_seconds, CASE WHEN op = 'upsert' THEN o END AS observed_at,
   CASE WHEN op = 'upsert' THEN conf END AS confidence, CASE WHEN op = 'upsert' THEN c END::INT AS update_count FROM chg"""
 
-_CUR = """cur AS (SELECT a, t, s, d, o, conf, c FROM (SELECT *, row_number() OVER (PARTITION BY a, t, s ORDER BY n_all DESC) AS rn FROM (
+_CUR = """cur AS (SELECT a, t, s, d, o, conf, c, seq FROM (SELECT *, row_number() OVER (PARTITION BY a, t, s ORDER BY n_all DESC) AS rn FROM (
   SELECT chg.*, seq AS n_all FROM chg WHERE op = 'upsert')) x
   WHERE rn = 1 AND cn = coalesce((SELECT max(cn) FROM ev1 y WHERE y.a = x.a AND y.t = x.t), 0) AND sn = coalesce((SELECT max(sn) FROM ev1 z WHERE z.a = x.a AND z.t = x.t AND z.s = x.s), 0))"""
 
@@ -84,7 +84,7 @@ f6 AS (SELECT f5.*, CASE WHEN ucn = (SELECT count(*) FROM ev0 y WHERE y.a = f5.a
 f7 AS (SELECT *, dep - eff AS original, dep - eff - delay_seconds + coalesce(conn, 0) AS remaining, eff + delay_seconds + m AS catch FROM f6),
 f8 AS (SELECT f7.*, v.departure_secs AS vdep, v.x.t AS vtrip, CASE WHEN remaining < m THEN 'BROKEN' WHEN remaining < m + 60 THEN 'AT_RISK' END AS level
   FROM f7 ASOF LEFT JOIN one v ON v.station = f7.to_station AND v.route_id = f7.to_route AND v.departure_secs >= f7.catch),
-imp AS (SELECT seq, trip_id AS from_trip_id, route_id AS from_route_id, to_route AS to_route_id, to_station AS station_id, delay_seconds AS source_delay_seconds,
+imp AS (SELECT seq, trip_id AS from_trip_id, route_id AS from_route_id, to_route AS to_route_id, stop_id AS from_stop_id, to_station AS station_id, delay_seconds AS source_delay_seconds,
   original::INT AS original_transfer_margin_seconds, remaining::INT AS remaining_margin_seconds, level, observed_at AS detected_at,
   CASE WHEN level = 'BROKEN' THEN coalesce(vtrip, '') ELSE '' END AS next_viable_trip_id,
   (CASE WHEN level = 'BROKEN' THEN coalesce(greatest(0, vdep - dep), 0) ELSE 0 END)::INT AS additional_wait_seconds,
@@ -117,6 +117,71 @@ seeds AS (SELECT e.impact_id, d.position, e.to_route_id AS route_id, d.stop_id,
   FROM est e JOIN down d ON d.route_id = e.to_route_id AND d.direction_id = e.direction_id AND d.station = e.station_id
   WHERE d.position = 1 OR (pow(0.7::DOUBLE, d.position) >= 0.2 AND e.initial_delay + 1 >= 15))"""
 
+_SAV = f"""sav AS (SELECT {_R5.format('route')} AS r, {_N25.format('station')} AS s, hour AS h, avg(observed) AS av, count(*) AS n
+  FROM stop_history WHERE observed IS NOT NULL AND hour IS NOT NULL GROUP BY ALL)"""
+_NO_SAV = "sav AS (SELECT NULL::VARCHAR AS r, NULL::VARCHAR AS s, NULL::INT AS h, NULL::DOUBLE AS av, 0::BIGINT AS n WHERE FALSE)"
+
+
+def _seeded(stops: str, route: str, delay: str, conf: str, hops: str, kind: str) -> str:
+    """Queue items of a run of stops: the first keeps delay and confidence, later ones while both stay above their limits."""
+    blend = f"CASE WHEN x.n >= 5 THEN round(x.n::DOUBLE / (x.n + 10) * x.av + (1 - x.n::DOUBLE / (x.n + 10)) * ({delay} + k - 1))::INT ELSE ({delay} + k - 1)::INT END"
+    return f"""list_filter(list_transform({stops}, lambda x, k: struct_pack(d := -CASE WHEN k = 1 THEN ({delay})::INT ELSE {blend} END, h := {hops}, c := -CASE WHEN k = 1 THEN {conf} ELSE {conf} * pow(0.7::DOUBLE, k) END,
+    r := {route}, s := x.s, kind := '{kind}', ok := k = 1 OR ({conf} * pow(0.7::DOUBLE, k) >= 0.2 AND {delay} + 1 >= 15))), lambda x: x.ok)"""
+
+
+def _walk(source: str, averages: str = _NO_SAV) -> str:
+    """CTEs ending in walk: the best-first search, one step of all searches per round of the recursion, with the open items and
+    the places seen as lists. ``source`` has impact_id, route, station, way, start, tod."""
+    item = "STRUCT(d INT, h INT, c DOUBLE, r VARCHAR, s VARCHAR, kind VARCHAR, ok BOOLEAN)"
+    return f"""{averages},
+down_l AS (SELECT route_id, direction_id, station, hour, list(struct_pack(s := next_station, av := coalesce(sav.av, 0), n := coalesce(sav.n, 0)) ORDER BY position) AS stops
+  FROM down CROSS JOIN (SELECT unnest(range(24))::INT AS hour) LEFT JOIN sav ON sav.r = route_id AND sav.s = next_station AND sav.h = hour GROUP BY ALL),
+tr_l AS (SELECT from_station, list(struct_pack(s := to_station, r := ras.route_id, least := CASE WHEN min_transfer_time <= 0 THEN 120 ELSE min_transfer_time END + coalesce(live.delay, 0))) AS onward
+  FROM tr JOIN (SELECT DISTINCT station, route_id FROM dep) ras ON ras.station = tr.to_station LEFT JOIN live ON live.route_id = ras.route_id AND live.station = tr.to_station GROUP BY 1),
+dep_l AS (SELECT route_id, station, list(struct_pack(t := departure_secs, way := direction_id) ORDER BY departure_secs, trip_id) AS deps FROM dep GROUP BY 1, 2),
+src AS ({source}),
+wk AS (
+  SELECT impact_id, tod, coalesce({_seeded('stops', 'route', 'start', '1.0::DOUBLE', '1', 'dwell_increase')}, []::{item}[]) AS queue, []::STRUCT(r VARCHAR, s VARCHAR)[] AS seen, 0 AS n, NULL::{item} AS found
+  FROM src LEFT JOIN down_l ON route_id = route AND direction_id = way AND down_l.station = src.station AND hour = (tod // 3600) % 24
+  UNION ALL
+  SELECT impact_id, tod, list_concat(rest, CASE WHEN go AND less >= 0.2 AND later >= 15 THEN
+      list_transform(list_filter(onward, lambda x: x.r <> top.r AND -top.d >= x.least AND NOT list_contains(seen, struct_pack(r := x.r, s := x.s))),
+        lambda x: struct_pack(d := -later, h := top.h + 1, c := -less, r := x.r, s := x.s, kind := 'cascade_transfer', ok := TRUE)) END,
+    CASE WHEN go AND top.kind = 'cascade_transfer' THEN {_seeded('stops', 'top.r', '-top.d', '-top.c', 'top.h', 'cascade_dwell')} END),
+    CASE WHEN fresh THEN list_append(seen, struct_pack(r := top.r, s := top.s)) ELSE seen END, n + fresh::INT, CASE WHEN fresh THEN top END
+  FROM (SELECT w.*, tr_l.onward, down_l.stops FROM (
+    SELECT p.*, fresh AND top.h < 5 AND -top.d >= 15 AS go, -top.c * 0.7::DOUBLE AS less, trunc(-top.d * 0.3::DOUBLE)::INT AS later,
+      CASE WHEN tod < 14400 AND wrap IS NOT NULL AND (raw IS NULL OR wrap.t - 86400 < raw.t) THEN wrap.way ELSE raw.way END AS way
+    FROM (SELECT q.*, NOT list_contains(seen, struct_pack(r := top.r, s := top.s)) AS fresh, list_filter(deps, lambda x: x.t >= tod)[1] AS raw, list_filter(deps, lambda x: x.t >= tod + 86400)[1] AS wrap
+      FROM (SELECT impact_id, tod, seen, n, sorted[1] AS top, sorted[2:] AS rest FROM (SELECT *, list_sort(queue) AS sorted FROM wk WHERE len(queue) > 0 AND n < 100)) q
+      LEFT JOIN dep_l ON dep_l.route_id = q.top.r AND dep_l.station = q.top.s) p) w
+    LEFT JOIN tr_l ON tr_l.from_station = w.top.s
+    LEFT JOIN down_l ON down_l.route_id = w.top.r AND down_l.direction_id = w.way AND down_l.station = w.top.s AND down_l.hour = (w.tod // 3600) % 24)),
+walk AS (SELECT impact_id, n - 1 AS position, found.r AS route_id, found.s AS stop_id, -found.d AS predicted_additional_delay, (-found.c)::FLOAT AS confidence, found.h AS hops_from_source, found.kind AS impact_type
+  FROM wk WHERE found IS NOT NULL)"""
+
+
+_BROKEN_SRC = "SELECT impact_id, to_route_id AS route, station_id AS station, direction_id AS way, initial_delay AS start, tod FROM est"
+_STATE_SRC = """SELECT concat_ws(':', gst.a, gst.t, gst.s) AS impact_id, t.route_id AS route, coalesce(st.station, gst.s) AS station, coalesce(t.direction_id, 0) AS way, gst.d AS start, (gst.o % 86400)::INT AS tod
+  FROM gst JOIN g_trips t ON t.trip_id = gst.t LEFT JOIN st ON st.stop_id = gst.s"""
+_TRACKED = f"""{_EST}, {_walk(_BROKEN_SRC)},
+own AS (SELECT w.*, e.from_route_id, e.to_route_id, e.station_id AS source_station, CASE WHEN t.trip_id IS NULL THEN -1 ELSE t.direction_id END AS dirn, e.source_delay_seconds, e.sched_connection_departure_secs, e.earliest_catch_secs,
+  e.detected_at, w.hops_from_source = 1 AND w.route_id = e.to_route_id AS mine FROM walk w JOIN est e USING (impact_id) LEFT JOIN g_trips t ON t.trip_id = e.next_viable_trip_id),
+prime AS (SELECT *, mine AND row_number() OVER (PARTITION BY impact_id ORDER BY mine DESC, predicted_additional_delay, position) = 1 AS is_primary FROM own),
+kept AS (SELECT *, row_number() OVER (PARTITION BY impact_id ORDER BY is_primary DESC, position) AS k FROM prime WHERE is_primary OR confidence::DOUBLE >= 0.3),
+first3 AS (SELECT impact_id, route_id FROM (SELECT impact_id, route_id, row_number() OVER (PARTITION BY impact_id ORDER BY first_at) AS k FROM (SELECT impact_id, route_id, min(position) AS first_at FROM walk GROUP BY 1, 2)) WHERE k <= 3),
+bs AS (SELECT route_id, coalesce(st.station, s) AS station, max(d) AS baseline FROM gst LEFT JOIN st ON st.stop_id = gst.s WHERE d > 0 GROUP BY 1, 2)"""
+
+
+_WAITS = f"""{_EST}, pp AS (SELECT *, (seq % 3 - 1)::INT AS dirn FROM brk),
+  c AS (SELECT pp.impact_id, pp.dirn, pp.sched_connection_departure_secs AS sc, pp.earliest_catch_secs AS ec, d.departure_secs AS dep, d.trip_id, d.direction_id, d.station,
+    row_number() OVER (PARTITION BY pp.impact_id ORDER BY d.departure_secs, d.trip_id, d.stop_sequence) AS n
+    FROM pp JOIN dep d ON d.station = pp.station_id AND d.route_id = pp.to_route_id AND d.departure_secs BETWEEN pp.sched_connection_departure_secs AND pp.sched_connection_departure_secs + 90000),
+  fs AS (SELECT trip_id, station, arg_min(stop_id, stop_sequence) AS stop_id FROM dep GROUP BY 1, 2),
+  w AS (SELECT c.*, c.dep + coalesce(cur.d, 0) AS real FROM c JOIN fs ON fs.trip_id = c.trip_id AND fs.station = c.station LEFT JOIN cur ON cur.t = c.trip_id AND cur.s = fs.stop_id
+    WHERE n <= 10 AND dep <= ec + 1800 AND (dirn < 0 OR direction_id = dirn)),
+real AS (SELECT impact_id AS id, arg_min(greatest(0, real - sc), n)::INT AS wait FROM w WHERE real >= ec GROUP BY 1)"""
+
 _DIFF = f"""WITH RECURSIVE rows0 AS (SELECT feed_id, taken_at AS polled, {q.clean('trip_id')} AS t, stop_id AS s, coalesce(delay_seconds, 0)::BIGINT AS d, coalesce(predicted_arrival, 0)::BIGINT AS p, type AS k FROM delay_snapshots),
 polls AS (SELECT feed_id, polled, lag(polled) OVER (PARTITION BY feed_id ORDER BY polled) AS prev FROM (SELECT DISTINCT feed_id, polled FROM rows0)),
 rows1 AS (SELECT r.*, polls.prev FROM rows0 r JOIN polls USING (feed_id, polled)),
@@ -181,7 +246,7 @@ SELECT service_id FROM ({_SERVICES} UNION SELECT service_id FROM l WHERE kind =
   FROM (SELECT line_id, trim(split_part(line, ',', 2)) AS x FROM raw_lines WHERE file_name = 'stop_times.txt')""",
     "route_of_trip": f"""SELECT trip_id, {q.route_from_trip('trip_id')} AS route_id, CASE WHEN instr(trip_id, '_') > 0 AND instr(trip_id, '_') < length(trip_id) THEN substr(trip_id, instr(trip_id, '_') + 1) END AS suffix,
   CASE WHEN length(trip_id) > 12 THEN concat(substr(trip_id, 1, 11), '…') ELSE trip_id END AS short_id FROM (SELECT DISTINCT {q.clean('trip_id')} AS trip_id FROM delay_events)""",
-    "confidence_buckets": f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM delay_state WHERE confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY 1",
+    "confidence_buckets": f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM delay_state GROUP BY 1",
     "normalize_events": _NORMAL,
     "diff_events": _DIFF,
     "enrich_delay": f"""{_RESOLVED}, x AS (SELECT *, delay_seconds = 0 AND scheduled_arrival = 0 AND predicted_arrival <> 0 AND type IN ('ARRIVAL_DELAY', 'DEPARTURE_DELAY') AS need,
@@ -194,14 +259,14 @@ SELECT service_id FROM ({_SERVICES} UNION SELECT service_id FROM l WHERE kind =
     "state_changelog_whole": f"""WITH RECURSIVE {_changelog(_EV)} SELECT seq, a AS agency_id, t AS trip_id, s AS stop_id, op, CASE WHEN op = 'upsert' THEN d END AS delay_seconds,
   CASE WHEN op = 'upsert' THEN o END AS observed_at, CASE WHEN op = 'upsert' THEN conf END AS confidence, CASE WHEN op = 'upsert' THEN c END::INT AS update_count FROM chg
 UNION ALL SELECT seq, a, t, s, 'delete', NULL, NULL, NULL, NULL FROM ev1 WHERE type IN ('TRIP_CANCELLED', 'SKIP_STOP')""",
-    "delay_state_current": f"WITH RECURSIVE {_changelog(_EV)}, {_CUR} SELECT a AS agency_id, t AS trip_id, s AS stop_id, d AS delay_seconds, o AS observed_at, conf AS confidence, c::INT AS update_count FROM cur",
+    "delay_state_current": f"WITH RECURSIVE {_changelog(_EV)}, {_CUR} SELECT cur.a AS agency_id, cur.t AS trip_id, cur.s AS stop_id, ev0.r AS route_id, d AS delay_seconds, o AS observed_at, conf AS confidence, c::INT AS update_count FROM cur JOIN ev0 USING (seq)",
     "state_with_ttl": _TTL.replace("@EV", _EV),
     "active_delays": f"SELECT state_id, r AS route_id, delay_seconds FROM ({_STATE}) WHERE abs(delay_seconds::BIGINT) > 60",
     "delay_stats": "SELECT count(*) AS active, avg(abs(delay_seconds::BIGINT)) AS mean_abs, max(abs(delay_seconds::BIGINT)) AS max_abs FROM delay_state WHERE abs(delay_seconds::BIGINT) > 60",
     "top5_per_route": f"""SELECT r AS route_id, n::INT AS position, t AS trip_id, stop_id, delay_seconds, greatest(0, k - 5) AS more FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY delay_seconds DESC, t, stop_id) AS n,
   count(*) OVER (PARTITION BY r) AS k FROM ({_STATE}) WHERE abs(delay_seconds::BIGINT) > 60) WHERE n <= 5""",
     "live_max": f"SELECT r AS route_id, stop_id AS station, max(delay_seconds) AS delay FROM ({_STATE}) WHERE delay_seconds > 60 GROUP BY 1, 2",
-    "network_state": f"""{_GSTATE} SELECT gst.route_id, count(*) AS stops, string_agg(concat_ws('|', t, s, coalesce(nullif(x.stop_name, ''), y.stop_name, s), d::VARCHAR), ';' ORDER BY t, s) AS delays
+    "network_state": f"""{_GSTATE} SELECT gst.route_id, count(*) AS stops, string_agg(concat_ws('|', t, s, coalesce(nullif(x.stop_name, ''), y.stop_name, s), d::VARCHAR, round(conf * 1000000)::BIGINT::VARCHAR, o::VARCHAR), ';' ORDER BY t, s) AS delays
   FROM gst LEFT JOIN g_stops x ON x.stop_id = s LEFT JOIN g_stops y ON y.stop_id = x.parent_station WHERE abs(d) > 60 GROUP BY 1""",
     "route_delays": f"""{_GSTATE} SELECT gst.route_id, t AS trip_id, s AS stop_id, coalesce(nullif(x.stop_name, ''), s) AS stop_name, d AS delay_seconds, conf AS confidence, o AS observed_at FROM gst LEFT JOIN g_stops x ON x.stop_id = s""",
     "transfer_impacts": f"{_XFER} SELECT * FROM imp",
@@ -215,6 +280,15 @@ UNION ALL SELECT seq, a, t, s, 'delete', NULL, NULL, NULL, NULL FROM ev1 WHERE t
     "first_hop_cascade": f"""{_EST} SELECT impact_id, position, to_station, ras.route_id AS to_route_id, trunc(seeds.delay * 0.3::DOUBLE)::INT AS new_delay, confidence * 0.7::DOUBLE AS new_confidence
   FROM seeds JOIN tr ON tr.from_station = seeds.station JOIN ras ON ras.station = tr.to_station AND ras.route_id <> seeds.route_id LEFT JOIN live ON live.route_id = ras.route_id AND live.station = tr.to_station
   WHERE seeds.delay >= CASE WHEN min_transfer_time <= 0 THEN 120 ELSE min_transfer_time END + coalesce(live.delay, 0) AND confidence * 0.7::DOUBLE >= 0.2 AND trunc(seeds.delay * 0.3::DOUBLE) >= 15""",
+    "cascade_walk": f"{_EST}, {_walk(_BROKEN_SRC)} SELECT * FROM walk",
+    "cascade_walk_averages": f"{_EST}, {_walk(_BROKEN_SRC, _SAV)} SELECT * FROM walk",
+    "blast_radius": f"""{_EST}, {_walk(_STATE_SRC + " WHERE EXISTS (SELECT 1 FROM dep WHERE dep.station = coalesce(st.station, gst.s) AND dep.route_id = gst.route_id)")} SELECT * FROM walk""",
+    "predict_impact": f"{_EST}, {_walk(_STATE_SRC + ' ORDER BY gst.d DESC, gst.t, gst.s LIMIT 1')} SELECT * FROM walk",
+    "track_predictions": f"""{_TRACKED} SELECT concat_ws(':', from_route_id, kept.route_id, stop_id, kept.impact_id, position) AS id, 'ag' AS agency_id, from_route_id AS from_route, kept.route_id, stop_id AS station_id, source_station,
+  CASE WHEN kept.route_id = to_route_id THEN dirn ELSE -1 END::INT AS direction, source_delay_seconds AS source_delay_secs, predicted_additional_delay AS predicted_secs,
+  coalesce(CASE WHEN first3.impact_id IS NOT NULL THEN bs.baseline END, 0)::INT AS baseline_secs, sched_connection_departure_secs AS sched_conn_dep_secs, earliest_catch_secs, confidence::DOUBLE AS confidence,
+  hops_from_source AS hops, ((detected_at % 86400) // 3600)::INT AS hour, is_primary, detected_at AS created_at, detected_at + 1800 AS expires_at, 0 AS observed_max, FALSE AS matched
+  FROM kept LEFT JOIN first3 USING (impact_id, route_id) LEFT JOIN bs ON bs.route_id = kept.route_id AND bs.station = kept.stop_id WHERE k <= 20""",
     "baseline_delays": f"""{_EST}, rk AS (SELECT impact_id, route_id, dense_rank() OVER (PARTITION BY impact_id ORDER BY min(position)) AS n FROM seeds GROUP BY impact_id, route_id),
   bs AS (SELECT route_id, coalesce(st.station, s) AS station, max(d) AS baseline FROM gst LEFT JOIN st ON st.stop_id = gst.s WHERE d > 0 GROUP BY 1, 2)
   SELECT DISTINCT seeds.impact_id, seeds.route_id, seeds.station, bs.baseline FROM seeds JOIN rk ON rk.impact_id = seeds.impact_id AND rk.route_id = seeds.route_id AND rk.n <= 3 JOIN bs ON bs.route_id = seeds.route_id AND bs.station = seeds.station""",
@@ -223,14 +297,9 @@ UNION ALL SELECT seq, a, t, s, 'delete', NULL, NULL, NULL, NULL FROM ev1 WHERE t
   e AS (SELECT ev.*, dirs.dir FROM ({_EV}) ev LEFT JOIN dirs USING (t) WHERE {q.MEASUREMENT})
   SELECT p.id, coalesce(max(greatest(0, e.delay_seconds::BIGINT - coalesce(p.baseline_secs, 0))), 0)::BIGINT AS observed_max, count(e.t) > 0 AS matched
   FROM p LEFT JOIN e ON e.a = p.agency_id AND e.r = p.route_id AND e.s = p.station_id AND e.observed_at BETWEEN p.created_at AND p.expires_at AND (coalesce(p.direction, -1) < 0 OR e.dir IS NULL OR e.dir = p.direction) GROUP BY p.id""",
-    "realized_wait": f"""{_EST}, pp AS (SELECT *, (seq % 3 - 1)::INT AS dirn FROM brk),
-  c AS (SELECT pp.impact_id, pp.dirn, pp.sched_connection_departure_secs AS sc, pp.earliest_catch_secs AS ec, d.departure_secs AS dep, d.trip_id, d.direction_id, d.station,
-    row_number() OVER (PARTITION BY pp.impact_id ORDER BY d.departure_secs, d.trip_id, d.stop_sequence) AS n
-    FROM pp JOIN dep d ON d.station = pp.station_id AND d.route_id = pp.to_route_id AND d.departure_secs BETWEEN pp.sched_connection_departure_secs AND pp.sched_connection_departure_secs + 90000),
-  fs AS (SELECT trip_id, station, arg_min(stop_id, stop_sequence) AS stop_id FROM dep GROUP BY 1, 2),
-  w AS (SELECT c.*, c.dep + coalesce(cur.d, 0) AS real FROM c JOIN fs ON fs.trip_id = c.trip_id AND fs.station = c.station LEFT JOIN cur ON cur.t = c.trip_id AND cur.s = fs.stop_id
-    WHERE n <= 10 AND dep <= ec + 1800 AND (dirn < 0 OR direction_id = dirn))
-  SELECT impact_id AS id, arg_min(greatest(0, real - sc), n)::INT AS wait FROM w WHERE real >= ec GROUP BY 1""",
+    "realized_wait": f"{_WAITS} SELECT * FROM real",
+    "sweep_waits": f"""{_WAITS}, z AS (SELECT brk.impact_id AS id, additional_wait_seconds AS said, coalesce(r.wait, 0)::BIGINT AS seen FROM brk LEFT JOIN real r ON r.id = brk.impact_id)
+  SELECT id, CASE WHEN seen >= 15 AND seen >= said * 0.5 THEN 'verified' ELSE 'falsified' END AS outcome, abs(said - seen)::BIGINT AS abs_error, seen AS observed_max FROM z""",
     "sweep_outcomes": f"SELECT id, outcome, abs_error, seen AS observed_max FROM ({_SWEPT})",
     "eval_metrics": f"""SELECT {_BUCKET} AS bucket, outcome, count(*) AS finalized, sum(abs_error::HUGEINT * abs_error)::DOUBLE AS squared_error, sqrt(sum(abs_error::HUGEINT * abs_error)::DOUBLE / count(*)) AS rmse,
   {', '.join(f'count(*) FILTER (abs_error <= {b}) AS le_{b}' for b in (5, 15, 30, 60, 120, 300, 600, 1200))} FROM ({_SWEPT}) GROUP BY 1, 2""",

@@ -8,8 +8,11 @@ whose ids begin alike, after the number of stop times in earlier blocks. Curly n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from railtide.session import cut
 from railtide.sources.gtfs import Timetable, build
 from railtide.sources.tables import table
 
@@ -68,6 +71,12 @@ class Adapter:
                 self._made[name] = self.spark.sql(sql.replace("{epoch}", "unix_micros(CAST(ts AS TIMESTAMP)) / 1000000"), **used)
         return self._made[name]
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A step that several parts of a query read, computed and written to the shared folder the first time."""
+        if name not in self._made:
+            self._made[name] = cut(make())
+        return self._made[name]
+
     def services(self) -> DataFrame:
         return self.spark.createDataFrame([("F",), ("O",)], "service_id string")
 
