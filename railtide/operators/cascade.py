@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,10 +24,12 @@ from railtide.config import Propagation
 from railtide.functions.time import hour_of, seconds_of_day
 from railtide.operators.schedule import DAY, OVERNIGHT, downstream_stops, headway_index, scheduled_headway
 from railtide.operators.transfers import possible_connections
+from railtide.session import total_bytes
 from railtide.sources.gtfs import Timetable, with_station
 
-#: The walk's graph is collected only up to this many rows; a larger one is walked hour by hour.
-GRAPH_ROWS = 2_000_000
+#: The walk's graph, which grows with a service day's timetable and not with the events, is sent to all executors only up
+#: to this many bytes of values; a larger one is walked hour by hour, and an hour beyond it is an error.
+GRAPH_BYTES = 256 << 20
 NO_HEADWAY = 900
 
 
@@ -215,24 +218,32 @@ def walk(g: Graph, route: str, station: str, direction: int, start: int, tod: in
 
 
 def cascade(estimated: DataFrame, t: Timetable, live: DataFrame, stop_averages: DataFrame | None = None, cfg: Propagation = Propagation(),
-            max_rows: int = GRAPH_ROWS) -> DataFrame:
-    """Downstream impacts of every impact (schema.DOWNSTREAM), by the best-first walk; position is the order of finding."""
+            most: int = GRAPH_BYTES, most_of_hour: int = GRAPH_BYTES) -> DataFrame:
+    """Downstream impacts of every impact (schema.DOWNSTREAM), by the best-first walk; position is the order of finding.
+
+    Impacts without a time or an estimate have none. The graph is measured before it is collected, and broadcast once.
+    """
+    spark = estimated.sparkSession
     tables = _tables(t, live, stop_averages, cfg, None)
-    rows = estimated.select("impact_id", "to_route_id", "station", "direction_id", "initial_delay", "tod", "hour")
-    if sum(x.count() for x in tables.values()) <= max_rows:
-        return rows.mapInPandas(_walker(collect_graph(tables), cfg), schema.DOWNSTREAM)
+    rows = estimated.select("impact_id", "to_route_id", "station", "direction_id", "initial_delay", "tod", "hour").where("tod is not null and initial_delay is not null")
+    if sum(map(total_bytes, tables.values())) <= most:
+        return rows.mapInPandas(_walker(spark.sparkContext.broadcast(collect_graph(tables)), cfg), schema.DOWNSTREAM)
     out = None
     for hour in range(24):
-        g = collect_graph(_tables(t, live, stop_averages, cfg, hour))
-        part = rows.where(F.col("hour") == hour).mapInPandas(_walker(g, cfg), schema.DOWNSTREAM)
+        tables = _tables(t, live, stop_averages, cfg, hour)
+        if (size := sum(map(total_bytes, tables.values()))) > most_of_hour:
+            raise ValueError(f"the timetable of hour {hour} takes {size} bytes: divide it by region, or raise most_of_hour")
+        graph = spark.sparkContext.broadcast(collect_graph(tables))
+        part = rows.where(F.col("hour") == hour).mapInPandas(_walker(graph, cfg), schema.DOWNSTREAM)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _walker(g: Graph, cfg: Propagation):
+def _walker(graph: Broadcast, cfg: Propagation):
     names = [x.strip().split(" ")[0] for x in schema.DOWNSTREAM.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = graph.value
         for b in batches:
             out = []
             for i, route, station, way, start, tod in b[["impact_id", "to_route_id", "station", "direction_id", "initial_delay", "tod"]].itertuples(index=False):

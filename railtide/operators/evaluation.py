@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from railtide.functions.time import confidence_bucket, hour_of, seconds_of_day
-from railtide.operators.schedule import INDEX_ROWS, departure_index, next_departures
+from railtide.operators.schedule import departure_index, next_departures
 from railtide.session import broadcast_if_small
 from railtide.sources.gtfs import Timetable, with_station
 
@@ -107,7 +107,7 @@ def realized_wait(pending: DataFrame, t: Timetable, state: DataFrame) -> DataFra
     """
     p = pending.where("is_primary and sched_conn_dep_secs > 0")
     p = with_station(p, t.stops, "source_station", "__station")
-    p = next_departures(p, broadcast_if_small(departure_index(t.departures, CANDIDATES), INDEX_ROWS), "__station", "route_id", "sched_conn_dep_secs", CANDIDATES)
+    p = next_departures(p, broadcast_if_small(departure_index(t.departures, CANDIDATES)), "__station", "route_id", "sched_conn_dep_secs", CANDIDATES)
     c = p.select("id", "agency_id", "direction", "__station", "sched_conn_dep_secs", "earliest_catch_secs", F.posexplode("deps").alias("n", "d"))
     c = c.where((F.col("d.dep") <= F.col("earliest_catch_secs") + WINDOW) & ((F.col("direction") < 0) | (F.col("d.direction_id") == F.col("direction"))))
     # the trip's stored delay is under the stop it calls at first there by sequence, the station's own id before its platforms

@@ -17,8 +17,6 @@ MAX_GAP = 10_800
 MAX_HOUR = 27
 #: Seconds per slot of the next-departure index: a few headways.
 SLOT = 600
-#: Index rows (each an array of some departures) up to which the index is broadcast.
-INDEX_ROWS = 50_000
 
 
 def routes_at_stop(departures: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railtide.functions.time import clock
-from railtide.operators.schedule import INDEX_ROWS, departure_index, next_departures, next_overnight, routes_at_stop
+from railtide.operators.schedule import departure_index, next_departures, next_overnight, routes_at_stop
 from railtide.operators.state import as_of
 from railtide.session import broadcast_if_small
 from railtide.sources.gtfs import Timetable, with_station
@@ -37,7 +37,7 @@ def transfer_impacts(events: DataFrame, t: Timetable, log: DataFrame | None = No
     late = late.select(F.col(seq).alias("seq"), "agency_id", F.col("trip_id").alias("from_trip_id"), F.col("route_id").alias("from_route_id"), "from_station",
                        "stop_id", "delay_seconds", "observed_at", "tod")
     c = late.join(possible_connections(t), "from_station").where("to_route_id <> from_route_id")
-    index = broadcast_if_small(departure_index(t.departures, 1), INDEX_ROWS)
+    index = broadcast_if_small(departure_index(t.departures, 1))
     c = next_overnight(c, index, "to_station", "to_route_id", "tod", 1, "__frame", "eff").drop("__frame")
     c = next_departures(c, index, "to_station", "to_route_id", F.col("eff") + F.col("min_transfer"), 1, "deps").where(F.size("deps") > 0)
     d = F.get(F.col("deps"), F.lit(0))

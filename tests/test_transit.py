@@ -332,12 +332,12 @@ def test_initial_estimates(spark, hour, wait, conn, avg, n, want):
     assert rows(got, "initial_delay") == [(want,)]
 
 
-def walked(spark, t=None, live=(), averages=None, cfg=config.Propagation(), max_rows=10**6, **kw):
+def walked(spark, t=None, live=(), averages=None, cfg=config.Propagation(), most=10**9, **kw):
     t = t or cascade_table(spark)
     lv = spark.createDataFrame(list(live), LIVE)
     none = spark.createDataFrame([], "from_route string, to_route string, station string, hour int, average double, n long")
     est = cascade.initial_estimates(impact(spark, **kw), t, lv, none, cfg)
-    return {(r["route_id"], r["stop_id"]): r for r in cascade.cascade(est, t, lv, averages, cfg, max_rows).collect()}
+    return {(r["route_id"], r["stop_id"]): r for r in cascade.cascade(est, t, lv, averages, cfg, most).collect()}
 
 
 def test_walk(spark):
@@ -345,7 +345,7 @@ def test_walk(spark):
     assert w["L", "S2"]["predicted_additional_delay"] == 300 and w["L", "S3"]["predicted_additional_delay"] == 301
     assert (w["G", "S5"]["impact_type"], w["G", "S5"]["hops_from_source"]) == ("cascade_dwell", 2)
     assert w["G", "S3"]["predicted_additional_delay"] == 90 and w["L", "S2"]["confidence"] == 1.0 and round(w["L", "S3"]["confidence"], 6) == 0.49
-    assert w == walked(spark, wait=300, max_rows=0)  # hour by hour
+    assert w == walked(spark, wait=300, most=0)  # hour by hour
     assert not any(r == "G" for r, _ in walked(spark, wait=300, live=[("G", "S3", 400)]))
     assert len(walked(spark, wait=300, cfg=config.Propagation(max_impacts=3))) == 3
     assert all(r["predicted_additional_delay"] < 15 for r in walked(spark, delay=30, at=HMS(14, 30)).values())
