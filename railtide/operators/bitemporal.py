@@ -68,12 +68,17 @@ def locate(events: DataFrame, rects: DataFrame, entity: str, known_at: str, attr
     """events with the attributes of the rectangle that holds (valid_day, known_at); null where none does.
 
     Every event comes out once, with all its columns. Events with a null entity, time or day get nulls. Rectangles are
-    indexed over the span of the events only, so an open end costs no cells; pass ``span`` where it is known. A grid
-    proven small is broadcast; otherwise both sides are placed by (entity, cell) and adaptive execution splits skewed
-    cells.
+    indexed only where the span of the events and that of the rectangles' own bounds meet: beyond the last bound nothing
+    changes, so events out there look into the last cell, and neither an open end nor an event with a wild time costs
+    cells. Pass ``span`` of the events where it is known. A grid proven small is broadcast; otherwise both sides are
+    placed by (entity, cell) and adaptive execution splits skewed cells.
     """
     first_k, last_k, lo_v, hi_v = span or span_of(events, known_at, valid_day)
+    low_k, high_k, low_v, high_v = (0 if x is None else int(x) for x in rects.agg(F.min("k0"), F.max("k0"), F.min("v0"), F.max("v1") - 1).first())
+    last_k, hi_v = min(last_k, high_k), min(hi_v, high_v)
+    first_k, lo_v = min(max(first_k, low_k), last_k), min(max(lo_v, low_v), hi_v)
     span = {"a": first_k, "b": last_k}
+    within = lambda c, first, last: F.least(F.greatest(F.col(c), F.lit(first)), F.lit(last))
     cells = lambda low, high, size, first, last: F.sequence(
         F.floor(F.greatest(low, F.lit(first)) / size), F.floor(F.least(high - 1, F.lit(last)) / size))
     grid = rects.where((F.col("k0") <= span["b"]) & (F.col("k1") > span["a"]))
@@ -84,8 +89,8 @@ def locate(events: DataFrame, rects: DataFrame, entity: str, known_at: str, attr
     grid = grid.withColumn("kc", F.explode(cells(F.col("k0"), F.col("k1"), known_cell, span["a"], span["b"])))
     grid = grid.select(*(F.col(c).alias(f"__{c}") for c in ("entity", "vc", "kc", "v0", "v1", "k0", "k1")), F.struct(*attributes).alias("__a"))
     grid = broadcast_if_small(grid)
-    e = events.withColumn("__vcell", F.floor(F.col(valid_day) / valid_cell) if valid_day else F.lit(0).cast("long"))
-    e = e.withColumn("__kcell", F.floor(F.col(known_at) / known_cell))
+    e = events.withColumn("__vcell", F.floor(F.when(F.col(valid_day).isNotNull(), within(valid_day, lo_v, hi_v)) / valid_cell) if valid_day else F.lit(0).cast("long"))
+    e = e.withColumn("__kcell", F.floor(F.when(F.col(known_at).isNotNull(), within(known_at, first_k, last_k)) / known_cell))
     on = (F.col(entity) == F.col("__entity")) & (F.col("__vcell") == F.col("__vc")) & (F.col("__kcell") == F.col("__kc"))
     on &= (F.col(known_at) >= F.col("__k0")) & (F.col(known_at) < F.col("__k1"))
     if valid_day:

@@ -186,8 +186,9 @@ def merger(ids: list[str], order: list[str], keep: list[str]):
         shared = np.r_[False, same] | np.r_[same, False]
         stays = ~shared
         if shared.any():
-            some = t.select(["__hash", *ids, *order, *keep]).take(at[shared]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
-            first = some.sort_values(["__hash", *ids, *order, *keep], na_position="first", kind="stable").drop_duplicates(ids).index
+            ties = [c for c in keep if not pa.types.is_nested(t.schema.field(c).type)]
+            some = t.select(["__hash", *ids, *order, *ties]).take(at[shared]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
+            first = some.sort_values(["__hash", *ids, *order, *ties], na_position="first", kind="stable").drop_duplicates(ids).index
             stays[np.flatnonzero(shared)[first]] = True
         yield from t.take(at[stays]).combine_chunks().to_batches(max_chunksize=50_000)
 

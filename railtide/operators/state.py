@@ -88,13 +88,21 @@ def as_of(probes: DataFrame, log: DataFrame, seq: str, agency: str, trip: str, s
     return both.where("__probe = 1").select(*(c for c in cols if not c.startswith("__")), held.alias(out))
 
 
-def reconcile_with_ttl(events: DataFrame, seq: str = "seq", arrived: str = "received_at", ttl: int = TTL) -> DataFrame:
+def reconcile_with_ttl(events: DataFrame, seq: str = "seq", arrived: str = "received_at", ttl: int = TTL, stored: DataFrame | None = None) -> DataFrame:
     """The changelog's upserts and drops where a key also expires ``ttl`` seconds of arrival time after its last accepted
-    event. An ordered fold per trip: a cancelled trip clears all its stops."""
+    event. An ordered fold per trip: a cancelled trip clears all its stops. ``stored`` is the state before the events
+    (key, delay_seconds, observed_at, confidence, update_count, arrived), from which their trips go on."""
     rows = events.where("delay_seconds is not null and observed_at is not null").select(
-        F.col(seq).alias("seq"), F.col(arrived).alias("arrived"), *KEY, "delay_seconds", "observed_at", "type")
+        F.col(seq).alias("seq"), F.col(arrived).alias("arrived"), *KEY, "delay_seconds", "observed_at", "type",
+        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("int").alias("update_count"))
+    if stored is not None:
+        own = stored.join(rows.select("agency_id", "trip_id").distinct(), ["agency_id", "trip_id"], "left_semi")
+        rows = rows.unionByName(own.select(F.lit(None).cast("long").alias("seq"), "arrived", *KEY, "delay_seconds", "observed_at", F.lit("STORED").alias("type"), "confidence", "update_count"))
 
     def step(state, row):
+        if row.type == "STORED":  # without a number of arrival these come first
+            state[row.stop_id] = (row.delay_seconds, row.observed_at, row.confidence, row.update_count, row.arrived)
+            return state, []
         if row.type == "TRIP_CANCELLED":
             return {}, []
         if row.type == "SKIP_STOP":

@@ -22,13 +22,14 @@ def possible_connections(t: Timetable) -> DataFrame:
     return t.transfers.withColumn("min_transfer", m).join(r, "to_station").select("from_station", "to_station", "to_route_id", "min_transfer")
 
 
-def transfer_impacts(events: DataFrame, t: Timetable, log: DataFrame | None = None, seq: str = "seq") -> DataFrame:
+def transfer_impacts(events: DataFrame, t: Timetable, log: DataFrame | None = None, seq: str = "seq", state: DataFrame | None = None) -> DataFrame:
     """Broken and endangered connections of late events, with the event's seq.
 
     An event's own (enriched) delay counts, not the stored one, and events that the state drops count too. The time of
     day is that of the scheduled arrival, else of the observation. In the frame that fits the night, the first departure
     after the transfer time is the connection; its own stored delay, as known at the event's arrival, moves the margin.
-    A broken connection has the next scheduled departure that can be caught.
+    A broken connection has the next scheduled departure that can be caught. In place of the log of all changes the
+    ``state`` as it stands may be given.
     """
     late = events.where(F.col("delay_seconds") > 0)
     late = with_station(late, t.stops, "stop_id", "from_station")
@@ -44,6 +45,9 @@ def transfer_impacts(events: DataFrame, t: Timetable, log: DataFrame | None = No
     c = c.withColumns({"dep": d["dep"], "conn_trip": d["trip_id"], "conn_stop": d["stop_id"]}).drop("deps")
     if log is not None:
         c = as_of(c, log, "seq", "agency_id", "conn_trip", "conn_stop", "conn_delay")
+    elif state is not None:
+        s = state.select(F.col("agency_id").alias("__a"), F.col("trip_id").alias("__t"), F.col("stop_id").alias("__s"), F.col("delay_seconds").alias("conn_delay"))
+        c = c.join(s, (F.col("agency_id") == F.col("__a")) & (F.col("conn_trip") == F.col("__t")) & (F.col("conn_stop") == F.col("__s")), "left").drop("__a", "__t", "__s")
     else:
         c = c.withColumn("conn_delay", F.lit(None).cast("int"))
     c = c.withColumn("original", F.col("dep") - F.col("eff"))

@@ -12,7 +12,8 @@ import time
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from railtide import schema
 
@@ -110,10 +111,17 @@ def fetch(url: str) -> bytes:
 
 
 def poll(feed_id: str, url: str, poll_no: int) -> list[tuple]:
+    """The updates of one poll; a poll that fails is one row without a trip, so that failures can be counted."""
+    now = int(time.time())
     try:
-        return decode(fetch(url), feed_id, poll_no, int(time.time()))
+        return decode(fetch(url), feed_id, poll_no, now)
     except (OSError, ValueError):
-        return []
+        return [(feed_id, poll_no, now, None, None)]
+
+
+def failures(feed: DataFrame) -> DataFrame:
+    """(feed_id, poll_no, observed_at) of polls that failed."""
+    return feed.where("trip is null and stop_time_update is null").select("feed_id", "poll_no", "observed_at")
 
 
 class FeedSource(DataSource):
@@ -129,7 +137,7 @@ class FeedSource(DataSource):
     def reader(self, schema):  # noqa: ARG002
         return FeedReader(json.loads(self.options["feeds"]))
 
-    def simpleStreamReader(self, schema):  # noqa: ARG002, N802
+    def streamReader(self, schema):  # noqa: ARG002, N802
         return FeedStream(json.loads(self.options["feeds"]))
 
 
@@ -144,8 +152,9 @@ class FeedReader(DataSourceReader):
         yield from poll(*partition.value, 0)
 
 
-class FeedStream(SimpleDataSourceStreamReader):
-    """One poll of every feed per micro-batch; the offset counts polls."""
+class FeedStream(DataSourceStreamReader):
+    """One poll of every feed per micro-batch, each in its own task. The offset is the time of the poll in milliseconds, so
+    a restarted stream goes on. A poll can't be repeated: a lost one is polled anew, and the differ drops what is known."""
 
     def __init__(self, feeds: dict[str, str]):
         self.feeds = feeds
@@ -153,10 +162,11 @@ class FeedStream(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {"poll": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        n = start["poll"]
-        return iter([r for k, v in sorted(self.feeds.items()) for r in poll(k, v, n)]), {"poll": n + 1}
+    def latestOffset(self, *_) -> dict:  # noqa: N802
+        return {"poll": int(time.time() * 1000)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        """A poll can't be repeated; a lost one is polled anew, and the differ drops what is known."""
-        return iter([r for n in range(start["poll"], end["poll"]) for k, v in sorted(self.feeds.items()) for r in poll(k, v, n)])
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:  # noqa: ARG002
+        return [InputPartition((k, v, end["poll"])) for k, v in sorted(self.feeds.items())]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from poll(*partition.value)

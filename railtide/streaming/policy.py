@@ -1,7 +1,8 @@
-"""Operating policy of streams: catch-up mode, retries, throughput and lag."""
+"""Operating policy of streams: catch-up mode, load shedding, retries, throughput and lag."""
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 
@@ -24,6 +25,33 @@ class CatchUp:
         return self.on
 
 
+class Shedder:
+    """Room for so many cascades at a time; what comes while all places are taken is shed, and counted."""
+
+    def __init__(self, places: int = 32):
+        self._free = threading.BoundedSemaphore(places)
+        self._lock = threading.Lock()
+        self.ran = self.shed = 0
+
+    def run(self, work: Callable, *args) -> bool:
+        """Start work on a thread of its own if there is a place; False where it was shed."""
+        if not self._free.acquire(blocking=False):
+            with self._lock:
+                self.shed += 1
+            return False
+
+        def held() -> None:
+            try:
+                work(*args)
+            finally:
+                self._free.release()
+
+        with self._lock:
+            self.ran += 1
+        threading.Thread(target=held, daemon=True).start()
+        return True
+
+
 def total_lag(lags: dict[object, int]) -> int:
     return sum(lags.values())
 

@@ -35,6 +35,14 @@ def test_later_knowledge_is_not_used(spark):
     assert got == {1: ("A", "19700101", "B", ""), 2: ("B", "19700104", "B", "19700104"), 3: ("",) * 4, 4: ("",) * 4, 5: ("", "", "B", "")}
 
 
+def test_wild_times_cost_no_cells(spark):
+    """An event whose time is far off is located like others, and doesn't spread open rectangles over the time between."""
+    v = spark.createDataFrame([("a", 1000, 3, 5, "x"), ("a", 90_000_000, 4, 9, "y")], "e string, known long, lo int, hi int, name string")
+    e = spark.createDataFrame([(1, "a", 1 << 61, 4), (2, "a", -(1 << 61), 4), (3, "a", 5000, 2_000_000_000), (4, "a", 5000, 5)], "id long, who string, at long, day int")
+    got = b.locate(e, b.rectangles(v, "e", "known", ["name"], "lo", "hi"), "who", "at", ["name"], "day").collect()
+    assert {x["id"]: x["name"] for x in got} == {1: "y", 2: None, 3: None, 4: "x"}
+
+
 def test_empty(spark):
     ev = spark.createDataFrame([], "delivery_id long, trip_id string, observed_at long")
     tr = spark.createDataFrame([], "trip_id string, service_id string, published_at long")

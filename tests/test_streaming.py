@@ -176,7 +176,10 @@ def test_feed_source(spark, tmp_path):
 def test_topics(spark, tmp_path):
     d = spark.createDataFrame([("ag", "t", "R", "s", 5, 1, 2, 3, A), ("ag", "t", "Q", "s", 6, 1, 2, 3, A)], schema.DELAY_EVENT)
     topics.write(d, "delay-events", folder=str(tmp_path))
-    assert sorted(p.name for p in (tmp_path / "delay-events").glob("route_id=*")) == ["route_id=Q", "route_id=R"]
+    assert not topics.create(spark, "delay-events", folder=str(tmp_path)) and topics.create(spark, "network-predictions", 3, folder=str(tmp_path))
+    assert topics.partition_count(spark, "delay-events", str(tmp_path)) == topics.PARTITIONS and topics.partition_count(spark, "network-predictions", str(tmp_path)) == 3
+    topics.write(d, "delay-events", folder=str(tmp_path))  # a key stays in its partition
+    assert len(list((tmp_path / "delay-events").glob("partition=*"))) in (1, 2)
     m = topics.messages(d, "route_id")
     bad = m.unionByName(spark.createDataFrame([("R", "not json"), ("R", None)], "key string, value string"))
     assert topics.decoded(bad, schema.DELAY_EVENT).count() == 2
