@@ -138,7 +138,7 @@ def msg(*parts):
 
 
 def message(stamp=1_700_000_000):
-    trip = msg((1, "130200_A..N"), (5, ""))
+    trip = msg((1, "x9_A..up"), (5, ""))
     stops = [msg((4, "S1"), (2, msg((1, -30), (2, 1_700_000_600)))), msg((4, "S2"), (3, msg((2, 1_700_000_900)))), msg((4, "S3"), (5, 1))]
     update = msg((1, trip), *((2, s) for s in stops))
     gone = msg((1, msg((1, "x_B.."), (4, 3))))
@@ -147,7 +147,7 @@ def message(stamp=1_700_000_000):
 
 def test_decode():
     rows = feed.decode(message(), "f", 4, 99)
-    assert rows[0] == ("f", 4, 1_700_000_000, ("130200_A..N", "", "SCHEDULED"),
+    assert rows[0] == ("f", 4, 1_700_000_000, ("x9_A..up", "", "SCHEDULED"),
                        [("S1", "SCHEDULED", (-30, 1_700_000_600), None), ("S2", "SCHEDULED", None, (None, 1_700_000_900)), ("S3", "SKIPPED", None, None)])
     assert rows[1][3] == ("x_B..", "", "CANCELED") and len(rows) == 2
     assert feed.decode(msg((1, msg((1, "2.0")))), "f", 0, 99) == []

@@ -32,50 +32,70 @@ def rows(df, *cols):
 
 @pytest.fixture
 def csv_folder(tmp_path):
+    """Two lines of a harbour town; names, zones and faults as timetables have them."""
     files = {
-        "stops.txt": "﻿stop_id, stop_name ,stop_lat,location_type,parent_station\nS1,One,40.5,1,\nS2,Two,x,1,\nS1,One again,1,1,\nS3\n",
-        "routes.txt": "route_id,route_short_name\nL,L\n",
-        "trips.txt": "route_id,trip_id,service_id,direction_id\nL,t1,WK,0\nL,t2,WE,x\n",
-        "stop_times.txt": "trip_id,arrival_time,departure_time,stop_id,stop_sequence\nt1,08:00:00,,S1,1\nt1,08:05:00,08:06:00,S2,2\nt1,bad,08:06:00,S2,3\nt2,09:00:00,,S1,1\n",
-        "transfers.txt": "from_stop_id,to_stop_id,transfer_type,min_transfer_time\nS1,S2,2,120\nS2,S1,3,\n",
-        "calendar.txt": "service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\nWK,1,1,1,1,1,1,1,20260115,20260115\nWE,0,0,0,1,0,0,0,20260101,20261231\n",
-        "calendar_dates.txt": "service_id,date,exception_type\nWE,20260115,1\nWE,20260115,2\nXX,20260116,1\n",
-        "agency.txt": "agency_id,agency_name,agency_timezone\nA,Agency,America/New_York\n",
+        "stops.txt": "﻿zone_id,stop_id, stop_name ,stop_lat,location_type,parent_station\n"
+                     '3,quay,"Quay ""Nord"", ferry",51.25,1,\n3,quay-2,,north,,quay\n4,mill,"Old\nMill",51.5,1,\n4,quay,Quay,52,1,\n9,fort\n',
+        "routes.txt": "route_color,route_id,route_short_name\nff8800,ferry,F1\n",
+        "trips.txt": "service_id,trip_id,route_id,direction_id\nworkdays,f-early,ferry,1\nfairs,f-late,ferry,up\n",
+        "stop_times.txt": "stop_sequence,trip_id,stop_id,arrival_time,departure_time\n"
+                          "4,f-early,quay-2,5:47:10,\n9,f-early,mill,06:01:00,06:02:30\n11,f-early,fort,soon,06:20:00\n2,f-late,mill,23:59:00,24:03:00\n",
+        "transfers.txt": "min_transfer_time,from_stop_id,to_stop_id,transfer_type\n95,quay-2,mill,2\n,mill,quay,3\n,mill,fort,0\n",
+        "calendar.txt": "service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\n"
+                        "workdays,1,1,1,1,1,0,0,20250901,20250930\nfairs,0,0,0,0,0,1,1,20250101,20251231\n",
+        "calendar_dates.txt": "date,service_id,exception_type\n20250909,fairs,2\n20250909,fairs,1\n20250910,workdays,2\n20250909,unknown,2\n",
+        "agency.txt": "agency_timezone,agency_id\nEurope/Lisbon,harbour\n",
     }
     for n, text in files.items():
-        (tmp_path / n).write_text(text, encoding="utf-8")
+        (tmp_path / n).write_text(text, encoding="utf-8", newline="")
     return tmp_path
 
 
 def test_csv_folder(spark, csv_folder):
-    t = gtfs.load(spark, str(csv_folder), dt.date(2026, 1, 15))
-    assert t.tz == "America/New_York"
-    assert sorted(rows(t.departures, "trip_id", "stop_id", "arrival_secs", "departure_secs")) == [("t1", "S1", 28800, 28800), ("t1", "S2", 29100, 29160)]
-    assert rows(t.transfers) == [("S1", "S2", 2, 120)]
-    assert sorted(rows(t.stops, "stop_id", "stop_name", "stop_lat")) == [("S1", "One again", 1.0), ("S2", "Two", 0.0), ("S3", "", 0.0)]
+    tuesday, wednesday = dt.date(2025, 9, 9), dt.date(2025, 9, 10)
+    t = gtfs.load(spark, str(csv_folder), tuesday)
+    assert t.tz == "Europe/Lisbon"
+    got = sorted(rows(t.departures, "trip_id", "stop_id", "station", "arrival_secs", "departure_secs", "stop_sequence"))
+    assert got == [("f-early", "mill", "mill", HMS(6, 1), HMS(6, 2, 30), 9), ("f-early", "quay-2", "quay", HMS(5, 47, 10), HMS(5, 47, 10), 4),
+                   ("f-late", "mill", "mill", HMS(23, 59), HMS(24, 3), 2)]  # the fair runs: the later exception of the day stands
+    assert sorted(rows(t.transfers)) == [("mill", "fort", 0, 0), ("quay", "mill", 2, 95)]
+    assert sorted(rows(t.stops, "stop_id", "stop_name", "stop_lat", "parent_station")) == [
+        ("fort", "", 0.0, ""), ("mill", "Old\nMill", 51.5, ""), ("quay", "Quay", 52.0, ""), ("quay-2", "", 0.0, "quay")]
+    assert gtfs.load(spark, str(csv_folder), wednesday).departures.count() == 0
     (csv_folder / "calendar_dates.txt").unlink()
     (csv_folder / "agency.txt").unlink()
-    t = gtfs.load(spark, str(csv_folder), dt.date(2026, 1, 15))
-    assert t.tz == "UTC" and t.departures.count() == 3
+    t = gtfs.load(spark, str(csv_folder), wednesday)
+    assert t.tz == "UTC" and {r["trip_id"] for r in t.departures.collect()} == {"f-early"}
     (csv_folder / "calendar.txt").unlink()
     with pytest.raises(Exception, match="calendar"):
-        gtfs.load(spark, str(csv_folder), dt.date(2026, 1, 15))
+        gtfs.load(spark, str(csv_folder), wednesday)
 
 
 def test_times(spark):
-    d = spark.createDataFrame([("00:00:00", 0), ("12:30:00", 45000), ("24:00:00", 86400), ("25:30:00", 91800), (" 06:05:30 ", 21930), ("6:5", None), ("a:b:c", None), ("", None)], "x string, want int")
+    r = random.Random(31)
+    want = {f"{h:02d}:{m:02d}:{x:02d}": HMS(h, m, x) for h, m, x in ((r.randrange(30), r.randrange(60), r.randrange(60)) for _ in range(20))}
+    want |= {" 7:08:09\t".replace("\t", " "): HMS(7, 8, 9), "7:8": None, "7:8:9:10": None, "x:y:z": None, " ": None}
+    d = spark.createDataFrame(list(want.items()), "x string, want int")
     assert d.where(~ftime.service_seconds("x").eqNullSafe(F.col("want"))).count() == 0
-    local = int(dt.datetime(2026, 1, 15, 13, 30, tzinfo=dt.timezone.utc).timestamp())
-    assert rows(spark.createDataFrame([(local,), (0,)], "t long").select(ftime.clock("t", "America/New_York"))) == [(30600,), (0,)]
-    c = spark.createDataFrame([(0.2,), (0.4,), (0.6,), (0.8,)], "c double").select(ftime.confidence_bucket("c"))
-    assert [r[0] for r in c.collect()] == ["0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1.0"]
-    assert gtfs.valid_timezone("No/Where") == "UTC"
+    summer, winter = (int(dt.datetime(2025, m, 2, 21, 15, 40, tzinfo=dt.timezone.utc).timestamp()) for m in (7, 12))
+    clocks = spark.createDataFrame([(summer,), (winter,), (0,)], "t long").select(ftime.clock("t", "Europe/Athens"))
+    assert [r[0] for r in clocks.collect()] == [HMS(0, 15, 40), HMS(23, 15, 40), 0]
+    edges = spark.createDataFrame([(0.39,), (0.4,), (0.59,), (0.6,), (0.79,), (0.8,)], "c double").select(ftime.confidence_bucket("c"))
+    assert [r[0][:3] for r in edges.collect()] == ["0.2", "0.4", "0.4", "0.6", "0.6", "0.8"]
+    assert gtfs.valid_timezone("Mars/Olympus") == "UTC" and gtfs.valid_timezone("", "Asia/Tokyo") == "Asia/Tokyo"
 
 
 def test_route_of_trip(spark):
-    want = {"130200_A..N": "A", "055150_6..N03R": "6", "094550_GS.N01R": "GS", "000000_L..S": "L", "noseparator": "noseparator", "": "", "tail_": "tail_"}
-    d = spark.createDataFrame([(k,) for k in want], "t string").select("t", route_from_trip("t").alias("r"))
-    assert {r["t"]: r["r"] for r in d.collect()} == want
+    """What stands between the first underscore and the point that follows; ids without an inner underscore are taken whole."""
+    r = random.Random(32)
+    ids = ["_".join("".join(r.choice("k7.") for _ in range(r.randrange(4))) for _ in range(r.randrange(1, 4))) for _ in range(200)]
+
+    def rule(t):
+        head, mark, tail = t.partition("_")
+        return tail.split(".")[0] if mark and tail else t
+
+    d = spark.createDataFrame([(k,) for k in ids], "t string").select("t", route_from_trip("t").alias("r"))
+    assert all(x["r"] == rule(x["t"]) for x in d.collect())
 
 
 def test_config(tmp_path):
@@ -95,27 +115,37 @@ def lookup(spark, deps, *probes):
 
 
 def test_headways(spark):
-    trips = [(f"a{k}", "L", 0) for k in range(4)] + [(f"b{k}", "L", 1) for k in range(5)]
-    times = [(f"a{k}", "S1N", 28800 + 600 * k, 1) for k in range(4)] + [(f"b{k}", "S1", 28800 + 300 * k, 1) for k in range(5)]
-    t = timetable(spark, [("S1", "", ""), ("S1N", "", "S1")], trips, times)
-    assert lookup(spark, t.departures, ("L", 0, "S1", 28900), ("L", 1, "S1", 28900), ("L", 0, "S1", 50400), ("Q", 0, "S1", 28800)) == [600, 300, None, None]
-    t = timetable(spark, [("S1", "", "")], [(f"c{k}", "L", 0) for k in range(3)] + [("d0", "M", 0), ("d1", "M", 0)],
-                  [(f"c{k}", "S1", x, 1) for k, x in enumerate((90000, 91200, 92400))] + [("d0", "S1", 0, 1), ("d1", "S1", 14400, 1)])
-    assert lookup(spark, t.departures, ("L", 0, "S1", 90060), ("L", 0, "S1", 3900), ("L", 0, "S1", 18000), ("M", 0, "S1", 60)) == [1200, 1200, None, None]
+    """Half-hourly one way, every seven minutes the other, from a platform and from the station itself; and a night line."""
+    slow, fast, night = [HMS(13) + 1800 * k for k in range(3)], [HMS(13, 2) + 420 * k for k in range(6)], [HMS(24, 10), HMS(24, 35), HMS(25, 5)]
+    trips = [(f"s{k}", "tram", 0) for k in range(3)] + [(f"f{k}", "tram", 1) for k in range(6)] + [(f"n{k}", "owl", 0) for k in range(3)] + [("g1", "gap", 0), ("g2", "gap", 0)]
+    times = [(f"s{k}", "fort-a", x, 1) for k, x in enumerate(slow)] + [(f"f{k}", "fort", x, 1) for k, x in enumerate(fast)] + [(f"n{k}", "fort", x, 1) for k, x in enumerate(night)]
+    t = timetable(spark, [("fort", "", ""), ("fort-a", "", "fort")], trips, times + [("g1", "fort", HMS(9), 1), ("g2", "fort", HMS(12, 0, 1), 1)])
+    got = lookup(spark, t.departures, ("tram", 0, "fort", HMS(13, 59)), ("tram", 1, "fort", HMS(13)), ("tram", 0, "fort", HMS(15)), ("bus", 0, "fort", HMS(13)),
+                 ("owl", 0, "fort", HMS(24, 1)), ("owl", 0, "fort", HMS(0, 59)), ("owl", 0, "fort", HMS(4)), ("gap", 0, "fort", HMS(9)))
+    # the night's gaps are 25 and 30 minutes: the hour that begins at midnight has both, seen from either day; over three hours is no headway
+    assert got == [1800, 420, None, None, 1650, 1650, None, None]
 
 
 def overnight(spark, deps, *tods):
-    p = spark.createDataFrame([(i, "S1", "L", t) for i, t in enumerate(tods)], "i int, s string, r string, t int")
+    p = spark.createDataFrame([(i, "pier", "L", t) for i, t in enumerate(tods)], "i int, s string, r string, t int")
     got = schedule.next_overnight(p, schedule.departure_index(deps, 1), "s", "r", "t", 1).orderBy("i").collect()
     return [(r["deps"][0]["trip_id"] if r["deps"] else None, r["effective_tod"]) for r in got]
 
 
 def test_overnight(spark):
-    st = [("S1", "", "")]
-    t = timetable(spark, st, [("m", "L", 0), ("o", "L", 0)], [("m", "S1", 18000, 1), ("o", "S1", 88500, 1)])
-    assert overnight(spark, t.departures, 1800, 30000, 89000) == [("o", 88200), ("o", 30000), (None, 89000)]
-    t = timetable(spark, st, [("m", "L", 0)], [("m", "S1", 18000, 1)])
-    assert overnight(spark, t.departures, 1800) == [("m", 1800)]
+    """Before four in the morning yesterday's trips, numbered beyond 24:00, count if they come sooner than today's first."""
+    st = [("pier", "", "")]
+    trips, deps = [("first", "L", 0), ("ghost", "L", 0)], {"first": HMS(4, 50), "ghost": HMS(25, 20)}
+    t = timetable(spark, st, trips, [(k, "pier", x, 1) for k, x in deps.items()])
+    probes = (HMS(1), HMS(1, 21), HMS(3, 59), HMS(4), HMS(5), HMS(26))
+    want = []
+    for tod in probes:
+        frames = [(d - f, f, k) for k, d in deps.items() for f in ((tod, tod + 86_400) if tod < HMS(4) else (tod,)) if d >= f]
+        best = min(frames, default=None)
+        want.append((best[2] if best else None, best[1] if best else tod))
+    assert overnight(spark, t.departures, *probes) == want and want[0] == ("ghost", HMS(25))
+    t = timetable(spark, st, trips[:1], [("first", "pier", HMS(4, 50), 1)])
+    assert overnight(spark, t.departures, HMS(1)) == [("first", HMS(1))]
 
 
 def test_next_departures_against_brute_force(spark):
@@ -134,13 +164,15 @@ def test_next_departures_against_brute_force(spark):
 
 
 def test_resolution(spark):
-    full = "AFA25GEN-A048-Weekday-00_130200_A..N"
-    t = timetable(spark, [("S1", "", ""), ("S1N", "", "S1"), ("S2", "", "")], [(full, "A", 0), ("x_dup_B", "B", 0), ("y_dup_B", "B", 0)],
-                  [(full, "S1N", 36000, 36030, 1), (full, "S2", 36600, 36630, 2), ("x_dup_B", "S2", 1, 1), ("y_dup_B", "S2", 2, 1)])
-    d = spark.createDataFrame([(1, full, "S1N"), (2, "130200_A..N", "S1"), (3, "dup_B", "S2"), (4, "nope", "S2"), (5, "", "S2"), (6, full, "S9")], "i int, trip_id string, stop_id string")
+    """A trip is found by its id or by what follows the first underscore, unless two trips end so; a stop by itself, then by its station."""
+    whole = "SU25-harbour-7_morning_F..up"
+    t = timetable(spark, [("quay", "", ""), ("quay-2", "", "quay"), ("mill", "", "")], [(whole, "F", 0), ("a_twin", "G", 0), ("b_twin", "G", 0)],
+                  [(whole, "quay-2", HMS(7), HMS(7, 1), 1), (whole, "mill", HMS(7, 30), 2), ("a_twin", "mill", HMS(8), 1), ("b_twin", "mill", HMS(8, 5), 1)])
+    asked = [(whole, "quay-2"), ("morning_F..up", "quay"), ("morning_F..up", "mill"), ("F..up", "mill"), ("twin", "mill"), ("", "mill"), (whole, "fort")]
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "i int, trip_id string, stop_id string")
     r = schedule.resolve_trips(d, t.departures)
     s = {x["i"]: (x["static_trip_id"], x["arrival_secs"]) for x in schedule.scheduled_stop_times(r, t.departures, t.stops).collect()}
-    assert s == {1: (full, 36000), 2: (full, 36000), 3: (None, None), 4: (None, None), 5: (None, None), 6: (full, None)}
+    assert s == {0: (whole, HMS(7)), 1: (whole, HMS(7)), 2: (whole, HMS(7, 30)), 3: (None, None), 4: (None, None), 5: (None, None), 6: (whole, None)}
 
 
 # --- events ------------------------------------------------------------------------------------------------------------
@@ -153,14 +185,21 @@ def update(trip, *stops, rel="SCHEDULED", route="", poll=1):
 
 
 def test_normalize(spark):
-    feed = [update("130200_A..N", ("S1", "SCHEDULED", (None, 1700000600), None), ("S2", "SCHEDULED", (120, 1700000600), None), ("S3", "SCHEDULED", (120, None), None),
-                   ("S4", "SCHEDULED", (None, None), (None, 1700000900)), ("S5", "SKIPPED", None, None), ("S6", "SCHEDULED", None, None)),
-            update("x_B.", ("S1", "SCHEDULED", (1, 1), None), ("S2", "SCHEDULED", (1, 1), None), rel="CANCELED"), update(None, ("S1", "SCHEDULED", (1, 1), None))]
-    got = {r["trip_id"] + ":" + r["stop_id"]: tuple(r)[7:] + (r["route_id"],) for r in events.normalize(spark.createDataFrame(feed, schema.FEED), "ag").select(
-        "feed_id", "poll_no", "agency_id", "trip_id", "route_id", "observed_at", "stop_id", "delay_seconds", "scheduled_arrival", "predicted_arrival", "type").collect()}
-    a = "130200_A..N:"
-    assert got == {a + "S1": (0, 0, 1700000600, "ARRIVAL_DELAY", "A"), a + "S2": (120, 1700000480, 1700000600, "ARRIVAL_DELAY", "A"), a + "S3": (120, 0, 0, "ARRIVAL_DELAY", "A"),
-                   a + "S4": (0, 0, 1700000900, "DEPARTURE_DELAY", "A"), a + "S5": (0, 0, 0, "SKIP_STOP", "A"), "x_B.:": (0, 0, 0, "TRIP_CANCELLED", "B")}
+    at = 1_760_000_000
+    told = {  # stop: (relationship, arrival (delay, time), departure) -> (delay, scheduled, predicted, type), None for no event
+        "both": (("SCHEDULED", (-45, at + 70), (5, at + 90)), (-45, at + 115, at + 70, "ARRIVAL_DELAY")),
+        "time only": (("SCHEDULED", (None, at + 7), None), (0, 0, at + 7, "ARRIVAL_DELAY")),
+        "delay only": (("SCHEDULED", (33, None), None), (33, 0, 0, "ARRIVAL_DELAY")),
+        "zero delay": (("SCHEDULED", (0, 0), None), (0, 0, 0, "ARRIVAL_DELAY")),
+        "empty arrival": (("SCHEDULED", (None, 0), (12, at)), (12, at - 12, at, "DEPARTURE_DELAY")),
+        "nothing": (("SCHEDULED", None, (None, 0)), None),
+        "skipped": (("SKIPPED", None, None), (0, 0, 0, "SKIP_STOP")),
+    }
+    feed = [update("x9_K.up", *((s, *given) for s, (given, _) in told.items()), route=""), update("y_M.", ("both", "SCHEDULED", (1, 1), None), rel="CANCELED", route="own"),
+            update(None, ("both", "SCHEDULED", (1, 1), None))]
+    got = {(r["trip_id"], r["stop_id"]): (r["delay_seconds"], r["scheduled_arrival"], r["predicted_arrival"], r["type"], r["route_id"])
+           for r in events.normalize(spark.createDataFrame(feed, schema.FEED), "ag").collect()}
+    assert got == {**{("x9_K.up", s): (*want, "K") for s, (_, want) in told.items() if want}, ("y_M.", ""): (0, 0, 0, "TRIP_CANCELLED", "own")}
 
 
 def emitted(spark, *polls):
@@ -170,27 +209,41 @@ def emitted(spark, *polls):
 
 
 def test_diff(spark):
-    a = "ARRIVAL_DELAY"
-    assert emitted(spark, (0, [("a", 60, 0, a), ("b", 60, 0, a)]), (15, [("a", 70, 0, a), ("b", 90, 0, a)])) == [(0, "a", 60), (0, "b", 60), (15, "b", 90)]
-    assert emitted(spark, (0, [("a", 60, 0, a)]), (15, [("a", 70, 0, a)]), (30, [("a", 80, 0, a)])) == [(0, "a", 60), (30, "a", 80)]  # against the last published
-    assert emitted(spark, (0, [("a", 0, 1000, a)]), (15, [("a", 0, 1010, a)]), (30, [("a", 0, 1300, a)])) == [(0, "a", 0), (30, "a", 0)]
-    assert emitted(spark, (0, [("a", 60, 0, a)]), (15, [("a", 60, 0, "SKIP_STOP")])) == [(0, "a", 60), (15, "a", 60)]
-    other = ("z", 0, 0, a)
-    assert emitted(spark, (0, [("a", 60, 0, a)]), (1900, [other]), (1915, [("a", 60, 0, a), other])) == [(0, "a", 60), (1900, "z", 0), (1915, "a", 60)]
-    assert emitted(spark, (0, [("a", 60, 0, a)]), (1700, [other]), (1715, [("a", 60, 0, a)])) == [(0, "a", 60), (1700, "z", 0)]
-    assert emitted(spark, (0, [("a", 60, 0, a), ("a", 65, 0, a)])) == [(0, "a", 60), (0, "a", 65)]  # both of one poll
+    """Against the rules step by step, over random polls with gaps, ties and changes of type."""
+    r = random.Random(33)
+    polls, published, seen, want, before = [], {}, {}, [], None
+    for k in range(60):
+        at = 20 * k + (2500 if k >= 40 else 0)
+        polls.append((at, []))
+        base = dict(published)
+        for key in sorted(r.sample("abcd", r.randrange(1, 5)) if k % 9 else ["z"]):
+            if before is not None and key in seen and before - seen[key] > 1800:
+                base.pop(key, None)
+            row = (r.randrange(40), r.choice([0, 50 + r.randrange(40)]), r.choice(["ARRIVAL_DELAY"] * 5 + ["SKIP_STOP"]))
+            polls[-1][1].append((key, *row))
+            old = base.get(key)
+            if old is None or old[2] != row[2] or abs(old[0] - row[0]) > 15 or abs(old[1] - row[1]) > 15:
+                want.append((at, key, row[0]))
+                published[key] = row
+            seen[key] = at
+        before = at
+    assert emitted(spark, *polls) == sorted(want) and len(want) < sum(len(p) for _, p in polls)
+    twice = [("a", 7, 0, "ARRIVAL_DELAY"), ("a", 9, 0, "ARRIVAL_DELAY")]
+    assert emitted(spark, (5, twice)) == [(5, "a", 7), (5, "a", 9)]  # both of one poll are compared with what was before it
     assert emitted(spark) == []
 
 
 def test_enrich(spark):
-    t = timetable(spark, [("S1", "", "")], [("t1", "L", 0), ("t2", "L", 0), ("t3", "L", 0)],
-                  [("t1", "S1", 36000, 36030, 1), ("t2", "S1", 90000, 90000, 1), ("t3", "S1", 86340, 86340, 1)])
-    ev = [(1, "t1", HMS(10, 2), "ARRIVAL_DELAY", 0), (2, "t1", HMS(10, 1, 30), "DEPARTURE_DELAY", 0), (3, "t2", HMS(1, 1), "ARRIVAL_DELAY", 0), (4, "t3", HMS(0, 1), "ARRIVAL_DELAY", 0),
-          (5, "nope", HMS(10), "ARRIVAL_DELAY", 0), (6, "t1", HMS(10, 5), "ARRIVAL_DELAY", 7), (7, "t1", HMS(10, 5), "TRIP_CANCELLED", 0), (8, "t1", None, "ARRIVAL_DELAY", 0)]
-    d = spark.createDataFrame([(i, t_, "S1", d, 0, NINE + p if p is not None else 0, k) for i, t_, p, k, d in ev],
+    """The distance from the scheduled second of the day, to the nearest day, where only a time was predicted."""
+    sched = {"day": (HMS(11), HMS(11, 2)), "night": (HMS(24, 30), HMS(24, 31)), "last": (HMS(23, 58), HMS(23, 58, 30))}
+    t = timetable(spark, [("pier", "", "")], [(k, "L", 0) for k in sched], [(k, "pier", a, d, 1) for k, (a, d) in sched.items()])
+    off = {1: ("day", 0, 75, "ARRIVAL_DELAY"), 2: ("day", 1, -20, "DEPARTURE_DELAY"), 3: ("night", 0, 400, "ARRIVAL_DELAY"), 4: ("last", 0, 290, "ARRIVAL_DELAY")}
+    ev = [(i, k, (sched[k][x] + d) % 86_400, kind, 0) for i, (k, x, d, kind) in off.items()]
+    ev += [(5, "other", HMS(11), "ARRIVAL_DELAY", 0), (6, "day", HMS(12), "ARRIVAL_DELAY", -9), (7, "day", HMS(12), "SKIP_STOP", 0), (8, "day", None, "DEPARTURE_DELAY", 0)]
+    d = spark.createDataFrame([(i, k, "pier", x, 0, NINE + p if p is not None else 0, kind) for i, k, p, kind, x in ev],
                               "i int, trip_id string, stop_id string, delay_seconds int, scheduled_arrival long, predicted_arrival long, type string")
     got = {r["i"]: (r["delay_seconds"], r["enriched"]) for r in events.enrich(d, t).collect()}
-    assert got == {1: (120, True), 2: (60, True), 3: (60, True), 4: (120, True), 5: (0, False), 6: (7, None), 7: (0, None), 8: (0, None)}
+    assert got == {**{i: (x[2], True) for i, x in off.items()}, 5: (0, False), 6: (-9, None), 7: (0, None), 8: (0, None)}
 
 
 # --- state -------------------------------------------------------------------------------------------------------------
@@ -211,18 +264,37 @@ A = "ARRIVAL_DELAY"
 
 def test_state(spark):
     one = lambda *v: stored(spark, *[("t", "s", d, o, A) for d, o in v])["t", "s"]
-    assert one((60, 1000)) == (60, 0.5, 1)
-    assert one((60, 2000), (300, 1000)) == (60, 0.5, 1)
-    assert one((60, 1000), (300, 2000)) == (228, 0.5, 2)
-    assert one((60, 1000), (65, 1000)) == (65, 0.6, 2)
-    assert [one(*[(60, 1000 + i) for i in range(n)])[1] for n in range(2, 8)] == [0.6, 0.7, 0.7999999999999999, 0.8999999999999999, 0.9999999999999999, 1.0]
-    three = [("t1", "s1", 120, 1, A), ("t1", "s2", 180, 1, A), ("t2", "s1", 240, 1, A)]
-    assert stored(spark, *three, ("t1", "", 0, 0, "TRIP_CANCELLED")) == {("t2", "s1"): (240, 0.5, 1)}
-    assert set(stored(spark, *three, ("t1", "s1", 0, 0, "SKIP_STOP"))) == {("t1", "s2"), ("t2", "s1")}
-    assert set(stored(spark, *three, ("t1", "", 0, 0, "TRIP_CANCELLED"), ("t1", "s1", 5, 0, A))) == {("t1", "s1"), ("t2", "s1")}
+    assert one((-15, 7)) == (-15, 0.5, 1)
+    assert one((-15, 7), (900, 6)) == (-15, 0.5, 1)  # observed before what is stored
+    jump = one((100, 7), (500, 8))
+    assert jump == (round(0.7 * 500 + 0.3 * 100), 0.5, 2)
+    assert one((100, 7), (220, 7))[0] == 220 and one((100, 7), (221, 7))[0] == round(0.7 * 221 + 0.3 * 100)
+    confidence = 0.5
+    for n in range(2, 9):  # one tenth more for every close value, in floating point, up to one
+        confidence = min(1.0, confidence + 0.1)
+        assert one(*[(40 + 30 * (k % 2), k) for k in range(n)])[1:] == (confidence, n)
+    rest = [("k", "north", 10, 1, A), ("k", "south", 20, 1, A), ("m", "north", 30, 1, A)]
+    keys = lambda *more: set(stored(spark, *rest, *more))
+    assert keys(("k", "", 0, 0, "TRIP_CANCELLED")) == {("m", "north")} and keys(("k", "south", 0, 0, "SKIP_STOP")) == {("k", "north"), ("m", "north")}
+    assert keys(("k", "", 0, 0, "TRIP_CANCELLED"), ("k", "south", 5, 0, A)) == {("k", "south"), ("m", "north")}
     assert stored(spark, ("t", "s", None, 1, A)) == {}
 
 
+def test_state_goes_on_from_what_is_stored(spark):
+    r = random.Random(34)
+    xs = [(i, "a", f"t{i % 3}", f"s{r.randrange(2)}", "R", r.randrange(-200, 200), 100 + i - r.choice([0, 0, 7]), 1000 + 60 * i, r.choice([A] * 9 + ["SKIP_STOP"])) for i in range(120)]
+    whole = state.reconcile_with_ttl(spark.createDataFrame(xs, EV)).collect()
+    first = spark.createDataFrame(xs[:70], EV)
+    log = {}
+    for row in sorted(state.reconcile_with_ttl(first).where("op = 'upsert'").collect(), key=lambda x: x["seq"]):
+        log[row["trip_id"], row["stop_id"]] = row
+    gone = {(x[2], x[3]): x[0] for x in xs[:70] if x[8] == "SKIP_STOP"}
+    held = [("a", *k, v["delay_seconds"], v["observed_at"], v["confidence"], v["update_count"], xs[v["seq"]][7]) for k, v in log.items() if gone.get(k, -1) < v["seq"]]
+    before = spark.createDataFrame(held, "agency_id string, trip_id string, stop_id string, delay_seconds int, observed_at long, confidence double, update_count int, arrived long")
+    rest = state.reconcile_with_ttl(spark.createDataFrame(xs[70:], EV), stored=before).collect()
+    assert sorted(map(tuple, rest)) == sorted(tuple(x) for x in whole if x["seq"] >= 70)
+
+
 def fold(xs):
     """The rules step by step."""
     out, held = {}, {}
@@ -275,43 +347,66 @@ def test_ttl(spark):
 # --- transfers ---------------------------------------------------------------------------------------------------------
 
 
-def impacts(spark, trips, deps, *ev, log=(), xmin=120):
-    t = timetable(spark, [("S1", "", "")], trips, [(a, "S1", c, 1) for a, c in deps], [("S1", "S1", 2, xmin)])
-    e = spark.createDataFrame([(9, "a", tr, "A", "S1", d, NINE + tod, NINE + tod, 0, A) for tr, d, tod in ev],
+def impacts(spark, deps, *ev, log=(), least=90):
+    """Impacts of events on line F at the pier, where lines T leave as given (trip: seconds) and a change takes ``least`` seconds."""
+    trips = [(k, "F" if k.startswith("f") else "T", 0) for k in deps]
+    t = timetable(spark, [("pier", "", "")], trips, [(k, "pier", x, 1) for k, x in deps.items()], [("pier", "pier", 2, least)])
+    e = spark.createDataFrame([(9, "a", tr, "F", "pier", d, NINE + tod, NINE + tod, 0, A) for tr, d, tod in ev],
                               "seq long, agency_id string, trip_id string, route_id string, stop_id string, delay_seconds int, scheduled_arrival long, observed_at long, x int, type string")
     return transfers.transfer_impacts(e, t, state.changelog(stream(spark, *log)))
 
 
+IMPACT = ("level", "original_transfer_margin_seconds", "remaining_margin_seconds", "next_viable_trip_id", "additional_wait_seconds", "sched_connection_departure_secs", "earliest_catch_secs")
+
+
+def expected(deps, tod, delay, least=90, late=None):
+    """The rule step by step: the first departure after the change is the connection, its own lateness moves the margin."""
+    lines = sorted((x, k) for k, x in deps.items() if k.startswith("t"))
+    frames = [min((x - f, f) for x, _ in lines if x >= f) for f in ((tod, tod + 86_400) if tod < HMS(4) else (tod,)) if any(x >= f for x, _ in lines)]
+    eff = min(frames)[1]
+    dep, trip = next((x, k) for x, k in lines if x >= eff + least)
+    left = dep - eff - delay + (late or {}).get(trip, 0)
+    if left >= least + 60:
+        return []
+    if left >= least:
+        return [("AT_RISK", dep - eff, left, "", 0, 0, 0)]
+    catch = eff + delay + least
+    viable = next(((x, k) for x, k in lines if x >= catch), (dep, ""))
+    return [("BROKEN", dep - eff, left, viable[1], max(0, viable[0] - dep), dep, catch)]
+
+
 def test_transfers(spark):
-    trips, deps = [("trip_A1", "A", 0), ("trip_L1", "L", 0), ("trip_L2", "L", 0)], [("trip_A1", 28800), ("trip_L1", 28980), ("trip_L2", 29160)]
-    cols = ("level", "additional_wait_seconds", "sched_connection_departure_secs", "earliest_catch_secs")
-    assert rows(impacts(spark, trips, deps, ("trip_A1", 120, 28800)), *cols) == [("BROKEN", 180, 28980, 29040)]
-    assert rows(impacts(spark, trips, deps, ("trip_A1", 30, 28800)), *cols) == [("AT_RISK", 0, 0, 0)]
-    assert rows(impacts(spark, trips, deps, ("trip_A1", 120, 28800), log=[("trip_L1", "S1", 90, 1, A)]), "level") == [("AT_RISK",)]
-    assert rows(impacts(spark, trips, deps, ("trip_A1", 0, 28800))) == []
-    got = impacts(spark, trips, deps, ("trip_A1", 30, 28800), log=[("trip_L1", "S1", -60, 1, A)])
-    assert rows(got, "level", "remaining_margin_seconds", "next_viable_trip_id", "additional_wait_seconds") == [("BROKEN", 90, "trip_L1", 0)]
-    got = impacts(spark, [*trips, ("L0", "L", 0)], [*deps, ("L0", 28900)], ("trip_A1", 30, 28800))
-    assert rows(got, "level", "original_transfer_margin_seconds") == [("AT_RISK", 180)]
-    night = impacts(spark, [("A2", "A", 0), ("L3", "L", 0), ("L4", "L", 0)], [("A2", 88200), ("L3", 88500), ("L4", 89400)], ("A2", 240, 1800))
-    assert rows(night, "original_transfer_margin_seconds", "next_viable_trip_id", *cols) == [(300, "L4", "BROKEN", 900, 88500, 88560)]
-    some = impacts(spark, trips, deps, ("trip_A1", 120, 28800))
-    assert [transfers.alerts(some, *a).count() for a in ((), (["L"],), (["Q"],), (["Q"], ["S1"]), ([], ["S9"]))] == [1, 1, 0, 1, 0]
+    deps = {"f1": HMS(16), "t1": HMS(16, 4), "t2": HMS(16, 11), "t3": HMS(16, 30)}
+    for delay in (1, 60, 89, 90, 149, 150, 151, 600, 3600):
+        assert rows(impacts(spark, deps, ("f1", delay, HMS(16))), *IMPACT) == expected(deps, HMS(16), delay), delay
+    assert rows(impacts(spark, deps, ("f1", 0, HMS(16)))) == [] == rows(impacts(spark, deps, ("f1", -30, HMS(16))))
+    for late in (40, 100, -35):  # the connecting trip's own delay
+        got = impacts(spark, deps, ("f1", 120, HMS(16)), log=[("t1", "pier", late, 1, A)])
+        assert rows(got, *IMPACT) == expected(deps, HMS(16), 120, late={"t1": late})
+    night = {"f1": HMS(24, 20), "t1": HMS(24, 25), "t2": HMS(24, 45), "t9": HMS(5)}
+    got = rows(impacts(spark, night, ("f1", 500, HMS(0, 20))), *IMPACT)
+    assert got == expected(night, HMS(0, 20), 500) and got[0][:4] == ("BROKEN", 300, -200, "t2")
+    close = dict(deps, t0=HMS(16, 1))  # leaves before one could change
+    assert rows(impacts(spark, close, ("f1", 100, HMS(16))), *IMPACT) == expected(close, HMS(16), 100)
+    some = impacts(spark, deps, ("f1", 200, HMS(16)))
+    assert [transfers.alerts(some, *a).count() for a in ((), (["T"],), (["W"],), (["W"], ["pier"]), ([], ["mill"]))] == [1, 1, 0, 1, 0]
 
 
 # --- cascade -----------------------------------------------------------------------------------------------------------
 
 
 def cascade_table(spark):
-    stops = [("S1", "", ""), ("S2", "", ""), ("S3", "", ""), ("S4", "", ""), ("S5", "", ""), ("S3G", "", "S3")]
-    trips = [("trip_L1", "L", 0), ("trip_L2", "L", 0), ("trip_G1", "G", 0), ("trip_G2", "G", 0), ("trip_A1", "A", 0)]
-    times = [("trip_L1", "S1", 28800, 1), ("trip_L1", "S2", 28920, 2), ("trip_L1", "S3", 29040, 3), ("trip_L1", "S4", 29160, 4), ("trip_L2", "S1", 29400, 1),
-             ("trip_G1", "S3G", 29100, 1), ("trip_G1", "S5", 29220, 2), ("trip_G2", "S3G", 30900, 1), ("trip_G2", "S5", 31020, 2), ("trip_A1", "S1", 28700, 1)]
-    return timetable(spark, stops, trips, times, [("S1", "S1", 2, 120), ("S3", "S3G", 2, 60)])
+    """Line T runs quay - mill - fort - gate, line W leaves the fort's platform for the lake; F brings the late train to the quay."""
+    stops = [("quay", "", ""), ("mill", "", ""), ("fort", "", ""), ("fort-w", "", "fort"), ("gate", "", ""), ("lake", "", "")]
+    trips = [("t1", "T", 0), ("t2", "T", 0), ("w1", "W", 0), ("w2", "W", 0), ("f1", "F", 0)]
+    legs = {"t1": [("quay", HMS(7, 10)), ("mill", HMS(7, 14)), ("fort", HMS(7, 19)), ("gate", HMS(7, 23))], "t2": [("quay", HMS(7, 25))],
+            "w1": [("fort-w", HMS(7, 22)), ("lake", HMS(7, 31))], "w2": [("fort-w", HMS(7, 58)), ("lake", HMS(8, 7))], "f1": [("quay", HMS(7, 5))]}
+    times = [(k, s, x, n) for k, calls in legs.items() for n, (s, x) in enumerate(calls, 1)]
+    return timetable(spark, stops, trips, times, [("quay", "quay", 2, 100), ("fort", "fort-w", 2, 45)])
 
 
-def impact(spark, src="A", to="L", delay=300, wait=0, at=HMS(8, 30), viable="trip_L1"):
-    return spark.createDataFrame([("i", "trip_A1", src, to, "S1", delay, NINE + at, viable, wait, 30000, 30360)],
+def impact(spark, src="F", to="T", delay=240, wait=0, at=HMS(7, 12), viable="t1"):
+    return spark.createDataFrame([("i", "f1", src, to, "quay", delay, NINE + at, viable, wait, HMS(7, 10), HMS(7, 16))],
                                  "impact_id string, from_trip_id string, from_route_id string, to_route_id string, station_id string, source_delay_seconds int, detected_at long, "
                                  "next_viable_trip_id string, additional_wait_seconds int, sched_connection_departure_secs int, earliest_catch_secs int")
 
@@ -321,14 +416,21 @@ LIVE = "route_id string, station string, delay int"
 
 def estimated(spark, t, live=(), hist=(), **kw):
     i = impact(spark, **kw)
-    av = spark.createDataFrame([("A", "L", "S1", h, float(a), n) for h, a, n in hist], "from_route string, to_route string, station string, hour int, average double, n long")
-    return cascade.initial_estimates(i, t, spark.createDataFrame([("L", "S1", x) for x in live], LIVE), av)
-
-
-@pytest.mark.parametrize(("hour", "wait", "conn", "avg", "n", "want"), [(14, 0, 0, 0, 0, 14), (14, 600, 0, 0, 0, 600), (8, 200, 0, 0, 0, 300), (8, 200, 200, 0, 0, 500),
-                                                                       (8, 200, 900, 0, 0, 900), (8, 200, 0, 50, 10, 175), (8, 200, 0, 50, 3, 242)])
-def test_initial_estimates(spark, hour, wait, conn, avg, n, want):
-    got = estimated(spark, cascade_table(spark), live=[conn] if conn else [], hist=[(hour, avg, n)] if n else [], wait=wait, at=HMS(hour, 30))
+    av = spark.createDataFrame([("F", "T", "quay", h, float(a), n) for h, a, n in hist], "from_route string, to_route string, station string, hour int, average double, n long")
+    return cascade.initial_estimates(i, t, spark.createDataFrame([("T", "quay", x) for x in live], LIVE), av)
+
+
+@pytest.mark.parametrize("hour", [7, 15])
+@pytest.mark.parametrize(("wait", "late", "average", "n"), [(0, 0, 0, 0), (700, 0, 0, 0), (250, 130, 0, 0), (250, 5000, 0, 0), (250, 0, 80, 12), (0, 60, 400, 2), (250, 0, 33, 1)])
+def test_initial_estimates(spark, hour, wait, late, average, n):
+    """The rule in plain numbers: wait or half a headway, else a part of the source delay; a late train up to a headway; then the past."""
+    cfg = config.Propagation()
+    headway = {7: HMS(7, 25) - HMS(7, 10)}.get(hour)  # two departures of T, in the morning
+    base = max(wait, (headway or 0) / 2) or 240 * cfg.load * cfg.elasticity
+    base += min(late, headway or 900) if late else 0
+    share = n / (n + cfg.shrink)
+    want = int(share * average + (1 - share) * base + 0.5)
+    got = estimated(spark, cascade_table(spark), live=[late] if late else [], hist=[(hour, average, n)] if n else [], wait=wait, at=HMS(hour, 12))
     assert rows(got, "initial_delay") == [(want,)]
 
 
@@ -341,23 +443,31 @@ def walked(spark, t=None, live=(), averages=None, cfg=config.Propagation(), most
 
 
 def test_walk(spark):
-    w = walked(spark, wait=300)
-    assert w["L", "S2"]["predicted_additional_delay"] == 300 and w["L", "S3"]["predicted_additional_delay"] == 301
-    assert (w["G", "S5"]["impact_type"], w["G", "S5"]["hops_from_source"]) == ("cascade_dwell", 2)
-    assert w["G", "S3"]["predicted_additional_delay"] == 90 and w["L", "S2"]["confidence"] == 1.0 and round(w["L", "S3"]["confidence"], 6) == 0.49
-    assert w == walked(spark, wait=300, most=0)  # hour by hour
-    assert not any(r == "G" for r, _ in walked(spark, wait=300, live=[("G", "S3", 400)]))
-    assert len(walked(spark, wait=300, cfg=config.Propagation(max_impacts=3))) == 3
-    assert all(r["predicted_additional_delay"] < 15 for r in walked(spark, delay=30, at=HMS(14, 30)).values())
-    assert walked(spark, src="L", delay=300)["L", "S2"]["predicted_additional_delay"] == 300
-    av = cascade.average_stop_impacts(spark.createDataFrame([("L", "S3", 8, 600, 0)] * 10, schema.STOP_HISTORY))
-    assert walked(spark, wait=300, averages=av)["L", "S3"]["predicted_additional_delay"] == 451
+    """A wait of 500 s at the quay: it grows by the second and loses confidence along T, and W at the fort takes a part of it."""
+    cfg = config.Propagation()
+    w = walked(spark, wait=500)
+    along = [w["T", s] for s in ("mill", "fort", "gate")]
+    assert [r["predicted_additional_delay"] for r in along] == [500, 501, 502] and {r["impact_type"] for r in along} == {"dwell_increase"}
+    assert [round(r["confidence"], 5) for r in along] == [1.0, round(cfg.decay**2, 5), round(cfg.decay**3, 5)]
+    onward = int(501 * cfg.elasticity)
+    assert [(w["W", s]["predicted_additional_delay"], w["W", s]["impact_type"], w["W", s]["hops_from_source"]) for s in ("fort", "lake")] == [(onward, "cascade_transfer", 2), (onward, "cascade_dwell", 2)]
+    assert [r["position"] for r in sorted(w.values(), key=lambda r: -r["predicted_additional_delay"])][:3] == [0, 1, 2]
+    assert w == walked(spark, wait=500, most=0)  # hour by hour
+    with pytest.raises(ValueError, match="hour"):
+        cascade.cascade(estimated(spark, cascade_table(spark)), cascade_table(spark), spark.createDataFrame([], LIVE), None, cfg, 0, 0)
+    assert not any(r == "W" for r, _ in walked(spark, wait=500, live=[("W", "fort", 457)]))  # W waits of its own accord: 45 + 457 > 501
+    assert any(r == "W" for r, _ in walked(spark, wait=500, live=[("W", "fort", 456)]))
+    assert len(walked(spark, wait=500, cfg=config.Propagation(max_impacts=2))) == 2
+    assert {s for _, s in walked(spark, delay=100, at=HMS(15))} == {"mill"}  # 4 s: the first stop has it, nothing goes on
+    assert walked(spark, src="T", delay=77)["T", "mill"]["predicted_additional_delay"] == 77
+    past = cascade.average_stop_impacts(spark.createDataFrame([("T", "fort", 7, 900, 0)] * 6, schema.STOP_HISTORY))
+    assert walked(spark, wait=500, averages=past)["T", "fort"]["predicted_additional_delay"] == int(6 / 16 * 900 + 10 / 16 * 501 + 0.5)
 
 
 def test_seeds_equal_the_walk(spark):
     t = cascade_table(spark)
-    s = {r["station"]: r["delay"] for r in cascade.dwell_seeds(estimated(spark, t, wait=300), t).collect()}
-    assert s == {"S2": 300, "S3": 301, "S4": 302}
+    s = {r["station"]: r["delay"] for r in cascade.dwell_seeds(estimated(spark, t, wait=500), t).collect()}
+    assert s == {k[1]: r["predicted_additional_delay"] for k, r in walked(spark, wait=500).items() if k[0] == "T"}
 
 
 def test_walk_against_plain_search():
@@ -378,9 +488,10 @@ def test_walk_against_plain_search():
 
 
 def eval_table(spark):
-    stops = [("S1", "", ""), ("S2", "", ""), ("S3", "", ""), ("S2N", "", "S2")]
-    return timetable(spark, stops, [("trip_L1", "L", 0), ("trip_Lrev", "L", 1), ("trip_G1", "G", 0), ("el_1", "L", 0), ("el_2", "L", 0)],
-                     [("trip_L1", "S2", 100, 1), ("trip_Lrev", "S2", 200, 1), ("trip_G1", "S3", 300, 1), ("el_1", "S1", 30000, 1), ("el_2", "S1", 30900, 1)])
+    """T both ways at the mill's platform, W at the fort, and two trains of T at the quay a quarter of an hour apart."""
+    stops = [("quay", "", ""), ("mill", "", ""), ("fort", "", ""), ("mill-2", "", "mill")]
+    trips = [("t-out", "T", 0), ("t-back", "T", 1), ("w1", "W", 0), ("q1", "T", 0), ("q2", "T", 0)]
+    return timetable(spark, stops, trips, [("t-out", "mill", 500, 1), ("t-back", "mill", 700, 1), ("w1", "fort", 900, 1), ("q1", "quay", HMS(9, 30), 1), ("q2", "quay", HMS(9, 45), 1)])
 
 
 def results(spark, *xs):
@@ -391,69 +502,83 @@ STATE = "agency_id string, trip_id string, stop_id string, route_id string, dela
 
 
 def test_tracking(spark):
+    """The one-hop impact on the receiving line with the least delay is the primary; others need a confidence of 0.3, at most twenty stay."""
     t = eval_table(spark)
-    st = spark.createDataFrame([("ag", "x", "S2N", "L", 60)], STATE)
-    res = results(spark, ("L", "S3", 301, 0.49, 1), ("L", "S2", 300, 1.0, 1), ("G", "S3", 90, 0.34, 2), ("L", "S1", 20, 0.2, 3))
-    got = {(r["route_id"], r["station_id"]): r for r in evaluation.track(impact(spark), res, st, t, "ag").collect()}
-    assert set(got) == {("L", "S3"), ("L", "S2"), ("G", "S3")}
-    p = got["L", "S2"]
-    assert (p["is_primary"], p["baseline_secs"], p["direction"], p["source_station"], p["hour"], p["expires_at"] - p["created_at"]) == (True, 60, 0, "S1", 8, 1800)
-    assert not got["L", "S3"]["is_primary"] and got["G", "S3"]["direction"] == -1
-    many = results(spark, *[("G", f"x{k}", 900 - k, 0.9, 1) for k in range(24)], ("L", "S2", 20, 0.1, 1))
+    st = spark.createDataFrame([("ag", "x", "mill-2", "T", 85), ("ag", "y", "mill", "T", 40), ("ag", "z", "fort", "W", -20)], STATE)
+    res = results(spark, ("T", "fort", 410, 0.6, 1), ("T", "mill", 400, 1.0, 1), ("W", "fort", 120, 0.31, 2), ("W", "lake", 36, 0.29, 3))
+    got = {(r["route_id"], r["station_id"]): r for r in evaluation.track(impact(spark, viable="t-back"), res, st, t, "ag").collect()}
+    assert set(got) == {("T", "fort"), ("T", "mill"), ("W", "fort")}
+    p = got["T", "mill"]
+    assert (p["is_primary"], p["baseline_secs"], p["direction"], p["source_station"], p["hour"], p["expires_at"] - p["created_at"]) == (True, 85, 1, "quay", 7, 1800)
+    assert not got["T", "fort"]["is_primary"] and (got["W", "fort"]["direction"], got["W", "fort"]["baseline_secs"]) == (-1, 0)
+    many = results(spark, *[("W", f"x{k}", 800 - k, 0.9, 2) for k in range(30)], ("T", "mill", 16, 0.1, 1))
     got = evaluation.track(impact(spark), many, st, t, "ag").collect()
-    assert len(got) == 20 and sum(r["is_primary"] for r in got) == 1 and len({r["id"] for r in got}) == 20
+    assert len(got) == 20 == len({r["id"] for r in got}) and [r["station_id"] for r in got if r["is_primary"]] == ["mill"]
+    assert {r["station_id"] for r in got} - {"mill"} == {f"x{k}" for k in range(19)}
 
 
 def pending(spark, **kw):
-    base = dict(id="p", agency_id="ag", from_route="A", route_id="L", station_id="S2", source_station="S1", direction=0, source_delay_secs=300, predicted_secs=300, baseline_secs=0,
-                sched_conn_dep_secs=0, earliest_catch_secs=0, confidence=1.0, hops=1, hour=8, is_primary=True, created_at=1000, expires_at=2800, observed_max=0, matched=False)
+    base = dict(id="p", agency_id="ag", from_route="F", route_id="T", station_id="mill", source_station="quay", direction=0, source_delay_secs=240, predicted_secs=200, baseline_secs=0,
+                sched_conn_dep_secs=0, earliest_catch_secs=0, confidence=0.9, hops=1, hour=7, is_primary=True, created_at=5000, expires_at=6800, observed_max=0, matched=False)
     return spark.createDataFrame([tuple((base | kw).values())], schema.PENDING)
 
 
 def test_matching(spark):
     t = eval_table(spark)
-    ev = spark.createDataFrame([("ag", "L", tr, "S2N", d, o, k) for tr, d, o, k in [("trip_L1", 140, 1500, A), ("trip_Lrev", 900, 1600, A), ("trip_L1", 999, 2801, A), ("trip_L1", 500, 1500, "TRIP_CANCELLED")]],
+    seen = [("t-out", 95, 5000), ("t-out", 70, 6000), ("t-back", 310, 6100), ("unknown", 120, 6800), ("t-out", 2000, 6801), ("t-out", 2000, 4999)]
+    ev = spark.createDataFrame([("ag", "T", tr, "mill-2", d, o, A) for tr, d, o in seen] + [("ag", "T", "t-out", "mill-2", 700, 6000, "TRIP_CANCELLED"), ("ag", "T", "t-out", "mill-2", None, 6000, A)],
                                "agency_id string, route_id string, trip_id string, stop_id string, delay_seconds int, observed_at long, type string")
     e = gtfs.with_station(ev, t.stops)
     m = lambda **kw: rows(evaluation.match(pending(spark, **kw), e, t.trips), "observed_max", "matched")[0]
-    assert m() == (140, True) and m(direction=-1) == (900, True) and m(baseline_secs=200) == (0, True) and m(station_id="S3") == (0, False)
+    assert m() == (120, True) and m(direction=1) == (310, True) and m(direction=-1) == (310, True)  # a trip of unknown direction counts
+    assert m(baseline_secs=50) == (70, True) and m(baseline_secs=400) == (0, True) and m(station_id="fort") == (0, False)
+    assert m(expires_at=5999) == (95, True) and m(agency_id="other") == (0, False)
 
 
 def test_sweep_and_learning(spark):
-    ps = [dict(id="1", predicted_secs=100, observed_max=80), dict(id="2", predicted_secs=100, source_station="", station_id="S3", hour=9), dict(id="3", predicted_secs=50, station_id="S4", is_primary=False),
-          dict(id="4", predicted_secs=50, observed_max=40, route_id="G", station_id="S3", is_primary=False), dict(id="5", expires_at=9999)]
+    ps = [dict(id="half", predicted_secs=120, observed_max=60), dict(id="less", predicted_secs=122, observed_max=60, source_station="", station_id="gate", hour=9),
+          dict(id="small", predicted_secs=10, observed_max=14, station_id="lake", is_primary=False), dict(id="fits", predicted_secs=30, observed_max=31, route_id="W", is_primary=False),
+          dict(id="open", expires_at=99_999)]
     p = pending(spark, **ps[0])
     for x in ps[1:]:
         p = p.unionByName(pending(spark, **x))
-    expired, rest = evaluation.pop_expired(p, 2800)
-    assert rows(rest, "id") == [("5",)] and evaluation.pop_expired(p, 2800, 2)[0].count() == 2
+    expired, rest = evaluation.pop_expired(p, 6800)
+    assert rows(rest, "id") == [("open",)] and evaluation.pop_expired(p, 6800, 3)[0].count() == 3
     s = evaluation.sweep(expired)
-    assert {r["id"]: r["outcome"] for r in s.collect()} == {"1": "verified", "2": "falsified", "3": "falsified", "4": "verified"}
-    assert sorted(rows(evaluation.learned_history(s, 1), "station", "hour", "downstream_impact")) == [("S1", 8, 80), ("S3", 9, 0)]
-    assert sorted(rows(evaluation.learned_stop_history(s, 1), "route", "station", "observed")) == [("G", "S3", 40), ("L", "S4", 0)]
+    assert {r["id"]: r["outcome"] for r in s.collect()} == {"half": "verified", "less": "falsified", "small": "falsified", "fits": "verified"}
+    assert sorted(rows(evaluation.learned_history(s, 1), "station", "hour", "downstream_impact")) == [("gate", 9, 60), ("quay", 7, 60)]
+    assert sorted(rows(evaluation.learned_stop_history(s, 1), "route", "station", "observed")) == [("T", "lake", 14), ("W", "mill", 31)]
     assert sum(r["finalized"] for r in evaluation.eval_metrics(s).collect()) == 4
-    assert rows(evaluation.add_pending(rest, p, 5000), "id") == [("5",)]
-    assert evaluation.add_pending(rest, p, 3000).count() == 5
+    assert rows(evaluation.add_pending(rest, p, 9000), "id") == [("open",)]
+    assert evaluation.add_pending(rest, p, 7000).count() == 5
 
 
 def test_realized_wait(spark):
+    """Trains at the quay at 9:30 and 9:45; the connection was the first, and can be caught from 9:33 on."""
     t = eval_table(spark)
-    p = pending(spark, sched_conn_dep_secs=30000, earliest_catch_secs=30360)
-    st = spark.createDataFrame([], STATE)
-    assert rows(evaluation.realized_wait(p, t, st), "wait") == [(900,)]
-    st = spark.createDataFrame([("ag", "el_1", "S1", "L", 400)], STATE)
-    w = evaluation.realized_wait(p, t, st)
-    assert rows(w, "wait") == [(400,)] and rows(evaluation.sweep(p, w), "observed_max", "outcome") == [(400, "verified")]
-    assert rows(evaluation.realized_wait(pending(spark, sched_conn_dep_secs=30000, earliest_catch_secs=32000), t, st)) == []
+    p = pending(spark, sched_conn_dep_secs=HMS(9, 30), earliest_catch_secs=HMS(9, 33))
+    wait = lambda state, q=p: rows(evaluation.realized_wait(q, t, spark.createDataFrame(state, STATE)), "wait")
+    assert wait([]) == [(900,)]
+    assert wait([("ag", "q1", "quay", "T", 179)]) == [(900,)] and wait([("ag", "q1", "quay", "T", 180)]) == [(180,)]
+    assert wait([("ag", "q2", "quay", "T", 60), ("other", "q1", "quay", "T", 600)]) == [(960,)]
+    assert wait([], pending(spark, sched_conn_dep_secs=HMS(9, 30), earliest_catch_secs=HMS(9, 46))) == [] == wait([], pending(spark, sched_conn_dep_secs=HMS(9, 30), earliest_catch_secs=HMS(9, 33), is_primary=False))
+    w = evaluation.realized_wait(p, t, spark.createDataFrame([("ag", "q1", "quay", "T", 180)], STATE))
+    assert rows(evaluation.sweep(p, w), "observed_max", "outcome") == [(180, "verified")]
 
 
 def test_history(spark):
-    h = spark.createDataFrame([("A", "L", "S1", 8, 0, 120, 5), ("A", "L", "S1", 8, 0, 180, 6), ("B", "G", "S1", 8, 0, 60, 5), ("A", "L", "S2", 8, 0, 999, 5)], schema.HISTORY)
-    got = rows(evaluation.transfer_reliability(h, "S1", 8), "from_route", "to_route", "avg_delay", "n", "reliability_pct")
-    assert sorted(got) == [("A", "L", 150.0, 2, 0.0), ("B", "G", 60.0, 1, 0.0)]
-    assert evaluation.retained(h, 6 + evaluation.RETENTION_NS).count() == 1
-    s = spark.createDataFrame([("L", "S3", 8, x, 0) for x in (100, 200, 300)], schema.STOP_HISTORY)
-    assert rows(cascade.average_stop_impacts(s)) == [("L", "S3", 8, 200.0, 3)]
+    r = random.Random(35)
+    past = [(r.choice("FT"), r.choice("TW"), r.choice(["quay", "fort"]), r.choice([7, 8]), 0, r.choice([None, r.randrange(900)]), r.randrange(100)) for _ in range(60)]
+    h = spark.createDataFrame(past, schema.HISTORY)
+    got = {tuple(x)[:2]: tuple(x)[2:] for x in rows(evaluation.transfer_reliability(h, "quay", 7), "from_route", "to_route", "avg_delay", "n", "reliability_pct")}
+    by = {}
+    for a, b_, s, hour, _, x, _ in past:
+        if (s, hour) == ("quay", 7) and x is not None:
+            by.setdefault((a, b_), []).append(x)
+    assert {k: (pytest.approx(sum(v) / len(v)), len(v), 0.0) for k, v in by.items()} == got
+    assert evaluation.retained(h, 50 + evaluation.RETENTION_NS).count() == sum(x[6] >= 50 for x in past)
+    s = spark.createDataFrame([("T", "gate", 6, x, 0) for x in (7, 50, None, 63)], schema.STOP_HISTORY)
+    assert rows(cascade.average_stop_impacts(s)) == [("T", "gate", 6, 40.0, 3)]
 
 
 # --- queries -----------------------------------------------------------------------------------------------------------
@@ -461,21 +586,23 @@ def test_history(spark):
 
 def test_api(spark):
     t = cascade_table(spark)
-    st = spark.createDataFrame([("ag", "trip_L1", "S1", "L", 120, 0.5, NINE + 30600), ("ag", "trip_G1", "S3G", "G", 30, 0.5, NINE + 30600), ("ag", "unknown", "S1", "L", 700, 0.5, NINE + 30600)],
+    at = NINE + HMS(7, 12)
+    st = spark.createDataFrame([("ag", "t1", "quay", "T", 180, 0.5, at), ("ag", "w1", "fort-w", "W", 45, 0.5, at), ("ag", "stray", "quay", "T", 900, 0.5, at)],
                                STATE + ", confidence double, observed_at long")
-    names = spark.createDataFrame([("S1", "One", 0.0, 0.0, 1, ""), ("S3", "Three", 0.0, 0.0, 1, ""), ("S3G", "", 0.0, 0.0, 0, "S3")], schema.STOPS)
+    names = spark.createDataFrame([("quay", "The Quay", 0.0, 0.0, 1, ""), ("fort", "The Fort", 0.0, 0.0, 1, ""), ("fort-w", "", 0.0, 0.0, 0, "fort")], schema.STOPS)
     n = {r["route_id"]: [(d["trip_id"], d["stop_name"]) for d in r["delays"]] for r in api.network_state(st, names).collect()}
-    assert n == {"L": [("trip_L1", "One"), ("unknown", "One")]}
-    assert api.network_state_map(st, names, 5).collect()[0]["routes"]["L"][0]["delay_seconds"] == 120
-    assert rows(api.route_delays(st, names, "G"), "stop_name", "delay_seconds") == [("S3G", 30)]
+    assert n == {"T": [("stray", "The Quay"), ("t1", "The Quay")]}
+    assert api.network_state_map(st, names, 5).collect()[0]["routes"]["T"][1]["delay_seconds"] == 180
+    assert rows(api.route_delays(st, names, "W"), "stop_name", "delay_seconds") == [("fort-w", 45)]
     h = spark.createDataFrame([], schema.HISTORY)
-    got = {(r["route_id"], r["stop_id"]): r["predicted_additional_delay"] for r in api.predict_impact(st, t, h, "trip_L1", "S1").collect()}
-    assert got == {("L", "S2"): 120, ("L", "S3"): 121, ("L", "S4"): 122, ("G", "S3"): 36, ("G", "S5"): 36}
-    assert rows(api.predict_impact(st, t, h, "trip_L1", "S9")) == [] == rows(api.predict_impact(st, t, h, "unknown", "S1"))
-    assert {r["impact_id"] for r in api.blast_radius(st, t, h, "S3").collect()} == {"ag:trip_G1:S3G"}
+    got = {(r["route_id"], r["stop_id"]): r["predicted_additional_delay"] for r in api.predict_impact(st, t, h, "t1", "quay").collect()}
+    part = int(181 * 0.3)
+    assert got == {("T", "mill"): 180, ("T", "fort"): 181, ("T", "gate"): 182, ("W", "fort"): part, ("W", "lake"): part}
+    assert rows(api.predict_impact(st, t, h, "t1", "lake")) == [] == rows(api.predict_impact(st, t, h, "stray2", "quay"))
+    assert {r["impact_id"] for r in api.blast_radius(st, t, h, "fort").collect()} == {"ag:w1:fort-w"}
     top = state.top_delays(st, 1).collect()
-    assert [(r["trip_id"], r["more"]) for r in top] == [("unknown", 1)]
-    assert rows(state.delay_stats(st)) == [(2, 410.0, 700)]
+    assert [(r["trip_id"], r["more"]) for r in top] == [("stray", 1)]
+    assert rows(state.delay_stats(st)) == [(2, 540.0, 900)]
 
 
 def test_every_event_has_its_stop_time(spark, folder):
