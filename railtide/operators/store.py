@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +14,14 @@ from railtide.operators.messages import BUCKET_ROWS, MessageStore
 class KeyedStore:
     """Rows by key in a folder of sorted runs (see MessageStore): writing a key again replaces its row.
 
-    Every write has a ``version`` that grows with time, such as seconds of arrival; of one key the greatest stands. A row
+    Every write has a ``version`` that grows with time, such as seconds of arrival; of one key the greatest stands, and of equal ones what was written last. A row
     that was removed is a row without a value, and a row whose version is older than ``ttl`` counts as gone. Runs are
     merged every ``every`` writes, when what is gone is left out. Keys are compared as they are, null equal to null.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], columns: list[str], ttl: int | None = None, every: int = 16, rows: int = BUCKET_ROWS):
         self.keys, self.columns, self.ttl, self.every = list(keys), [c for c in columns if c not in keys], ttl, every
-        self.runs = MessageStore(spark, path, self.keys, ["__age"], ["__row"], rows)
+        self.runs = MessageStore(spark, path, self.keys, ["__age", "__write"], ["__row"], rows)
 
     def put(self, rows: DataFrame, version: str, token: str | None = None) -> None:
         """Write rows with the version of each; the same token again replaces what it wrote."""
@@ -38,7 +39,8 @@ class KeyedStore:
         return self.runs._runs(names[:1]).schema["__row"].dataType if names else None
 
     def _write(self, rows: DataFrame, token: str | None) -> None:
-        self.runs.upsert(rows, token or uuid.uuid4().hex)
+        # of equal versions the later write stands
+        self.runs.upsert(rows.withColumn("__write", F.lit(-time.time_ns())), token or uuid.uuid4().hex)
         if len(self.runs.names()) >= self.every:
             gone = F.col("__row").isNull()
             if self.ttl is not None:
