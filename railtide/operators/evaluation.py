@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from railtide.functions.time import confidence_bucket, hour_of, seconds_of_day
+from railtide.operators.panes import pane_points
 from railtide.operators.schedule import departure_index, next_departures
 from railtide.session import broadcast_if_small
 from railtide.sources.gtfs import Timetable, with_station
@@ -78,10 +79,11 @@ def match(pending: DataFrame, events: DataFrame, directions: DataFrame | None =
     """(id, observed_max, matched) of distinct predictions after the events observed in their windows.
 
     ``events`` has agency_id, route_id, station, trip_id, delay_seconds, observed_at, type; only measurements count.
-    Windows are cut into hours, so the interval join is an equality on agency, route, station and hour with a residual
-    range; a record meets a window once, since it has one hour. ``directions`` (trip_id, direction_id) holds a
-    prediction with a direction to events of trips that are not known to run the other way. A prediction without a
-    baseline takes 0.
+    Events are first brought down to panes, the slices between the bounds of all windows of a route and station (see
+    panes), and windows are put together from the panes that they cover, so no event meets every window around it.
+    ``directions`` (trip_id, direction_id) holds a prediction with a direction to events of trips that are not known to
+    run the other way: an event stands once for all directions and once for its own. A prediction without a baseline
+    takes 0.
     """
     p = pending.select("id", "agency_id", "route_id", F.col("station_id").alias("station"), "direction", "baseline_secs", "created_at", "expires_at").distinct()
     e = events.where(F.col("type").isin("ARRIVAL_DELAY", "DEPARTURE_DELAY") & F.col("delay_seconds").isNotNull() & F.col("observed_at").isNotNull())
@@ -89,12 +91,19 @@ def match(pending: DataFrame, events: DataFrame, directions: DataFrame | None =
         e = e.join(directions.select("trip_id", F.col("direction_id").alias("__dir")), "trip_id", "left")
     else:
         e = e.withColumn("__dir", F.lit(None).cast("int"))
-    e = e.select("agency_id", "route_id", "station", "delay_seconds", "observed_at", "__dir", F.floor(F.col("observed_at") / HOUR).alias("hour"))
-    w = p.where("expires_at >= created_at").withColumn("hour", F.explode(F.sequence(F.floor(F.col("created_at") / HOUR), F.floor(F.col("expires_at") / HOUR))))
-    hit = w.join(e, ["agency_id", "route_id", "station", "hour"]).where(
-        (F.col("observed_at") >= F.col("created_at")) & (F.col("observed_at") <= F.col("expires_at"))
-        & ((F.coalesce("direction", F.lit(-1)) < 0) | F.col("__dir").isNull() | (F.col("__dir") == F.col("direction"))))
-    more = F.greatest(F.lit(0), F.col("delay_seconds").cast("long") - F.coalesce("baseline_secs", F.lit(0)))
+    way = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    key = lambda c: F.concat_ws("\x01", "route_id", c)
+    e = e.where("route_id is not null").select(
+        "agency_id", F.explode(F.array(key(F.lit("any")), key(way("__dir")))).alias("route"), F.col("station").alias("stop_id"), "delay_seconds", "observed_at",
+        F.lit(True).alias("measured"), F.lit(False).alias("late"), F.lit(0).cast("long").alias("received_at"), F.lit(0).cast("long").alias("delivery_id"))
+    ways = F.when(F.coalesce("direction", F.lit(-1)) < 0, F.array(key(F.lit("any")))).otherwise(F.array(key(F.lit("unknown")), key(way("direction"))))
+    w = p.where("expires_at >= created_at and route_id is not null").select(
+        "id", "agency_id", F.explode(ways).alias("route"), F.col("station").alias("stop_id"), F.col("created_at").alias("from_at"), F.col("expires_at").alias("to_at"), "baseline_secs")
+    at = ["agency_id", "route", "stop_id", "hour", "pane"]
+    slices = pane_points(e, w).groupBy(*at).agg(F.max("delay_seconds").alias("high"))
+    hours = w.withColumn("hour", F.explode(F.sequence(F.floor(F.col("from_at") / HOUR), F.floor(F.col("to_at") / HOUR))))
+    hit = hours.join(slices, at[:-1]).where((F.col("pane") >= F.col("from_at")) & (F.col("pane") <= F.col("to_at")))
+    more = F.greatest(F.lit(0), F.col("high").cast("long") - F.coalesce("baseline_secs", F.lit(0)))
     got = hit.groupBy("id").agg(F.max(more).alias("observed_max"))
     return p.select("id").join(got, "id", "left").select("id", F.coalesce("observed_max", F.lit(0)).cast("long").alias("observed_max"), F.col("observed_max").isNotNull().alias("matched"))
 

@@ -14,6 +14,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], schema: str,
     Keys are placed by hash and sorted within partitions, so a long key streams through its task and is never held.
     Rows are named tuples; nulls in whole-number columns arrive as None.
     """
+    at = [df.columns.index(k) for k in keys]
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     whole = [f.name for f in df.schema if f.dataType.typeName() in ("integer", "long")]
 
@@ -27,7 +28,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], schema: str,
             out = []
             b = b.astype(object).where(b.notna(), None)
             for row in b.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
+                key = tuple(row[k] for k in at)
                 if key != now:
                     now, state = key, start()
                 state, rows = step(state, row)
