@@ -78,9 +78,11 @@ def next_departures(probes: DataFrame, index: DataFrame, station: str, route: st
     ``index`` must be made for at least n and with the same slot."""
     t = F.col(after) if isinstance(after, str) else after
     i = index.select(F.col("station").alias("__s"), F.col("route_id").alias("__r"), F.col("slot").alias("__h"), F.col("deps").alias("__deps"))
-    p = probes.withColumn("__t", t).withColumn("__slot", F.floor(F.greatest(F.col("__t"), F.lit(0)) / slot).cast("int"))
+    p = probes.withColumn("__t", t).withColumn("__slot", F.when(F.col("__t").isNotNull(), F.floor(F.greatest(F.col("__t"), F.lit(0)) / slot).cast("int")))
     j = p.join(i, (F.col(station) == F.col("__s")) & (F.col(route) == F.col("__r")) & (F.col("__slot") == F.col("__h")), "left")
-    hit = F.slice(F.filter("__deps", lambda x: x["dep"] >= F.col("__t")), 1, n)
+    # sorted, so what lies before the time is counted on the seconds alone, and only the wanted departures are copied
+    before = F.size(F.filter(F.col("__deps.dep"), lambda x: x < F.col("__t")))
+    hit = F.when(F.col("__t").isNotNull(), F.slice("__deps", before + 1, F.lit(n)))
     return j.withColumn(out, F.coalesce(hit, F.array().cast(index.schema["deps"].dataType))).drop("__s", "__r", "__h", "__deps", "__t", "__slot")
 
 
