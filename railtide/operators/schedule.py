@@ -52,6 +52,37 @@ def scheduled_headway(probes: DataFrame, headways: DataFrame, route: str, direct
     return df.withColumn(out, F.coalesce("__w0", "__w1")).drop("__w0", "__w1")
 
 
+def departure_minutes(departures: DataFrame) -> DataFrame:
+    """(station, route_id, minute, bits, later): the seconds of each minute with a departure, and the first second after it.
+
+    One row per station, route and minute from 0 to the last departure's. It doesn't grow with the departures of a second."""
+    key = ["station", "route_id"]
+    d = departures.where("departure_secs >= 0").select(*key, F.col("departure_secs").alias("dep")).withColumn("minute", F.floor(F.col("dep") / 60).cast("int"))
+    m = d.groupBy(*key, "minute").agg(F.bit_or(F.expr("shiftleft(1L, CAST(dep % 60 AS INT))")).alias("bits"), F.min("dep").alias("first"))
+    grid = m.groupBy(*key).agg(F.max("minute").alias("last")).select(*key, F.explode(F.sequence(F.lit(0), "last")).alias("minute"))
+    after = Window.partitionBy(*key).orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.join(m, [*key, "minute"], "left")
+    return grid.select(*key, "minute", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"), F.min("first").over(after).cast("int").alias("later"))
+
+
+def next_second(probes: DataFrame, minutes: DataFrame, station: str, route: str, after: Column, out: str) -> DataFrame:
+    """probes with the second of the first departure at or after a time; null where there is none."""
+    m = minutes.select(F.col("station").alias("__s"), F.col("route_id").alias("__r"), F.col("minute").alias("__m"), F.col("bits").alias("__bits"), F.col("later").alias("__later"))
+    p = probes.withColumn("__t", F.greatest(after, F.lit(0)).cast("int")).withColumn("__t", F.when(after.isNotNull(), F.col("__t")))
+    p = p.withColumn("__minute", F.floor(F.col("__t") / 60).cast("int"))
+    j = p.join(m, (F.col(station) == F.col("__s")) & (F.col(route) == F.col("__r")) & (F.col("__minute") == F.col("__m")), "left")
+    j = j.withColumn("__rest", F.expr("shiftright(__bits, CAST(__t % 60 AS INT))"))
+    hit = F.when(F.col("__rest") == 0, F.col("__later")).otherwise(F.col("__t") + F.expr("bit_count(~__rest & (__rest - 1L))"))
+    return j.withColumn(out, hit.cast("int")).drop("__s", "__r", "__m", "__bits", "__later", "__t", "__minute", "__rest")
+
+
+def first_departures(departures: DataFrame) -> DataFrame:
+    """(station, route_id, dep, trip_id, stop_id, direction_id): of each second the first departure by trip and sequence."""
+    x = F.min(F.struct("trip_id", "stop_sequence", "stop_id", "direction_id")).alias("x")
+    return departures.where("departure_secs >= 0").groupBy("station", "route_id", F.col("departure_secs").alias("dep")).agg(x).select(
+        "station", "route_id", "dep", "x.trip_id", "x.stop_id", "x.direction_id")
+
+
 def departure_index(departures: DataFrame, n: int, slot: int = SLOT) -> DataFrame:
     """(station, route_id, slot, deps): departures of a slot and the first n after it, in order of (dep, trip, sequence).
 

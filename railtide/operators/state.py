@@ -88,6 +88,17 @@ def as_of(probes: DataFrame, log: DataFrame, seq: str, agency: str, trip: str, s
     return both.where("__probe = 1").select(*(c for c in cols if not c.startswith("__")), held.alias(out))
 
 
+def changes(log: DataFrame) -> DataFrame:
+    """(agency_id, trip_id, stop_id, seq, delay): what changes the stored delay of a key that ever had one; null where it is deleted."""
+    up = log.where("op = 'upsert'").select(*KEY, "seq", F.col("delay_seconds").alias("delay"))
+    none = F.lit(None).cast("int").alias("delay")
+    gone = log.where("op = 'delete'")
+    # the first delete of a number of cancellations is that cancellation, which takes all stops of the trip
+    cancels = gone.where("cancel_no > 0").groupBy("agency_id", "trip_id", "cancel_no").agg(F.min("seq").alias("seq"))
+    of_all = cancels.join(up.select(*KEY).distinct(), ["agency_id", "trip_id"]).select(*KEY, "seq", none)
+    return up.unionByName(gone.select(*KEY, "seq", none)).unionByName(of_all)
+
+
 def reconcile_with_ttl(events: DataFrame, seq: str = "seq", arrived: str = "received_at", ttl: int = TTL, stored: DataFrame | None = None) -> DataFrame:
     """The changelog's upserts and drops where a key also expires ``ttl`` seconds of arrival time after its last accepted
     event. An ordered fold per trip: a cancelled trip clears all its stops. ``stored`` is the state before the events

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railtide.functions.time import clock
-from railtide.operators.schedule import departure_index, next_departures, next_overnight, routes_at_stop
-from railtide.operators.state import as_of
-from railtide.session import broadcast_if_small
+from railtide.operators.schedule import DAY, OVERNIGHT, departure_minutes, first_departures, next_second, routes_at_stop
+from railtide.operators.state import as_of, changes
+from railtide.session import broadcast_if_small, stored
 from railtide.sources.gtfs import Timetable, with_station
 
 MIN_TRANSFER = 120
 BUFFER = 60
+#: Up to so many changes of a stop's stored delay travel with its departure; with more, all changes are merged in order.
+MOST_CHANGES = 64
 
 
 def possible_connections(t: Timetable) -> DataFrame:
@@ -22,7 +24,8 @@ def possible_connections(t: Timetable) -> DataFrame:
     return t.transfers.withColumn("min_transfer", m).join(r, "to_station").select("from_station", "to_station", "to_route_id", "min_transfer")
 
 
-def transfer_impacts(events: DataFrame, t: Timetable, log: DataFrame | None = None, seq: str = "seq", state: DataFrame | None = None) -> DataFrame:
+def transfer_impacts(events: DataFrame, t: Timetable, log: DataFrame | None = None, seq: str = "seq", state: DataFrame | None = None,
+                     most_changes: int = MOST_CHANGES) -> DataFrame:
     """Broken and endangered connections of late events, with the event's seq.
 
     An event's own (enriched) delay counts, not the stored one, and events that the state drops count too. The time of
@@ -38,26 +41,44 @@ def transfer_impacts(events: DataFrame, t: Timetable, log: DataFrame | None = No
     late = late.select(F.col(seq).alias("seq"), "agency_id", F.col("trip_id").alias("from_trip_id"), F.col("route_id").alias("from_route_id"), "from_station",
                        "stop_id", "delay_seconds", "observed_at", "tod")
     c = late.join(possible_connections(t), "from_station").where("to_route_id <> from_route_id")
-    index = broadcast_if_small(departure_index(t.departures, 1))
-    c = next_overnight(c, index, "to_station", "to_route_id", "tod", 1, "__frame", "eff").drop("__frame")
-    c = next_departures(c, index, "to_station", "to_route_id", F.col("eff") + F.col("min_transfer"), 1, "deps").where(F.size("deps") > 0)
-    d = F.get(F.col("deps"), F.lit(0))
-    c = c.withColumns({"dep": d["dep"], "conn_trip": d["trip_id"], "conn_stop": d["stop_id"]}).drop("deps")
+    minutes = broadcast_if_small(departure_minutes(t.departures))
+    after = lambda c, time, out: next_second(c, minutes, "to_station", "to_route_id", time, out)
+    # the frame that fits: before 04:00 that of the night before, where it has a departure and the raw time none or a later one
+    c = after(c, F.col("tod"), "raw")
+    c = after(c, F.when(F.col("tod") < OVERNIGHT, F.col("tod") + DAY), "wrap")
+    night = F.col("wrap").isNotNull() & (F.col("raw").isNull() | (F.col("wrap") - DAY < F.col("raw")))
+    c = c.withColumn("eff", F.when(night, F.col("tod") + DAY).otherwise(F.col("tod"))).drop("raw", "wrap", "tod", "from_station")
+    c = after(c, F.col("eff") + F.col("min_transfer"), "dep").where("dep is not null")
+    c = c.withColumn("catch", F.col("eff") + F.col("delay_seconds") + F.col("min_transfer"))
+    c = after(c, F.col("catch"), "viable_dep")
+    first = stored(first_departures(t.departures))
+    at = lambda dep: (F.col("to_station") == F.col("__s")) & (F.col("to_route_id") == F.col("__r")) & (F.col(dep) == F.col("__dep"))
+    conn = first.select(F.col("station").alias("__s"), F.col("route_id").alias("__r"), F.col("dep").alias("__dep"), F.col("trip_id").alias("conn_trip"), F.col("stop_id").alias("conn_stop"))
     if log is not None:
-        c = as_of(c, log, "seq", "agency_id", "conn_trip", "conn_stop", "conn_delay")
+        steps = changes(log).groupBy(F.col("trip_id").alias("conn_trip"), F.col("stop_id").alias("conn_stop"))
+        if (steps.agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= most_changes:
+            steps = steps.agg(F.collect_list(F.struct(F.col("seq").alias("at"), "agency_id", "delay")).alias("steps"))
+            c = c.join(conn.join(steps, ["conn_trip", "conn_stop"], "left").drop("conn_trip", "conn_stop"), at("dep")).drop("__s", "__r", "__dep")
+            known = F.filter("steps", lambda x: (x["at"] <= F.col("seq")) & (x["agency_id"] == F.col("agency_id")))
+            c = c.withColumn("conn_delay", F.when(F.col("steps").isNotNull(), F.array_max(known)["delay"])).drop("steps")
+        else:
+            c = as_of(c.join(conn, at("dep")).drop("__s", "__r", "__dep"), log, "seq", "agency_id", "conn_trip", "conn_stop", "conn_delay")
     elif state is not None:
-        s = state.select(F.col("agency_id").alias("__a"), F.col("trip_id").alias("__t"), F.col("stop_id").alias("__s"), F.col("delay_seconds").alias("conn_delay"))
-        c = c.join(s, (F.col("agency_id") == F.col("__a")) & (F.col("conn_trip") == F.col("__t")) & (F.col("conn_stop") == F.col("__s")), "left").drop("__a", "__t", "__s")
+        s = state.select(F.col("agency_id").alias("__a"), F.col("trip_id").alias("__t"), F.col("stop_id").alias("__p"), F.col("delay_seconds").alias("conn_delay"))
+        c = c.join(conn, at("dep")).drop("__s", "__r", "__dep")
+        c = c.join(s, (F.col("agency_id") == F.col("__a")) & (F.col("conn_trip") == F.col("__t")) & (F.col("conn_stop") == F.col("__p")), "left").drop("__a", "__t", "__p")
     else:
         c = c.withColumn("conn_delay", F.lit(None).cast("int"))
     c = c.withColumn("original", F.col("dep") - F.col("eff"))
     c = c.withColumn("remaining", F.col("original") - F.col("delay_seconds") + F.coalesce("conn_delay", F.lit(0)))
     level = F.when(F.col("remaining") < F.col("min_transfer"), "BROKEN").when(F.col("remaining") < F.col("min_transfer") + BUFFER, "AT_RISK")
-    c = c.withColumn("level", level).where("level is not null")
+    c = c.withColumn("level", level).where("level is not null").drop("conn_trip", "conn_stop", "conn_delay", "min_transfer", "agency_id", "eff")
     broken = F.col("level") == "BROKEN"
-    c = c.withColumn("catch", F.when(broken, F.col("eff") + F.col("delay_seconds") + F.col("min_transfer")))
-    c = next_departures(c, index, "to_station", "to_route_id", "catch", 1, "viable")
-    v = F.get(F.col("viable"), F.lit(0))
+    # rows that look for no departure are spread over keys that none has
+    c = c.withColumn("viable_dep", F.when(broken & F.col("viable_dep").isNotNull(), F.col("viable_dep")).otherwise(-1 - F.pmod(F.hash("seq"), F.lit(4096))))
+    viable = first.select(F.col("station").alias("__s"), F.col("route_id").alias("__r"), F.col("dep").alias("__dep"), F.col("trip_id").alias("viable_trip"))
+    c = c.join(viable, at("viable_dep"), "left")
+    v = F.when(F.col("__dep").isNotNull(), F.struct(F.col("viable_trip").alias("trip_id"), F.col("__dep").alias("dep")))
     return c.select(
         "seq", "from_trip_id", "from_route_id", "to_route_id", F.col("stop_id").alias("from_stop_id"), F.col("to_station").alias("station_id"),
         F.col("delay_seconds").alias("source_delay_seconds"), F.col("original").cast("int").alias("original_transfer_margin_seconds"),
@@ -65,7 +86,7 @@ def transfer_impacts(events: DataFrame, t: Timetable, log: DataFrame | None = No
         F.when(broken, F.coalesce(v["trip_id"], F.lit(""))).otherwise("").alias("next_viable_trip_id"),
         F.when(broken, F.coalesce(F.greatest(F.lit(0), v["dep"] - F.col("dep")), F.lit(0))).otherwise(0).cast("int").alias("additional_wait_seconds"),
         F.when(broken, F.col("dep")).otherwise(0).cast("int").alias("sched_connection_departure_secs"),
-        F.coalesce("catch", F.lit(0)).cast("int").alias("earliest_catch_secs"))
+        F.when(broken, F.col("catch")).otherwise(0).cast("int").alias("earliest_catch_secs"))
 
 
 def alerts(impacts: DataFrame, routes: list[str] = (), stations: list[str] = ()) -> DataFrame:

@@ -220,6 +220,7 @@ def _live_state(a: Adapter) -> DataFrame:
 
 
 def _log(a: Adapter) -> DataFrame:
+    a.keep("g_stop_times")
     return a.once("log", lambda: state.changelog(a.once("events", lambda: a["g_events"])))
 
 
@@ -289,7 +290,7 @@ def dwell_seed(spark: SparkSession, folder: str) -> DataFrame:
 
 def first_hop_cascade(spark: SparkSession, folder: str) -> DataFrame:
     a = Adapter(spark, folder)
-    t, live = a.timetable(), _live(a)
+    live, t = _live(a), a.timetable()
     hops = cascade.transfer_hops(cascade.dwell_seeds(_estimated(a, None, live), t, None, CFG), t, live, CFG)
     return hops.select("impact_id", "position", "to_station", "to_route_id", "new_delay", "new_confidence")
 

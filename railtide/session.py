@@ -73,6 +73,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As cut, in Parquet: for large steps, of which later ones read only some columns. Keeps no placement of rows."""
+    path = shared_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def value_bytes(kind: T.DataType, c: Column) -> Column:
     """About how many bytes a value takes: strings and arrays by their lengths, strings within arrays as 24 bytes."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

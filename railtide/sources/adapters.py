@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railtide.session import cut
+from railtide.session import stored
 from railtide.sources.gtfs import Timetable, build
 from railtide.sources.tables import table
 
@@ -59,7 +59,7 @@ class Adapter:
     """The views as DataFrames over one data folder, each planned when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._made, self._timetable = spark, folder, {}, None
+        self.spark, self.folder, self._made, self._timetable, self._kept = spark, folder, {}, None, set()
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -74,9 +74,15 @@ class Adapter:
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A step that several parts of a query read, computed and written to the shared folder the first time."""
         if name not in self._made:
-            self._made[name] = cut(make())
+            self._made[name] = stored(make())
         return self._made[name]
 
+    def keep(self, view: str) -> None:
+        """Compute a view once; what is planned from here on, other views included, reads it from the shared folder."""
+        if view not in self._kept:
+            self._made[view] = stored(self[view])
+            self._kept.add(view)
+
     def services(self) -> DataFrame:
         return self.spark.createDataFrame([("F",), ("O",)], "service_id string")
 

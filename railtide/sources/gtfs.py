@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from railtide import schema
 from railtide.functions.time import service_seconds
-from railtide.session import cut
+from railtide.session import stored
 from railtide.sources import csvscan
 
 
@@ -169,7 +169,7 @@ def build(stops: DataFrame, routes: DataFrame, trips: DataFrame, stop_times: Dat
           materialize: bool = True) -> Timetable:
     """The service day's timetable. The departures, which lookups use again and again, are written to the shared folder once."""
     active = trips.join(services, "service_id", "left_semi")
-    keep = cut if materialize else (lambda df: df)
+    keep = stored if materialize else (lambda df: df)
     return Timetable(stops, routes, trips, normalized_transfers(transfers, stops), keep(departures(stop_times, active, stops)), tz)
 
 
