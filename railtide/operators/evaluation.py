@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from railtide.functions.time import confidence_bucket, hour_of, seconds_of_day
 from railtide.operators.panes import pane_points
-from railtide.operators.schedule import departure_index, next_departures
+from railtide.operators.schedule import departure_minutes, next_second
 from railtide.session import broadcast_if_small
 from railtide.sources.gtfs import Timetable, with_station
 
@@ -116,17 +116,27 @@ def realized_wait(pending: DataFrame, t: Timetable, state: DataFrame) -> DataFra
     """
     p = pending.where("is_primary and sched_conn_dep_secs > 0")
     p = with_station(p, t.stops, "source_station", "__station")
-    p = next_departures(p, broadcast_if_small(departure_index(t.departures, CANDIDATES)), "__station", "route_id", "sched_conn_dep_secs", CANDIDATES)
-    c = p.select("id", "agency_id", "direction", "__station", "sched_conn_dep_secs", "earliest_catch_secs", F.posexplode("deps").alias("n", "d"))
-    c = c.where((F.col("d.dep") <= F.col("earliest_catch_secs") + WINDOW) & ((F.col("direction") < 0) | (F.col("d.direction_id") == F.col("direction"))))
+    p = next_second(p, broadcast_if_small(departure_minutes(t.departures)), "__station", "route_id", F.col("sched_conn_dep_secs"), "__dep").where("__dep is not null")
     # the trip's stored delay is under the stop it calls at first there by sequence, the station's own id before its platforms
-    stop = t.departures.groupBy(F.col("trip_id").alias("__trip"), F.col("station").alias("__st")).agg(
-        F.min(F.struct((F.col("stop_id") != F.col("station")).alias("o"), "stop_sequence", "stop_id")).alias("__x"))
-    c = c.join(stop, (F.col("d.trip_id") == F.col("__trip")) & (F.col("__station") == F.col("__st")), "left")
-    s = state.select(F.col("agency_id").alias("__a"), F.col("trip_id").alias("__t"), F.col("stop_id").alias("__s"), F.col("delay_seconds").alias("__delay"))
-    c = c.join(s, (F.col("agency_id") == F.col("__a")) & (F.col("d.trip_id") == F.col("__t")) & (F.col("__x.stop_id") == F.col("__s")), "left")
-    c = c.withColumn("real", F.col("d.dep") + F.coalesce("__delay", F.lit(0))).where(F.col("real") >= F.col("earliest_catch_secs"))
-    return c.groupBy("id").agg(F.min_by(F.greatest(F.lit(0), F.col("real") - F.col("sched_conn_dep_secs")), "n").cast("int").alias("wait"))
+    calls = t.departures.where("departure_secs >= 0").select("trip_id", "station", "route_id", "direction_id", "stop_id", "stop_sequence", F.col("departure_secs").alias("dep"))
+    own = Window.partitionBy("trip_id", "station").orderBy(F.col("stop_id") != F.col("station"), "stop_sequence", "stop_id")
+    calls = calls.withColumn("__at", F.first("stop_id").over(own))
+    s = state.select(F.col("agency_id").alias("agency"), F.col("trip_id").alias("__t"), F.col("stop_id").alias("__s"), F.col("delay_seconds").alias("delay"))
+    s = s.groupBy("__t", "__s").agg(F.collect_list(F.struct("agency", "delay")).alias("delays"))
+    calls = calls.join(s, (F.col("trip_id") == F.col("__t")) & (F.col("__at") == F.col("__s")), "left").drop("__t", "__s", "__at")
+    # the candidates of a departure's second are worked out once, not for every prediction
+    row = F.struct("dep", "trip_id", "stop_sequence", "stop_id", "direction_id", "delays")
+    order = Window.partitionBy("station", "route_id").orderBy("dep", "trip_id", "stop_sequence", "stop_id", "direction_id")
+    calls = calls.withColumns({"__c": F.collect_list(row).over(order.rowsBetween(0, CANDIDATES - 1)), "__before": F.lag("dep").over(order)})
+    calls = calls.where("__before is null or __before < dep").select(F.col("station").alias("__st"), F.col("route_id").alias("__r"), F.col("dep").alias("__d"), "__c")
+    p = p.select("id", "agency_id", "direction", "__station", "route_id", "sched_conn_dep_secs", "earliest_catch_secs", "__dep")
+    c = p.join(calls, (F.col("__station") == F.col("__st")) & (F.col("route_id") == F.col("__r")) & (F.col("__dep") == F.col("__d")))
+    late = lambda d: F.coalesce(F.get(F.filter(d["delays"], lambda x: x["agency"] == F.col("agency_id")), F.lit(0))["delay"], F.lit(0))
+    tried = F.filter(F.transform("__c", lambda d, n: d.withField("n", n)), lambda d: (d["dep"] <= F.col("earliest_catch_secs") + WINDOW) & ((F.col("direction") < 0) | (d["direction_id"] == F.col("direction")))
+                     & (d["dep"] + late(d) >= F.col("earliest_catch_secs")))
+    c = c.withColumn("__x", F.get(tried, F.lit(0))).where("__x is not null")
+    c = c.withColumn("real", F.col("__x.dep") + late(F.col("__x")))
+    return c.groupBy("id").agg(F.min_by(F.greatest(F.lit(0), F.col("real") - F.col("sched_conn_dep_secs")), F.col("__x.n")).cast("int").alias("wait"))
 
 
 def sweep(expired: DataFrame, waits: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from railtide.operators import schedule, state, transfers
+from railtide.operators import evaluation, schedule, state, transfers
 from railtide.sources.gtfs import Timetable
 
 DEPARTURES = "trip_id string, route_id string, direction_id int, station string, stop_id string, stop_sequence int, departure_secs int"
@@ -52,3 +52,31 @@ def test_stored_delays_of_connections_either_way(spark):
     assert found[0] == found[1] and len(found[0]) > 50
     none = transfers.transfer_impacts(e, t).collect()
     assert sorted(map(tuple, none)) != found[0]  # the stored delays do decide
+
+
+def test_realized_wait_by_the_second(spark):
+    """Predictions share the candidates of their departure's second; wanted values step by step."""
+    r = random.Random(8)
+    deps = [(f"t{k}", "T", k % 2, "P", r.choice(["P", "P1"]), 1, 30_000 + 60 * r.randrange(40)) for k in range(60)]
+    d = spark.createDataFrame(deps, DEPARTURES)
+    stops = spark.createDataFrame([("P", "", ""), ("P1", "", "P")], "stop_id string, stop_name string, parent_station string")
+    t = Timetable(stops, None, None, None, d)
+    held = {(a, x[0], x[4]): r.randrange(-200, 400) for a in "ab" for x in deps if r.random() < 0.5}
+    st = spark.createDataFrame([(*k, v) for k, v in held.items()], "agency_id string, trip_id string, stop_id string, delay_seconds int")
+    pending = [(f"p{n}", r.choice("ab"), "T", "P", r.choice([-1, 0, 1]), x, x + r.randrange(0, 900), True) for n, x in enumerate(30_000 + r.randrange(2500) for _ in range(200))]
+    p = spark.createDataFrame(pending, "id string, agency_id string, route_id string, source_station string, direction int, sched_conn_dep_secs int, earliest_catch_secs int, is_primary boolean")
+    want = {}
+    for i, a, _, _, way, at, catch, _ in pending:
+        for x in sorted((x for x in deps if x[6] >= at), key=lambda x: (x[6], x[0]))[:10]:
+            real = x[6] + held.get((a, x[0], x[4]), 0)
+            if x[6] <= catch + 1800 and way in (-1, x[2]) and real >= catch:
+                want[i] = max(0, real - at)
+                break
+    minutes = schedule.departure_minutes
+    try:  # before: an index row for each slot held every departure of it
+        used = []
+        evaluation.departure_minutes = lambda x: used.append(1) or minutes(x)
+        got = {x["id"]: x["wait"] for x in evaluation.realized_wait(p, t, st).collect()}
+    finally:
+        evaluation.departure_minutes = minutes
+    assert used and got == want and 50 < len(want) < 200
