@@ -21,6 +21,9 @@ DAY = 86_400
 #: Grid cells: valid days and recorded seconds per cell.
 VALID_CELL = 32
 KNOWN_CELL = 14 * DAY
+#: A grid is broadcast up to this many bytes of values: a look-up of events takes four, and the driver holds each of them as
+#: rows, as a hash table and in blocks.
+GRID_BYTES = 8 << 20
 
 
 def rectangles(versions: DataFrame, entity: str, known_from: str, attributes: list[str],
@@ -88,7 +91,7 @@ def locate(events: DataFrame, rects: DataFrame, entity: str, known_at: str, attr
         grid = grid.withColumn("vc", F.lit(0).cast("long"))
     grid = grid.withColumn("kc", F.explode(cells(F.col("k0"), F.col("k1"), known_cell, span["a"], span["b"])))
     grid = grid.select(*(F.col(c).alias(f"__{c}") for c in ("entity", "vc", "kc", "v0", "v1", "k0", "k1")), F.struct(*attributes).alias("__a"))
-    grid = broadcast_if_small(grid)
+    grid = broadcast_if_small(grid, GRID_BYTES)
     e = events.withColumn("__vcell", F.floor(F.when(F.col(valid_day).isNotNull(), within(valid_day, lo_v, hi_v)) / valid_cell) if valid_day else F.lit(0).cast("long"))
     e = e.withColumn("__kcell", F.floor(F.when(F.col(known_at).isNotNull(), within(known_at, first_k, last_k)) / known_cell))
     on = (F.col(entity) == F.col("__entity")) & (F.col("__vcell") == F.col("__vc")) & (F.col("__kcell") == F.col("__kc"))
