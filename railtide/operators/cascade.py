@@ -7,6 +7,7 @@ mapInPandas over impacts with the timetable's graph at hand, so impacts are neve
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from railtide import schema
 from railtide.config import Propagation
 from railtide.functions.time import hour_of, seconds_of_day
 from railtide.operators.schedule import DAY, OVERNIGHT, downstream_stops, headway_index, scheduled_headway
-from railtide.operators.transfers import possible_connections
-from railtide.session import total_bytes
+from railtide.operators.transfers import firsts, possible_connections
+from railtide.session import broadcast_if_small, cut, stored, total_bytes
 from railtide.sources.gtfs import Timetable, with_station
 
 #: The walk's graph, which grows with a service day's timetable and not with the events, is sent to all executors only up
@@ -34,11 +36,18 @@ NO_HEADWAY = 900
 
 
 def directed(impacts: DataFrame, t: Timetable) -> DataFrame:
-    """impacts with station, tod and hour of detection, and the direction of the next viable trip (0 where unknown)."""
+    """impacts with station, tod and hour of detection, and the direction of the next viable trip (0 where unknown); station
+    and direction may be there already."""
+    if not {"station", "direction_id"} <= set(impacts.columns):
+        impacts = _with_direction(impacts, t)
+    i = impacts.withColumn("tod", seconds_of_day("detected_at", t.tz))
+    return i.withColumn("hour", hour_of("tod"))
+
+
+def _with_direction(impacts: DataFrame, t: Timetable) -> DataFrame:
     trips = t.trips.select(F.col("trip_id").alias("__t"), F.col("direction_id").alias("__d"))
     i = with_station(impacts, t.stops, "station_id", "station").join(trips, F.col("next_viable_trip_id") == F.col("__t"), "left").drop("__t")
-    i = i.withColumn("direction_id", F.coalesce("__d", F.lit(0))).withColumn("tod", seconds_of_day("detected_at", t.tz)).drop("__d")
-    return i.withColumn("hour", hour_of("tod"))
+    return i.withColumn("direction_id", F.coalesce("__d", F.lit(0))).drop("__d")
 
 
 def average_impacts(history: DataFrame, now_ns: int | None = None, days: int = 30) -> DataFrame:
@@ -60,10 +69,10 @@ def initial_estimates(impacts: DataFrame, t: Timetable, live: DataFrame, average
     is then shrunk towards the average of past outcomes by their number.
     """
     i = directed(impacts, t)
-    i = scheduled_headway(i, headway_index(t.departures), "to_route_id", "direction_id", "station", "tod")
-    lv = live.select(F.col("route_id").alias("__r"), F.col("station").alias("__s"), F.col("delay").alias("__live"))
+    i = scheduled_headway(i, t.once("headways", lambda: broadcast_if_small(headway_index(t.departures))), "to_route_id", "direction_id", "station", "tod")
+    lv = broadcast_if_small(live.select(F.col("route_id").alias("__r"), F.col("station").alias("__s"), F.col("delay").alias("__live")))
     i = i.join(lv, (F.col("to_route_id") == F.col("__r")) & (F.col("station") == F.col("__s")), "left").drop("__r", "__s")
-    av = averages.select(F.col("from_route").alias("__f"), F.col("to_route").alias("__r"), F.col("station").alias("__s"), F.col("hour").alias("__h"), F.col("average").alias("__avg"), F.col("n").alias("__n"))
+    av = broadcast_if_small(averages).select(F.col("from_route").alias("__f"), F.col("to_route").alias("__r"), F.col("station").alias("__s"), F.col("hour").alias("__h"), F.col("average").alias("__avg"), F.col("n").alias("__n"))
     i = i.join(av, (F.col("from_route_id") == F.col("__f")) & (F.col("to_route_id") == F.col("__r")) & (F.col("station") == F.col("__s")) & (F.col("hour") == F.col("__h")), "left").drop("__f", "__r", "__s", "__h")
     return i.withColumn("initial_delay", estimate(cfg)).drop("__live", "__avg", "__n", "headway")
 
@@ -82,13 +91,17 @@ def estimate(cfg: Propagation = Propagation()):
     return F.when(own, F.col("source_delay_seconds")).otherwise(blended)
 
 
+def _downstream(t: Timetable) -> DataFrame:
+    return t.once("downstream", lambda: broadcast_if_small(downstream_stops(t.departures)))
+
+
 def dwell_seeds(estimated: DataFrame, t: Timetable, stop_averages: DataFrame | None = None, cfg: Propagation = Propagation()) -> DataFrame:
     """(impact_id, position, route_id, stop_id, station, delay, confidence): the seeds of the first hop.
 
     The first stop has the initial delay; the p-th adds (p - 1) times the rounded extra dwell, with confidence decaying
     by the stop, for as long as both stay above their limits. With stop averages, later stops are blended with them.
     """
-    d = downstream_stops(t.departures).select(F.col("route_id").alias("to_route_id"), "direction_id", "station", "position", "stop_id", "next_station")
+    d = _downstream(t).select(F.col("route_id").alias("to_route_id"), "direction_id", "station", "position", "stop_id", "next_station")
     s = estimated.join(d, ["to_route_id", "direction_id", "station"])
     dwell = int(np.floor(cfg.base_dwell * cfg.load * cfg.elasticity + 0.5))
     first = F.col("position") == 1
@@ -97,7 +110,7 @@ def dwell_seeds(estimated: DataFrame, t: Timetable, stop_averages: DataFrame | N
     # delay rises and confidence falls along the stops, so cutting at the first failing stop is a filter at the second's delay
     s = s.where(first | ((F.col("confidence") >= cfg.min_confidence) & (F.col("initial_delay") + dwell >= cfg.min_delay)))
     if stop_averages is not None:
-        a = stop_averages.select(F.col("route").alias("to_route_id"), F.col("station").alias("next_station"), "hour", "average", "n")
+        a = broadcast_if_small(stop_averages).select(F.col("route").alias("to_route_id"), F.col("station").alias("next_station"), "hour", "average", "n")
         s = s.join(a, ["to_route_id", "next_station", "hour"], "left")
         w = F.col("n") / (F.col("n") + cfg.shrink)
         s = s.withColumn("delay", F.when(first | F.col("n").isNull() | (F.col("n") < cfg.per_stop_min), F.col("delay")).otherwise(F.round(w * F.col("average") + (1 - w) * F.col("delay"))).cast("int"))
@@ -109,8 +122,8 @@ def transfer_hops(items: DataFrame, t: Timetable, live: DataFrame, cfg: Propagat
 
     ``items`` has route_id, station, delay, confidence. Live lateness of the connecting route makes it easier to catch.
     """
-    c = possible_connections(t).withColumnRenamed("from_station", "station")
-    lv = live.select(F.col("route_id").alias("to_route_id"), F.col("station").alias("to_station"), F.col("delay").alias("__live"))
+    c = broadcast_if_small(possible_connections(t).withColumnRenamed("from_station", "station"))
+    lv = broadcast_if_small(live).select(F.col("route_id").alias("to_route_id"), F.col("station").alias("to_station"), F.col("delay").alias("__live"))
     h = items.join(c, "station").where("to_route_id <> route_id").join(lv, ["to_route_id", "to_station"], "left")
     h = h.where(F.col("delay") >= F.col("min_transfer") + F.coalesce("__live", F.lit(0)))
     h = h.withColumns({"new_confidence": F.col("confidence") * cfg.decay, "new_delay": (F.col("delay") * F.lit(cfg.elasticity)).cast("int")})
@@ -138,36 +151,38 @@ class Graph:
 
 
 def _tables(t: Timetable, live: DataFrame, averages: DataFrame | None, cfg: Propagation, hour: int | None) -> dict[str, DataFrame]:
-    deps = t.departures.select("route_id", "station", "departure_secs", "direction_id", "trip_id")
+    deps = firsts(t).select("route_id", "station", F.col("dep").alias("departure_secs"), "direction_id")
     if hour is not None:
         # with the first departure after the hour, in either frame, every time of day of the hour finds its next
-        upto = Window.partitionBy("route_id", "station").orderBy("departure_secs", "trip_id")
+        upto = Window.partitionBy("route_id", "station").orderBy("departure_secs")
         frames = []
         for low in (hour * 3600, hour * 3600 + DAY):
             after = F.count_if(F.col("departure_secs") >= low + 3600).over(upto)
             frames.append(deps.where(F.col("departure_secs") >= low).withColumn("__n", after).where("__n <= 1").drop("__n"))
         deps = frames[0].unionByName(frames[1]).distinct()
         averages = averages.where(F.col("hour") == hour) if averages is not None else None
-    out = {"downstream": downstream_stops(t.departures), "transfers": possible_connections(t), "deps": deps, "live": live}
+    deps = deps.groupBy("route_id", "station").agg(F.sort_array(F.collect_list(F.struct("departure_secs", "direction_id"))).alias("x"))
+    deps = cut(deps.select("route_id", "station", F.col("x.departure_secs").alias("secs"), F.col("x.direction_id").alias("ways")))
+    out = {"downstream": _downstream(t), "transfers": possible_connections(t), "deps": deps, "live": live}
     if averages is not None:
         out["averages"] = averages.where(F.col("n") >= cfg.per_stop_min)
     return out
 
 
 def collect_graph(tables: dict[str, DataFrame]) -> Graph:
-    g = Graph(defaultdict(list), defaultdict(list), defaultdict(lambda: ([], [])), {}, {})
+    g = Graph(defaultdict(list), defaultdict(list), {}, {}, {})
     for r in tables["downstream"].orderBy("route_id", "direction_id", "station", "position").toLocalIterator():
         g.downstream[r["route_id"], r["direction_id"], r["station"]].append((r["stop_id"], r["next_station"]))
     for r in tables["transfers"].orderBy("from_station", "to_station", "to_route_id").toLocalIterator():
         g.transfers[r["from_station"]].append((r["to_station"], r["to_route_id"], r["min_transfer"]))
-    for r in tables["deps"].orderBy("departure_secs", "trip_id").toLocalIterator():
-        at = g.next_dirs[r["route_id"], r["station"]]
-        at[0].append(r["departure_secs"])
-        at[1].append(r["direction_id"])
+    for r in tables["deps"].toLocalIterator():
+        # numbers side by side; only unknown directions need a list
+        ways = r["ways"] if None in r["ways"] else array("i", r["ways"])
+        g.next_dirs[r["route_id"], r["station"]] = array("i", r["secs"]), ways
     g.live = {(r["route_id"], r["station"]): r["delay"] for r in tables["live"].toLocalIterator()}
     if "averages" in tables:
         g.averages = {(r["route"], r["station"], r["hour"]): (r["average"], r["n"]) for r in tables["averages"].toLocalIterator()}
-    return Graph(dict(g.downstream), dict(g.transfers), dict(g.next_dirs), g.live, g.averages)
+    return Graph(dict(g.downstream), dict(g.transfers), g.next_dirs, g.live, g.averages)
 
 
 def _half_away(x: float) -> int:
@@ -225,20 +240,70 @@ def cascade(estimated: DataFrame, t: Timetable, live: DataFrame, stop_averages:
     """
     spark = estimated.sparkSession
     tables = _tables(t, live, stop_averages, cfg, None)
-    rows = estimated.select("impact_id", "to_route_id", "station", "direction_id", "initial_delay", "tod", "hour").where("tod is not null and initial_delay is not null")
+    rows = stored(estimated.select("impact_id", "to_route_id", "station", "direction_id", "initial_delay", "tod", "hour").where("tod is not null and initial_delay is not null"))
     if sum(map(total_bytes, tables.values())) <= most:
-        return rows.mapInPandas(_walker(spark.sparkContext.broadcast(collect_graph(tables)), cfg), schema.DOWNSTREAM)
+        return _walk_all(rows, spark.sparkContext.broadcast(collect_graph(tables)), stop_averages is not None, cfg)
     out = None
     for hour in range(24):
         tables = _tables(t, live, stop_averages, cfg, hour)
         if (size := sum(map(total_bytes, tables.values()))) > most_of_hour:
             raise ValueError(f"the timetable of hour {hour} takes {size} bytes: divide it by region, or raise most_of_hour")
         graph = spark.sparkContext.broadcast(collect_graph(tables))
-        part = rows.where(F.col("hour") == hour).mapInPandas(_walker(graph, cfg), schema.DOWNSTREAM)
+        part = _walk_all(rows.where(F.col("hour") == hour), graph, stop_averages is not None, cfg)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+#: What a walk depends on as long as it doesn't ask for the direction of a connecting route, which the second decides.
+START = ["to_route_id", "station", "direction_id", "initial_delay", "hour"]
+FOUND = [x.strip() for x in schema.DOWNSTREAM.split(",")][2:]
+
+
+def _walk_all(rows: DataFrame, graph: Broadcast, hourly: bool, cfg: Propagation) -> DataFrame:
+    """The walks of all rows. Rows of one start share a walk, unless it asks for the time: those walk row by row."""
+    if not hourly:
+        rows = rows.withColumn("hour", F.lit(0))
+    starts = rows.select(*START).distinct()
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in starts.schema)
+    shared = stored(starts.mapInArrow(_sharer(graph, cfg), f"{kinds}, found array<struct<{', '.join(f.replace(' ', ': ', 1) for f in FOUND)}>>"))
+    asks = shared.where("found is null").select(*START)
+    out = rows.join(broadcast_if_small(shared.where("found is not null")), START)
+    out = out.select("impact_id", F.posexplode("found").alias("position", "x")).select("impact_id", "position", "x.*")
+    if asks.isEmpty():
+        return out
+    return out.unionByName(rows.join(broadcast_if_small(asks), START, "left_semi").mapInPandas(_walker(graph, cfg), schema.DOWNSTREAM))
+
+
+class AsksTheTime(Exception):
+    """A walk needs more than the hour."""
+
+
+class Timeless(Graph):
+    def direction(self, route: str, station: str, tod: int) -> int | None:
+        if (route, station) in self.next_dirs:
+            raise AsksTheTime
+        return None
+
+
+def _sharer(graph: Broadcast, cfg: Propagation):
+    names = [x.split(" ")[0] for x in FOUND]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Timeless(**vars(graph.value))
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.float32(), pa.int32(), pa.string()]
+        of = pa.list_(pa.struct(list(zip(names, kinds))))
+        for b in batches:
+            found = []
+            for route, station, way, start, hour in zip(*(b.column(c).to_pylist() for c in START)):
+                try:
+                    found.append([dict(zip(names, x)) for x in walk(g, route, station, way, start, hour * 3600, cfg)])
+                except AsksTheTime:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in START), pa.array(found, of)], [*START, "found"])
+
+    return run
+
+
 def _walker(graph: Broadcast, cfg: Propagation):
     names = [x.strip().split(" ")[0] for x in schema.DOWNSTREAM.split(",")]
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from railtide.session import broadcast_if_small
+
 OVERNIGHT = 14_400
 DAY = 86_400
 MAX_GAP = 10_800
@@ -31,11 +33,16 @@ def graph_stats(stops: DataFrame, routes: DataFrame, transfers: DataFrame) -> Da
 
 def headway_index(departures: DataFrame) -> DataFrame:
     """(route_id, direction_id, station, hour, headway, gaps): exact median gap of departures that begin in an hour."""
-    w = Window.partitionBy("route_id", "direction_id", "station").orderBy("departure_secs")
-    gap = F.lead("departure_secs").over(w) - F.col("departure_secs")
-    g = departures.select("route_id", "direction_id", "station", F.floor(F.col("departure_secs") / 3600).cast("int").alias("hour"), gap.alias("gap"))
-    g = g.where((F.col("gap") > 0) & (F.col("gap") <= MAX_GAP) & (F.col("hour") <= MAX_HOUR) & (F.col("hour") >= 0))
-    return g.groupBy("route_id", "direction_id", "station", "hour").agg(F.median("gap").alias("headway"), F.count("*").alias("gaps"))
+    key = ["route_id", "direction_id", "station"]
+    minute = F.floor(F.col("departure_secs") / 60).cast("int")
+    m = departures.where("departure_secs >= 0").groupBy(*key, minute.alias("minute")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(departure_secs % 60 AS INT))")).alias("bits"))
+    # gaps are counted between different seconds only, so an hour is the sorted seconds of its minutes
+    secs = F.expr("transform(filter(sequence(0, 59), x -> getbit(bits, x) = 1), x -> minute * 60 + x)")
+    h = m.groupBy(*key, F.floor(F.col("minute") / 60).cast("int").alias("hour")).agg(F.sort_array(F.flatten(F.collect_list(secs))).alias("secs"))
+    h = h.withColumn("after", F.lead(F.get("secs", F.lit(0))).over(Window.partitionBy(*key).orderBy("hour"))).where(F.col("hour") <= MAX_HOUR)
+    gap = F.zip_with("secs", F.concat(F.expr("slice(secs, 2, size(secs))"), F.array("after")), lambda a, b: b - a)
+    h = h.withColumn("gap", F.sort_array(F.filter(gap, lambda x: x <= MAX_GAP))).withColumn("n", F.size("gap")).where("n > 0")
+    return h.select(*key, "hour", F.expr("(gap[(n - 1) DIV 2] + gap[n DIV 2]) / 2").alias("headway"), F.col("n").cast("long").alias("gaps"))
 
 
 def scheduled_headway(probes: DataFrame, headways: DataFrame, route: str, direction: str, station: str, secs: str, out: str = "headway") -> DataFrame:
@@ -83,6 +90,58 @@ def first_departures(departures: DataFrame) -> DataFrame:
         "station", "route_id", "dep", "x.trip_id", "x.stop_id", "x.direction_id")
 
 
+def numbered_places(departures: DataFrame) -> DataFrame:
+    """(station, route_id, place): a number for each route at each station."""
+    return routes_at_stop(departures).select("station", "route_id", (F.row_number().over(Window.orderBy("station", "route_id")) - 1).cast("long").alias("place"))
+
+
+#: Bits of a place's minutes in the keys of second_index; departure_secs / 60 is below it.
+MINUTE_BITS = 26
+
+
+def second_index(first: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """(at, bits, ways, odd, marks, later): as departure_minutes by numbered place, with what is known of each second's first departure.
+
+    ``first`` has place, dep and direction_id of first departures, ``marked`` the place and dep of those to be told apart.
+    Bits of ``ways`` say direction 1, of ``odd`` one that is neither 0, 1 nor unknown. Seconds come out of next_marked as
+    4 x second + 2 x mark + way, and ``later`` holds one so. All columns are whole numbers, so probes hash one number."""
+    minute = F.floor(F.col("dep") / 60).cast("int").alias("minute")
+    bit, none = F.expr("shiftleft(1L, CAST(dep % 60 AS INT))"), F.lit(0).cast("long")
+    way = F.coalesce("direction_id", F.lit(0))
+    m = first.groupBy("place", minute).agg(F.bit_or(bit).alias("bits"), F.bit_or(F.when(way == 1, bit).otherwise(none)).alias("ways"), F.bit_or(F.when(way.isin(0, 1), none).otherwise(bit)).alias("odd"))
+    if marked is None:
+        m = m.withColumn("marks", none)
+    else:
+        m = m.join(marked.groupBy("place", minute).agg(F.bit_or(bit).alias("marks")), ["place", "minute"], "left").withColumn("marks", F.coalesce("marks", none))
+    m = m.withColumn("low", F.expr("bit_count(~bits & (bits - 1L))"))
+    m = m.withColumn("own", F.expr("(minute * 60L + low) * 4 + getbit(marks, low) * 2 + getbit(ways, low)"))
+    grid = m.groupBy("place").agg(F.max("minute").alias("last")).select("place", F.explode(F.sequence(F.lit(0), "last")).alias("minute"))
+    after = Window.partitionBy("place").orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.join(m, ["place", "minute"], "left")
+    at = F.shiftleft("place", MINUTE_BITS) + F.col("minute")
+    return grid.select(at.alias("at"), *(F.coalesce(c, none).alias(c) for c in ("bits", "ways", "odd", "marks")), F.min("own").over(after).alias("later"))
+
+
+def next_marked(probes: DataFrame, seconds: DataFrame, place: str, after: Column, out: str) -> DataFrame:
+    """probes with the first departure at or after a time as second_index tells it; null where there is none."""
+    s = seconds.select(*(F.col(c).alias(f"__{c}") for c in ("at", "bits", "ways", "marks", "later")))
+    p = probes.withColumn("__t", F.when(after.isNotNull(), F.greatest(after, F.lit(0)).cast("int")))
+    j = p.join(s, F.shiftleft(F.col(place), MINUTE_BITS) + F.floor(F.col("__t") / 60) == F.col("__at"), "left")
+    j = j.withColumn("__rest", F.expr("shiftright(__bits, CAST(__t % 60 AS INT))")).withColumn("__x", F.expr("CAST(__t % 60 + bit_count(~__rest & (__rest - 1L)) AS INT)"))
+    hit = F.when(F.col("__rest") == 0, F.col("__later")).otherwise(F.expr("(__t - __t % 60 + __x) * 4L + getbit(__marks, least(__x, 63)) * 2 + getbit(__ways, least(__x, 63))"))
+    return j.withColumn(out, hit).drop("__at", "__bits", "__ways", "__marks", "__later", "__t", "__rest", "__x")
+
+
+def night_seconds(places: DataFrame, seconds: DataFrame) -> DataFrame:
+    """(at, nights): the seconds before 04:00 of each place that belong to the night before, keyed as second_index: there
+    the time plus a day has a departure, and the raw time none or one after a longer wait."""
+    p = next_marked(places.select("place", F.explode(F.sequence(F.lit(0), F.lit(OVERNIGHT - 1))).alias("tod")), seconds, "place", F.col("tod"), "raw")
+    p = next_marked(p, seconds, "place", F.col("tod") + DAY, "wrap")
+    night = F.col("wrap").isNotNull() & (F.col("raw").isNull() | (F.shiftright("wrap", 2) - DAY < F.shiftright("raw", 2)))
+    at = F.shiftleft("place", MINUTE_BITS) + F.floor(F.col("tod") / 60)
+    return p.where(night).groupBy(at.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, tod % 60)")).alias("nights"))
+
+
 def departure_index(departures: DataFrame, n: int, slot: int = SLOT) -> DataFrame:
     """(station, route_id, slot, deps): departures of a slot and the first n after it, in order of (dep, trip, sequence).
 
@@ -162,12 +221,12 @@ def downstream_stops(departures: DataFrame) -> DataFrame:
     a route and direction that calls at a station other than as its last stop."""
     d = departures.select("route_id", "direction_id", "trip_id", "station", "stop_id", "stop_sequence", "departure_secs")
     last = Window.partitionBy("trip_id").orderBy(F.desc("stop_sequence"), F.desc("departure_secs"), F.desc("stop_id"))
-    pick = Window.partitionBy("route_id", "direction_id", "station").orderBy("departure_secs", "trip_id", "stop_sequence")
+    pick = F.min(F.struct("departure_secs", "trip_id", "stop_sequence")).alias("x")
     first = (
-        d.withColumn("__l", F.row_number().over(last)).where("__l > 1")
-        .withColumn("__p", F.row_number().over(pick)).where("__p = 1")
-        .select("route_id", "direction_id", "trip_id", F.col("station").alias("from_station"), F.col("stop_sequence").alias("from_seq"))
+        d.withColumn("__l", F.row_number().over(last)).where("__l > 1").groupBy("route_id", "direction_id", F.col("station").alias("from_station")).agg(pick)
+        .select("route_id", "direction_id", "x.trip_id", "from_station", F.col("x.stop_sequence").alias("from_seq"))
     )
+    first = broadcast_if_small(first)
     later = first.join(d.select("trip_id", F.col("station").alias("next_station"), "stop_id", "stop_sequence", "departure_secs"), "trip_id").where("stop_sequence > from_seq")
     pos = Window.partitionBy("route_id", "direction_id", "from_station").orderBy("stop_sequence", "departure_secs", "stop_id")
     return later.select("route_id", "direction_id", F.col("from_station").alias("station"), F.row_number().over(pos).alias("position"), "stop_id", "next_station")

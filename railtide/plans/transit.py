@@ -239,8 +239,11 @@ def route_delays(spark: SparkSession, folder: str) -> DataFrame:
 
 def _impacts(a: Adapter) -> DataFrame:
     log = _log(a)
-    e = a.once("events", lambda: a["g_events"]).where(F.col("type").isin("ARRIVAL_DELAY", "DEPARTURE_DELAY"))
-    return transfers.transfer_impacts(e, a.timetable(), log)
+    return transfers.transfer_impacts(_delays(a), a.timetable(), log)
+
+
+def _delays(a: Adapter) -> DataFrame:
+    return a.once("events", lambda: a["g_events"]).where(F.col("type").isin("ARRIVAL_DELAY", "DEPARTURE_DELAY"))
 
 
 def transfer_impacts(spark: SparkSession, folder: str) -> DataFrame:
@@ -264,6 +267,8 @@ def _broken(a: Adapter) -> DataFrame:
 
 def _estimated(a: Adapter, broken: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
     live = _live(a) if live is None else live
+    if broken is None:
+        broken = transfers.broken_directed(_delays(a), a.timetable(), _log(a))
     return cascade.initial_estimates(_broken(a) if broken is None else broken, a.timetable(), live, _adapted_history(a), CFG)
 
 

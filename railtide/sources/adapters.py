@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railtide.session import stored
+from railtide.session import broadcast_if_small, stored
 from railtide.sources.gtfs import Timetable, build
 from railtide.sources.tables import table
 
@@ -65,10 +65,14 @@ class Adapter:
         if name not in self._made:
             if name in BASE:
                 self._made[name] = table(self.spark, self.folder, name)
+                if name == "lineitem":  # placed once for its grouping and the join with its orders
+                    self._made[name] = self._made[name].repartition("l_orderkey")
             else:
                 sql = VIEWS[name]
                 used = {n: self[n] for n in (*BASE, *VIEWS) if "{" + n + "}" in sql}
                 self._made[name] = self.spark.sql(sql.replace("{epoch}", "unix_micros(CAST(ts AS TIMESTAMP)) / 1000000"), **used)
+                if name == "g_stops":
+                    self._made[name] = broadcast_if_small(self._made[name])
         return self._made[name]
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,6 +140,13 @@ class Timetable:
     transfers: DataFrame
     departures: DataFrame
     tz: str = "UTC"
+    made: dict[str, DataFrame] = field(default_factory=dict, compare=False)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What several look-ups derive from the timetable, worked out the first time."""
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
 
 
 def stations(stops: DataFrame) -> DataFrame:
