@@ -46,13 +46,14 @@ def route_delays(state: DataFrame, stops: DataFrame, route: str | None = None) -
 def synthetic_impacts(state: DataFrame, t: Timetable) -> DataFrame:
     """State rows as impacts on their own route, whose cascade is then predicted."""
     s = with_station(state, t.stops)
-    trips = t.trips.select("trip_id", F.col("route_id").alias("__route"))
+    trips = t.trips.select("trip_id", F.col("route_id").alias("__route"), F.col("direction_id").alias("__way"))
     s = s.join(trips, "trip_id", "left")
     r = F.coalesce("__route", F.lit(""))
     return s.select(
         F.concat_ws(":", "agency_id", "trip_id", "stop_id").alias("impact_id"), F.col("trip_id").alias("from_trip_id"), r.alias("from_route_id"), r.alias("to_route_id"),
         F.col("station").alias("station_id"), F.col("delay_seconds").alias("source_delay_seconds"), F.col("observed_at").alias("detected_at"),
-        F.col("trip_id").alias("next_viable_trip_id"), F.lit(0).alias("additional_wait_seconds"), F.lit(0).alias("sched_connection_departure_secs"), F.lit(0).alias("earliest_catch_secs"))
+        F.col("trip_id").alias("next_viable_trip_id"), F.lit(0).alias("additional_wait_seconds"), F.lit(0).alias("sched_connection_departure_secs"), F.lit(0).alias("earliest_catch_secs"),
+        "station", F.coalesce("__way", F.lit(0)).alias("direction_id"))
 
 
 def _predict(state: DataFrame, chosen: DataFrame, t: Timetable, history: DataFrame, stop_history: DataFrame | None, cfg: Propagation) -> DataFrame:

@@ -162,3 +162,20 @@ def test_walks_are_shared(spark, monkeypatch):
     rows.clear()
     assert cascade.cascade(few, t, live).count() == sum(1 for x in want if dict((s[0], s[4]) for s in starts)[x[0]] < 100)
     assert not rows  # before: every impact walked by itself
+
+
+def test_graph_and_synthetic_impacts_of_a_dense_timetable(spark):
+    """The walk's graph has one departure a second, however many there are; stored delays bring station and direction along."""
+    from railtide.config import Propagation
+    from railtide.operators import api, cascade
+
+    legs = [(f"t{k}", "T", k % 2, s, s, n, 20_000 + k % 3 + 60 * n) for k in range(30) for n, s in enumerate("PQ", 1)]
+    d = spark.createDataFrame(legs, DEPARTURES)
+    stops = spark.createDataFrame([("P", "", ""), ("Q", "", "")], "stop_id string, stop_name string, parent_station string")
+    pairs = spark.createDataFrame([("P", "Q", 2, 60)], "from_station string, to_station string, transfer_type int, min_transfer_time int")
+    t = Timetable(stops, None, d.select("trip_id", "route_id", "direction_id").distinct(), pairs, d)
+    live = spark.createDataFrame([], "route_id string, station string, delay int")
+    g = cascade.collect_graph(cascade._tables(t, live, None, Propagation(), None))
+    assert {k: list(v[0]) for k, v in g.next_dirs.items()} == {("T", "P"): [20_060, 20_061, 20_062], ("T", "Q"): [20_120, 20_121, 20_122]}  # before: 30 each
+    st = spark.createDataFrame([("a", "t1", "Q", 100, 5)], "agency_id string, trip_id string, stop_id string, delay_seconds int, observed_at long")
+    assert api.synthetic_impacts(st, t).select("station", "direction_id").first() == ("Q", 1)  # before: the trips were joined once more
