@@ -244,7 +244,7 @@ def cascade(estimated: DataFrame, t: Timetable, live: DataFrame, stop_averages:
     if sum(map(total_bytes, tables.values())) <= most:
         return _walk_all(rows, spark.sparkContext.broadcast(collect_graph(tables)), stop_averages is not None, cfg)
     out = None
-    for hour in range(24):
+    for hour in sorted(r["hour"] for r in rows.select("hour").distinct().collect()) or [0]:
         tables = _tables(t, live, stop_averages, cfg, hour)
         if (size := sum(map(total_bytes, tables.values()))) > most_of_hour:
             raise ValueError(f"the timetable of hour {hour} takes {size} bytes: divide it by region, or raise most_of_hour")
